@@ -18,7 +18,7 @@ SPAN_TYPE = "struct<st:int,en:int,txt:string,g:array<string>>"
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def match_spans(text: Column, pattern: str, groups: int = 0) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,45 +167,108 @@ def needs_scoring(lookup: Column) -> Column:
     """
     return (
         F.length(lookup).between(2, 21)
+        & lookup.rlike("[a-z015|].*[a-z015|]")
         & ~lookup.isin(K.PROTECTED_TOKENS)
-        & ~lookup.rlike(K.NUMBER_WITH_UNIT)
+        & ~(lookup.rlike(r"(?U)^[\doil|.,]") & lookup.rlike(K.NUMBER_WITH_UNIT))
     )
 
 
-def heal_word(lookup: Column) -> Column:
-    """Keyword a looked-up token heals to, or null.  Pure function of the token."""
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(word.upper()).alias("kw"),
-                F.lit(len(word)).alias("n"),
-                F.lit(-pos).alias("ord"),
-                F.array(*[F.lit(m).cast("long") for m in char_masks(word)]).alias("masks"),
-            )
-            for pos, word in enumerate(K.KEYWORDS)
+def _keyword_packs(length: int) -> list[tuple[int, list[int], list[tuple]]]:
+    """Keywords within the ratio bound of a word length, packed into long bit sets.
+
+    Each keyword owns a run of bits with one spare bit above it, so the carry of
+    the bit-parallel recurrence never reaches its neighbour and one integer
+    addition advances several keywords at once.
+    """
+    cut = K.SHORT_CUT if length <= K.SHORT_WORD else K.LONG_CUT
+    packs, used = [], 99
+    for pos, word in enumerate(K.KEYWORDS):
+        n = len(word)
+        if 2.0 * min(n, length) / (n + length) < cut:
+            continue
+        if used + n + 1 > 62:
+            packs.append([0, [0] * (len(ALPHABET) + 1), []])
+            used = 0
+        pack = packs[-1]
+        seg = ((1 << n) - 1) << used
+        pack[0] |= seg
+        for i, m in enumerate(char_masks(word)):
+            pack[1][i] |= m << used
+        pack[2].append((word.upper(), seg, n, -pos))
+        used += n + 1
+    return packs
+
+
+_PACK_TABLE = (
+    "array<array<struct<full:bigint,masks:array<bigint>,"
+    "words:array<struct<kw:string,seg:bigint,n:int,ord:int>>>>>"
+)
+
+
+def literal_table(value, ddl: str) -> Column:
+    """A constant nested table, folded to one literal by the optimizer."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
+def _keyword_table() -> Column:
+    """Word length - 2 -> packs of keywords in reach of that length."""
+    table = [
+        [
+            {
+                "full": full,
+                "masks": masks,
+                "words": [{"kw": kw, "seg": seg, "n": n, "ord": o} for kw, seg, n, o in words],
+            }
+            for full, masks, words in _keyword_packs(length)
         ]
-    )
+        for length in range(2, 22)
+    ]
+    return literal_table(table, _PACK_TABLE)
+
 
-    def best_keyword(codes: Column) -> Column:
+def fuzzy_keyword(lookup: Column) -> Column:
+    """Closest dictionary keyword at or above the length's cut, or null."""
+    table = _keyword_table()
+
+    def best(codes: Column) -> Column:
         size = F.size(codes)
         cut = F.when(size <= K.SHORT_WORD, K.SHORT_CUT).otherwise(K.LONG_CUT)
-        near = F.filter(table, lambda k: 2.0 * F.least(k["n"], size) / (k["n"] + size) >= cut)
-        scored = F.transform(
-            near,
-            lambda k: F.struct(
-                (2.0 * lcs_codes(codes, k["masks"], k["n"]) / (k["n"] + size)).alias("ratio"),
-                k["ord"].alias("ord"),
-                k["kw"].alias("kw"),
-            ),
+
+        def scored(pack: Column) -> Column:
+            def step(v: Column, code: Column) -> Column:
+                u = v.bitwiseAND(F.element_at(pack["masks"], code))
+                return (v + u).bitwiseOR(v - u).bitwiseAND(pack["full"])
+
+            def ratios(v: Column) -> Column:
+                return F.transform(
+                    pack["words"],
+                    lambda w: F.struct(
+                        (
+                            2.0 * (w["n"] - F.bit_count(v.bitwiseAND(w["seg"]))) / (w["n"] + size)
+                        ).alias("ratio"),
+                        w["ord"].alias("ord"),
+                        w["kw"].alias("kw"),
+                    ),
+                )
+
+            return F.array_max(let(F.aggregate(codes, pack["full"], step), ratios))
+
+        packs = F.get(table, size - 2)
+        return let(
+            F.array_max(F.transform(packs, scored)),
+            lambda top: F.when(top["ratio"] >= cut, top["kw"]),
         )
-        passed = F.filter(scored, lambda k: k["ratio"] >= cut)
-        return F.array_max(passed)["kw"]
 
-    fuzzy = let(letter_codes(F.translate(lookup, "015|", "oisi")), best_keyword)
+    return let(letter_codes(F.translate(lookup, "015|", "oisi")), best)
+
+
+def heal_word(lookup: Column, checked: bool = False) -> Column:
+    """Keyword a looked-up word heals to, or null.  Pure function of the word."""
     direct = F.lit(None).cast("string")
     for word, fix in reversed(list(K.DIRECT_FIXES.items())):
         direct = F.when(lookup == word, fix).otherwise(direct)
-    return F.when(needs_scoring(lookup), F.coalesce(direct, fuzzy))
+    healed = F.coalesce(direct, fuzzy_keyword(lookup))
+    return healed if checked else F.when(needs_scoring(lookup), healed)
 
 
 def mark_words(text: Column) -> Column:

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwise.functions import text as X
+from labelwise.functions.spans import let
 
-BROADCAST_ROWS = 100_000
+LITERAL_WORDS = 20_000
+SLOTS = 1024
 
 
 def clean_text(text: Column) -> Column:
-    """Fully cleaned text as one narrow expression.
+    """Fully cleaned text as one narrow expression, every word scored in place.
 
-    Right for label regions: a few dozen words score faster in place than they
-    travel.  For prose use :func:`clean_corpus`.
+    Right for short regions.  For tables use :func:`clean_corpus`, which scores
+    each distinct word once.
     """
-    marked = X.mark_words(X.repair(text))
-    return X.finish(X.heal_numbers(X.rebuild(marked, X.heal_word)))
+    return let(
+        X.rebuild(let(X.repair(text), X.mark_words), X.heal_word),
+        lambda healed: X.finish(X.heal_numbers(healed)),
+    )
 
 
 def heal_vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
@@ -28,29 +34,49 @@ def heal_vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
     return (
         words.select(F.col(word).alias("word"))
         .distinct()
-        .select("word", X.heal_word(F.col("word")).alias("keyword"))
+        .select("word", X.heal_word(F.col("word"), checked=True).alias("keyword"))
         .where("keyword is not null")
     )
 
 
+def _slot(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(SLOTS))
+
+
+def _literal_lookup(vocabulary: list) -> Callable[[Column], Column]:
+    """Lookup expression over a hash table held as a literal in the plan."""
+    by_slot: dict[int, list] = {}
+    for r in vocabulary:
+        by_slot.setdefault(r.slot, []).append((r.word, r.keyword))
+    rows = [
+        [{"w": w, "k": k} for w, k in by_slot.get(i, [])] for i in range(SLOTS)
+    ]
+    table = X.literal_table(rows, "array<array<struct<w:string,k:string>>>")
+    return lambda w: F.get(F.filter(F.get(table, _slot(w)), lambda e: e["w"] == w), F.lit(0))["k"]
+
+
 def clean_corpus(df: DataFrame, key: list[str], text: str, out: str = "clean") -> DataFrame:
-    """Clean long texts with one scoring per distinct word of the whole corpus.
+    """Clean a table of texts with one scoring per distinct word of the whole table.
 
-    Words (not texts) travel to the vocabulary.  Its size decides how the healed
-    words come back: a checked small vocabulary is broadcast, a larger one joins
-    by shuffle.
+    Only words travel to build the vocabulary; what comes back are the healed
+    words.  A checked small set becomes a literal hash table and the texts are
+    rebuilt where they are, with no shuffle.  A larger set joins by shuffle on
+    the word and meets its texts on ``key``.
     """
-    marked = df.withColumn("_marked", X.mark_words(X.repair(F.col(text))))
+    marked = df.withColumn("_marked", let(X.repair(F.col(text)), X.mark_words))
     words = marked.select(*key, F.explode(X.marked_words(F.col("_marked"))).alias("word"))
     vocabulary = heal_vocabulary(words)
-    if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hits = words.join(F.broadcast(vocabulary), "word")
+    head = vocabulary.withColumn("slot", _slot(F.col("word"))).limit(LITERAL_WORDS + 1).collect()
+    if len(head) <= LITERAL_WORDS:
+        healed = X.rebuild(F.col("_marked"), _literal_lookup(head))
     else:
-        hits = words.join(vocabulary, "word")
-    # one small map per text: bounded by that text's own distinct words
-    fixes = hits.groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "keyword"))).alias("_fixes")
-    )
-    joined = marked.join(fixes, key, "left")
-    healed = X.rebuild(F.col("_marked"), lambda w: F.element_at(F.col("_fixes"), w))
-    return joined.withColumn(out, X.finish(X.heal_numbers(healed))).drop("_marked", "_fixes")
+        # one small map per text: bounded by that text's own distinct words
+        fixes = (
+            words.join(vocabulary, "word")
+            .groupBy(*key)
+            .agg(F.map_from_entries(F.collect_list(F.struct("word", "keyword"))).alias("_fixes"))
+        )
+        marked = marked.join(fixes, key, "left")
+        healed = X.rebuild(F.col("_marked"), lambda w: F.element_at(F.col("_fixes"), w))
+    done = let(healed, lambda h: X.finish(X.heal_numbers(h)))
+    return marked.withColumn(out, done).drop("_marked", "_fixes")

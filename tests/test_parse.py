@@ -143,7 +143,7 @@ def test_clean_both_ways(spark):
 
 
 def test_corpus_matches_inline_on_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(8)
     both = clean_corpus(docs, ["doc_id"], "text").withColumn("inline", clean_text(F.col("text")))
     rows = both.select("clean", "inline").collect()
     assert rows and all(r.clean == r.inline for r in rows)
