@@ -99,6 +99,8 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
 
     Boxes are counted, readings joined without repeats, and the class's parser
     judges the joined text; the care class is judged again with the whole pack.
+    A group of more than 100,000 distinct readings comes as consecutive parts,
+    each a row of its own.
     """
     base = newest_pass(log).where("canonical_class is not null and canonical_class <> ''").select(
         F.col("image_path").alias("image"), F.col("canonical_class").alias("class"), "ln",
@@ -107,15 +109,18 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
     counts = base.groupBy("image", "class").agg(
         F.count("*").alias("box_count"), F.min("ln").alias("ord")
     )
-    joined = join_readings(base, ["image", "class"], ["ln"], "text").where("part = 0").drop("part")
-    rows = counts.join(joined, ["image", "class"], "left").withColumn(
-        "combined_text", F.coalesce("text", F.lit(""))
-    ).drop("text")
+    joined = join_readings(base, ["image", "class"], ["ln"], "text")
+    rows = (
+        counts.join(joined, ["image", "class"], "left")
+        .withColumn("combined_text", F.coalesce("text", F.lit("")))
+        .withColumn("part", F.coalesce("part", F.lit(0)))
+        .drop("text")
+    )
     # classes per image are few, so a pack is a small ordered list
     packs = rows.where("combined_text <> ''").groupBy("image").agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("ord", "class", "combined_text"))),
+                F.array_sort(F.collect_list(F.struct("ord", "class", "part", "combined_text"))),
                 lambda r: r["combined_text"],
             ),
             " ",
@@ -123,9 +128,9 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
     )
     care = F.col("class") == "consumer_care_fssai"
     rows = rows.join(packs, "image", "left")
-    rows = clean_corpus(rows, ["image", "class"], "combined_text")
+    rows = clean_corpus(rows, ["image", "class", "part"], "combined_text")
     rows = rows.withColumn("_wide", F.when(care, F.concat_ws(" ", "clean", "pack")).otherwise(""))
-    rows = clean_corpus(rows, ["image", "class"], "_wide", "wide")
+    rows = clean_corpus(rows, ["image", "class", "part"], "_wide", "wide")
     rows = parse_by_class(rows, as_of, "class", "clean", None, "strict")
     rows = parse_by_class(
         rows.withColumn("_cls", F.when(care, F.col("class"))), as_of, "_cls", "clean", "wide", "wider"
@@ -133,7 +138,7 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
     filled = F.col("combined_text") != ""
     parsed = F.when(filled, F.when(care, F.col("wider")).otherwise(F.col("strict")))
     return rows.select(
-        "image", "class", "box_count", "combined_text", "ord",
+        "image", "class", "part", "box_count", "combined_text", "ord",
         parsed.alias("parsed"),
         parsed["is_compliant"].alias("is_compliant"),
         F.when(filled, F.col("strict.is_compliant")).alias("strict_is_compliant"),

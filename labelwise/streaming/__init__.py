@@ -1 +1 @@
-
+"""Structured Streaming jobs over frames and run logs."""
