@@ -14,6 +14,7 @@ from labelwise.functions.spans import let
 
 
 def clamp(value: Column, low, high) -> Column:
+    """Bounded value; callers pass non-null input, as greatest/least skip nulls."""
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
@@ -21,7 +22,8 @@ def clamp_penalty(value: Column, fallback: Column) -> Column:
     """Whole rupees in 0..ceiling; junk falls back."""
     number = F.trim(value.cast("string")).try_cast("double")
     whole = F.when(number.isNotNull() & ~F.isnan(number), clamp(number, -1e15, 1e15).cast("long"))
-    return F.coalesce(clamp(whole, 0, K.PENALTY_CEILING), fallback.cast("long")).cast("int")
+    bounded = F.when(whole.isNotNull(), clamp(whole, 0, K.PENALTY_CEILING))
+    return F.coalesce(bounded, fallback.cast("long")).cast("int")
 
 
 def clip_box(b: Column, width: Column, height: Column) -> Column:

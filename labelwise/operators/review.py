@@ -252,7 +252,7 @@ def submit_scans(
     product = named.groupBy("scan_id").agg(
         F.min_by("extracted_text", F.struct("ord", "rule_class")).alias("product_name")
     )
-    scans = numbered.join(product, "scan_id", "left").select(
+    scans = numbered.drop("product_name").join(product, "scan_id", "left").select(
         "scan_id", "inspector_id", "paths", F.lit("PENDING").alias("status"), "ts",
         F.coalesce("product_name", F.lit("")).alias("product_name"),
         F.trim(F.coalesce("evidence_notes", F.lit(""))).alias("evidence_notes"),
