@@ -22,9 +22,7 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def _lookup(table: dict, key: Column) -> Column:
-    pairs = [F.lit(v) for item in table.items() for v in item]
-    return F.element_at(F.create_map(*pairs), key)
+_lookup = X.lookup
 
 
 def number(text: Column) -> Column:
@@ -157,10 +155,13 @@ def tax_clause(text: Column) -> Column:
 
 
 def price(clean: Column) -> Column:
-    marker = (
+    has_marker = (
         clean.rlike(K.PRICE_MARKER) | clean.contains(K.RUPEE) | clean.contains(K.MOJIBAKE_RUPEE)
     )
+    return let(has_marker, lambda marker: _price(clean, marker))
 
+
+def _price(clean: Column, marker: Column) -> Column:
     def decide(a: Column) -> Column:
         amounts, pair, rate, usp = a["amounts"], a["pair"], a["rate"], a["usp"]
         pair_is_rate = F.coalesce(S.overlaps(pair, rate), F.lit(False))
@@ -400,7 +401,7 @@ def batch(clean: Column) -> Column:
 
     def out(b: Column) -> Column:
         clock = F.nullif(F.regexp_extract(b, K.CLOCK_TIME, 0), F.lit(""))
-        rest = F.array_join(F.split(b, K.CLOCK_TIME, 2), " ")
+        rest = S.cut_match(b, K.CLOCK_TIME, " ")
         code = F.nullif(F.btrim(X.squeeze(rest), F.lit(" .,:;#/()-")), F.lit(""))
         return F.struct(
             code.alias("batch_number"),

@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelwise.functions import fixed as K
+from labelwise.functions import text as X
 
 
-def _lookup(table: dict, key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), key)
+_lookup = X.lookup
 
 
 def canonical_class(raw: Column) -> Column:

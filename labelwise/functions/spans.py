@@ -108,4 +108,9 @@ def drop_overlaps(spans: Column) -> Column:
 
 def before_match(text: Column, pattern: str) -> Column:
     """Text in front of the first match (all of it when there is none)."""
-    return F.get(F.split(text, pattern, 2), F.lit(0))
+    return F.regexp_replace(text, f"(?s)(?:{pattern}).*", "")
+
+
+def cut_match(text: Column, pattern: str, filler: str) -> Column:
+    """Text with its first match replaced by ``filler``."""
+    return F.regexp_replace(text, f"(?s)^(.*?)(?:{pattern})", f"$1{filler}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column
@@ -129,7 +130,7 @@ def phrase_window_score(text: Column, phrase: str, slack: int = 6) -> Column:
     hay = letters_only(text)
     needle = "".join(ch for ch in phrase.lower() if "a" <= ch <= "z")
     n = len(needle)
-    masks = F.array(*[F.lit(m).cast("long") for m in char_masks(needle)])
+    masks = literal_table(char_masks(needle), "array<bigint>")
 
     def ratio(window: Column, width: Column) -> Column:
         return 2.0 * lcs_codes(window, masks, F.lit(n)) / (width + n)
@@ -210,9 +211,24 @@ def literal_table(value, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
+def lookup(table: dict, key: Column) -> Column:
+    """Value of a fixed dictionary, or null."""
+    kind = {int: "int", float: "double", str: "string"}[type(next(iter(table.values())))]
+    return F.element_at(literal_table(table, f"map<string,{kind}>"), key)
+
+
+@functools.cache
+def _keyword_json() -> str:
+    return json.dumps(_keyword_rows())
+
+
 def _keyword_table() -> Column:
+    return F.from_json(F.lit(_keyword_json()), _PACK_TABLE)
+
+
+def _keyword_rows() -> list:
     """Word length - 2 -> packs of keywords in reach of that length."""
-    table = [
+    return [
         [
             {
                 "full": full,
@@ -223,7 +239,6 @@ def _keyword_table() -> Column:
         ]
         for length in range(2, 22)
     ]
-    return literal_table(table, _PACK_TABLE)
 
 
 def fuzzy_keyword(lookup: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelwise.functions import text as X
 from labelwise.functions.spans import let
+from labelwise.session import spread
 
 LITERAL_WORDS = 20_000
 SLOTS = 1024
@@ -63,7 +64,7 @@ def clean_corpus(df: DataFrame, key: list[str], text: str, out: str = "clean") -
     rebuilt where they are, with no shuffle.  A larger set joins by shuffle on
     the word and meets its texts on ``key``.
     """
-    marked = df.withColumn("_marked", let(X.repair(F.col(text)), X.mark_words))
+    marked = spread(df).withColumn("_marked", let(X.repair(F.col(text)), X.mark_words))
     words = marked.select(*key, F.explode(X.marked_words(F.col("_marked"))).alias("word"))
     vocabulary = heal_vocabulary(words)
     head = vocabulary.withColumn("slot", _slot(F.col("word"))).limit(LITERAL_WORDS + 1).collect()

@@ -13,6 +13,7 @@ from labelwise.operators.clean import clean_corpus
 from labelwise.operators.extract import parse_by_class
 from labelwise.operators.ordering import ranked
 from labelwise.operators.readings import join_readings
+from labelwise.session import cut
 
 
 def newest_pass(log: DataFrame) -> DataFrame:
@@ -127,21 +128,25 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
         ).alias("pack")
     )
     care = F.col("class") == "consumer_care_fssai"
-    rows = rows.join(packs, "image", "left")
+    # both cleanings and the verdicts read these rows, so they are written once
+    rows = cut(rows.join(packs, "image", "left"))
     rows = clean_corpus(rows, ["image", "class", "part"], "combined_text")
     rows = rows.withColumn("_wide", F.when(care, F.concat_ws(" ", "clean", "pack")).otherwise(""))
     rows = clean_corpus(rows, ["image", "class", "part"], "_wide", "wide")
-    rows = parse_by_class(rows, as_of, "class", "clean", None, "strict")
+    rows = parse_by_class(rows, as_of, "class", "clean", None, "own")
     rows = parse_by_class(
-        rows.withColumn("_cls", F.when(care, F.col("class"))), as_of, "_cls", "clean", "wide", "wider"
+        rows.withColumn("_care", F.when(care, F.col("class"))), as_of, "_care", "clean", "wide", "packwide",
+        only=("consumer_care_fssai",),
     )
     filled = F.col("combined_text") != ""
-    parsed = F.when(filled, F.when(care, F.col("wider")).otherwise(F.col("strict")))
+    parsed = F.when(filled, F.when(care, F.col("packwide")).otherwise(F.col("own")))
     return rows.select(
         "image", "class", "part", "box_count", "combined_text", "ord",
         parsed.alias("parsed"),
-        parsed["is_compliant"].alias("is_compliant"),
-        F.when(filled, F.col("strict.is_compliant")).alias("strict_is_compliant"),
+        F.when(care & filled, F.col("packwide.is_compliant"))
+        .when(filled, F.col("own.is_compliant"))
+        .alias("is_compliant"),
+        F.when(filled, F.col("own.is_compliant")).alias("strict_is_compliant"),
     )
 
 

@@ -146,8 +146,8 @@ def readings_cte() -> str:
 CANDIDATE_SELECT = """
   SELECT conv_id AS image, turn // 3 AS det_idx, turn % 3 AS variant_ord,
     CASE turn % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'dotmatrix' ELSE 'enhanced' END AS variant,
-    text, length(text) % 100 / 100.0 AS conf, length(text) % 5 = 0 AS compliant,
-    length(text) % 7 / 7.0 AS signal, length(text) / 1000.0 AS seconds
+    text, CAST(length(text) % 100 AS DOUBLE) / 100 AS conf, length(text) % 5 = 0 AS compliant,
+    CAST(length(text) % 7 AS DOUBLE) / 7 AS signal, CAST(length(text) AS DOUBLE) / 1000 AS seconds
   FROM conversations"""
 
 

@@ -1,5 +1,5 @@
 """All registered queries by name: ``(callable(spark, sf_dir), oracle SQL or None)``."""
 
-from labelwise.plans import workflow
+from labelwise.plans import extraction, reading, workflow
 
-QUERIES = {**workflow.QUERIES}
+QUERIES = {**workflow.QUERIES, **reading.QUERIES, **extraction.QUERIES}

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "labelwise") -> SparkSession:
@@ -38,3 +38,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/labelwise/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame, task_bytes: int = 4 << 20) -> DataFrame:
+    """Even out a small input over all cores before CPU-heavy projections.
+
+    Text work costs far more than its bytes suggest, so a table of a few
+    megabytes would run as one task.  Large inputs already have enough splits
+    and pass through untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(
+        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
+    )
+    return df.repartition(cores) if size < cores * task_bytes else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of an intermediate result that several jobs read."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+    return spread(df).checkpoint()
