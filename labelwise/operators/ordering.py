@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelwise.session import cut
+
 BLOCK_ROWS = 1_000_000
 MAX_BLOCKS = 1024
 SAMPLE_PER_BLOCK = 16
@@ -204,11 +206,12 @@ def thin(
         out["accepted"] = hit
         return out[out["accepted"]]
 
+    base = cut(base)
     narrow = base.select(*keys, "_chunk", rank, ts_us)
-    effects = narrow.groupBy(*keys, "_chunk").applyInPandas(
-        effect, f"{key_ddl}, _chunk long, _from long, _to long"
-    )
-    entries = effects.groupBy(*keys).applyInPandas(fold, f"{key_ddl}, _chunk long, _in long")
+    if narrow.where("_chunk > 0").isEmpty():
+        entries = narrow.select(*keys, "_chunk").distinct().withColumn("_in", F.lit(None).cast("long"))
+    else:
+        entries = _entry_times(narrow, keys, effect, fold, key_ddl)
     marked = (
         narrow.join(entries, [*keys, "_chunk"])
         .groupBy(*keys, "_chunk")
@@ -221,6 +224,14 @@ def thin(
     )
 
 
+def _entry_times(narrow: DataFrame, keys: Sequence[str], effect, fold, key_ddl: str) -> DataFrame:
+    """Last accepted time before each block."""
+    effects = narrow.groupBy(*keys, "_chunk").applyInPandas(
+        effect, f"{key_ddl}, _chunk long, _from long, _to long"
+    )
+    return effects.groupBy(*keys).applyInPandas(fold, f"{key_ddl}, _chunk long, _in long")
+
+
 def assemble_text(
     df: DataFrame,
     keys: Sequence[str],

@@ -25,30 +25,33 @@ def _buckets(start: Column, end: Column, width: int) -> Column:
 
 
 def _near(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
-    """Pairs whose gap is at most ``reach``; right columns come as struct ``r``."""
+    """Pairs whose gap is at most ``reach``; right columns carry the prefix ``r_``."""
     width = max(1, 2 * reach)
     # left lives in the bucket of its start; right covers every start in reach
-    a = left.withColumn("_b", F.floor(F.col("st") / width)).withColumn("_span", F.col("en") - F.col("st"))
-    b = right.select(
-        F.col("doc_id"), F.struct(*[c for c in right.columns if c != "doc_id"]).alias("r")
-    )
+    a = left.withColumn("_b", F.floor(F.col("st") / width))
+    b = right.select("doc_id", *[F.col(c).alias(f"r_{c}") for c in ("kind", "st", "en")])
     longest = left.agg(F.coalesce(F.max(F.col("en") - F.col("st")), F.lit(0)).alias("_long"))
-    b = b.join(F.broadcast(longest), F.lit(True)).select(
-        "doc_id", "r",
-        _buckets(
-            F.greatest(F.lit(0), F.col("r.st") - reach - F.col("_long")), F.col("r.en") + reach, width
-        ).alias("_b"),
+    start = F.greatest(F.lit(0), F.col("r_st") - reach - F.col("_long"))
+    b = (
+        b.join(F.broadcast(longest), F.lit(True))  # one row
+        .withColumn("_b", _buckets(start, F.col("r_en") + reach, width))
+        .drop("_long")
     )
-    return a.join(b, ["doc_id", "_b"]).where(S.gap(F.struct("st", "en"), F.col("r")) <= reach).drop("_b", "_span")
+    return a.join(b, ["doc_id", "_b"]).where(_distance() <= reach).drop("_b")
+
+
+def _distance() -> Column:
+    return F.greatest(F.lit(0), F.col("r_st") - F.col("en"), F.col("st") - F.col("r_en"))
 
 
 def nearest_span(left: DataFrame, labels: DataFrame, reach: int, id_col: str) -> DataFrame:
     """Each left span's nearest label within reach, first label on a tie."""
-    pairs = _near(left, labels, reach)
-    distance = S.gap(F.struct("st", "en"), F.col("r"))
-    best = pairs.groupBy(id_col).agg(
-        F.min_by(F.struct("r.kind", "r.st", "r.en"), F.struct(distance, F.col("r.st"))).alias("label"),
-        F.min(distance).alias("gap"),
+    best = _near(left, labels, reach).groupBy(id_col).agg(
+        F.min_by(
+            F.struct(F.col("r_kind").alias("kind"), F.col("r_st").alias("st"), F.col("r_en").alias("en")),
+            F.struct(_distance(), F.col("r_st")),
+        ).alias("label"),
+        F.min(_distance()).alias("gap"),
     )
     return left.join(best, id_col, "left")
 
@@ -76,7 +79,7 @@ def contained_spans(inner: DataFrame, outer: DataFrame, id_col: str) -> DataFram
     """Inner spans that lie inside some outer span of their document."""
     hits = (
         _near(inner, outer, 0)
-        .where((F.col("r.st") <= F.col("st")) & (F.col("en") <= F.col("r.en")))
+        .where((F.col("r_st") <= F.col("st")) & (F.col("en") <= F.col("r_en")))
         .select(id_col)
         .distinct()
     )
@@ -86,7 +89,7 @@ def contained_spans(inner: DataFrame, outer: DataFrame, id_col: str) -> DataFram
 def overlapping_spans(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
     hits = (
         _near(left, right, 0)
-        .where((F.col("st") < F.col("r.en")) & (F.col("r.st") < F.col("en")))
+        .where((F.col("st") < F.col("r_en")) & (F.col("r_st") < F.col("en")))
         .select(id_col)
         .distinct()
     )

@@ -62,7 +62,7 @@ PRICE = """SELECT p_partkey AS id, CASE p_partkey % 4
 
 @query("extract_price", """SELECT p_partkey AS id, round(p_retailprice, 2) AS mrp,
     CASE WHEN p_partkey % 4 = 1 THEN CAST(p_size + 10 AS DOUBLE) END AS unit_sale_price,
-    CASE p_partkey % 4 WHEN 0 THEN 'inclusive of all taxes' WHEN 1 THEN 'inclusive of all taxes'
+    CASE p_partkey % 4 WHEN 0 THEN 'inclusive of all taxes' WHEN 1 THEN 'of all taxes'
       WHEN 2 THEN NULL ELSE 'incl. taxes' END AS tax_clause, p_partkey % 4 <> 2 AS is_compliant FROM part""")
 def extract_price(spark, sf):
     r = read(composed(spark, sf, PRICE, "part"), "id", P.price)
@@ -73,7 +73,7 @@ DATES = f"""SELECT {B.RESULT_ID} AS id, CASE l_partkey % 6
     WHEN 0 THEN concat('PKD', date_format(l_shipdate, 'dd/MM/yyyy'))
     WHEN 1 THEN concat('USEBY:', date_format(l_shipdate, 'dd.MM.yyyy'))
     WHEN 2 THEN date_format(l_shipdate, 'dd/MM/yyyy')
-    WHEN 3 THEN concat('MFG ', upper(date_format(l_shipdate, 'ddMMMyyyy')))
+    WHEN 3 THEN concat('MFG ', upper(date_format(l_shipdate, 'dd MMM yyyy')))
     WHEN 4 THEN concat(date_format(l_shipdate, 'yyyy-MM-dd'), ' ', date_format(date_add(CAST(l_shipdate AS DATE), 180), 'dd/MM/yy'), ' MFD USE BY')
     ELSE concat('BEST BEFORE ', CAST(CAST(l_quantity AS INT) AS STRING), ' MONTHS FROM MFD') END AS text FROM lineitem"""
 

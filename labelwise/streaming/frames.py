@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from labelwise.functions import fixed as K
 from labelwise.operators import live as B
+from labelwise.sources.readers import FRAMES
 
 OUT = (
     "cam string, seq long, ts timestamp, detected boolean, n_classes int, fps double, "
@@ -25,6 +26,15 @@ STATE = (
 EMPTY = (None, [], None, None, [], [], [], 0, 0, 0)
 
 
+def read_stream(spark, path: str) -> DataFrame:
+    """Frame files as a stream, a few files per micro-batch."""
+    return (
+        spark.readStream.schema(FRAMES)
+        .option("maxFilesPerTrigger", 64)
+        .parquet(path)
+    )
+
+
 def gate(interval_s: float, cooldown_s: float, floor: float, min_classes: int) -> Callable:
     """State transition over one camera's new frames: bounded rings and a few scalars."""
     gap, cool = round(interval_s * B.US), round(cooldown_s * B.US)
