@@ -56,7 +56,7 @@ def image_done_markers(spark, sf):
 
 @query("label_file_round_trip", f"""WITH {B.LABEL_CTE}
   SELECT split, file, row_number() OVER (PARTITION BY split, file ORDER BY line) AS line, class_id,
-    CAST(n AS INTEGER) AS n_vals, round(v[1], 5) AS v1 FROM l""")
+    CAST(n AS INTEGER) AS n_vals, round(v[1], 6) AS v1 FROM l""")
 def label_file_round_trip(spark, sf):
     """Label files written one per source and parsed back."""
     rows = B.label_rows(spark, sf)
@@ -67,7 +67,7 @@ def label_file_round_trip(spark, sf):
     parsed = S.read_label_rows(files.withColumnRenamed("text", "content"))
     return parsed.select(
         "split", "file", F.col("line").cast("long").alias("line"), "class_id",
-        F.size("vals").alias("n_vals"), F.round(F.get("vals", F.lit(0)), 5).alias("v1"))
+        F.size("vals").alias("n_vals"), F.round(F.get("vals", F.lit(0)), 6).alias("v1"))
 
 
 @query("write_labels", f"""WITH {B.LABEL_CTE},
