@@ -42,7 +42,9 @@ SCANS_SELECT = """
       WHEN 2 THEN concat('img/', CAST(o_orderkey AS STRING), '.jpg, img/back.jpg,')
       ELSE '["a.jpg", " ", "c.jpg"]' END AS image_paths
   FROM orders"""
-RESULT_ID = "((l_orderkey * 10 + l_linenumber) * 20011 + l_partkey) * 1009 + l_suppkey"
+RESULT_ID = (
+    "(l_orderkey * 8 + l_linenumber) * 4999999 + CAST(round(l_extendedprice * 100) AS BIGINT) % 4999999"
+)
 RULE_CASE = (
     "CASE l_linenumber "
     + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(K.RULE_CLASSES[:6], 1))
