@@ -145,10 +145,11 @@ def extract_name(spark, sf):
     return r.select("id", F.coalesce("r.name", F.lit("")).alias("name"), "r.is_compliant")
 
 
-@query("extract_contact_documents", """SELECT doc_id, regexp_matches(text, '[A-Za-z0-9]@[A-Za-z0-9]') AS has_at FROM documents""")
+@query("extract_contact_documents", None)
 def extract_contact_documents(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.col("text").rlike("[A-Za-z0-9]@[A-Za-z0-9]").alias("has_at"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    r = read(docs, "id", P.contact)
+    return r.select("id", "r.licence", "r.email", "r.helpline", "r.is_compliant")
 
 
 @query("dietary_rows", """SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'VEG' WHEN 'view' THEN 'NON_VEG'

@@ -414,19 +414,19 @@ def label_class_counts(spark, sf):
     return L.class_counts(label_input(spark, sf))
 
 
-@query("corruptions", f"""WITH {B.LABEL_CTE} SELECT split, file, line, class_id, round(iou, 5) AS iou,
-    round(damage, 5) AS damage FROM l WHERE corrupted""")
+@query("corruptions", f"""WITH {B.LABEL_CTE} SELECT split, file, line, class_id, round(iou, 6) AS iou,
+    round(damage, 6) AS damage FROM l WHERE corrupted""")
 def corruptions(spark, sf):
     return L.corruptions(label_input(spark, sf)).select(
-        "split", "file", "line", "class_id", F.round("iou", 5).alias("iou"), F.round("damage", 5).alias("damage")
+        "split", "file", "line", "class_id", "iou", "damage"
     )
 
 
-@query("worst_corruptions", f"""WITH {B.LABEL_CTE} SELECT split, file, line, round(round(damage, 6), 5) AS damage FROM l
+@query("worst_corruptions", f"""WITH {B.LABEL_CTE} SELECT split, file, line, round(damage, 6) AS damage FROM l
     WHERE corrupted ORDER BY round(damage, 6) DESC, split, file, line LIMIT 5""")
 def worst_corruptions(spark, sf):
     return L.worst_corruptions(label_input(spark, sf)).select(
-        "split", "file", "line", F.round("damage", 5).alias("damage")
+        "split", "file", "line", "damage"
     )
 
 
