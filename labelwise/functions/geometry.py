@@ -141,8 +141,32 @@ def min_side(b: Column) -> Column:
     return F.least(b["w"], b["h"])
 
 
+def six_digits(x: Column) -> Column:
+    """A value in 0..1 with six decimals, rounded from its exact binary value.
+
+    Centres of six-digit corners sit on rounding ties all the time, and the
+    shortest decimal form of a double hides on which side of the tie it lies.
+    Scaled by a power of two the double is a whole number, so the tie is decided
+    in exact decimals.
+    """
+    def at(bits: int) -> Column:
+        unit = F.lit(str(2**bits)).cast("decimal(24,0)")
+        half = F.lit(str(2 ** (bits - 1))).cast("decimal(24,0)")
+        whole = (x * float(2**bits)).cast("long").cast("decimal(19,0)")
+        millionths = whole * F.lit("1000000").cast("decimal(7,0)")
+        q = F.call_function("div", millionths, unit)
+        rest = millionths - q.cast("decimal(7,0)") * unit
+        up = (rest > half) | ((rest == half) & (q % 2 == 1))
+        return q + F.when(up, 1).otherwise(0)
+
+    n = F.when(x >= 2.0**-8, at(60)).when(x >= 2.0**-16, at(68)).otherwise(at(76))
+    return F.format_string("%d.%06d", F.floor(n / 1000000).cast("int"), (n % 1000000).cast("int"))
+
+
 def format_row(class_id: Column, b: Column) -> Column:
-    return F.format_string("%d %.6f %.6f %.6f %.6f", class_id, b["cx"], b["cy"], b["w"], b["h"])
+    return F.concat_ws(
+        " ", class_id.cast("string"), *[six_digits(b[c]) for c in ("cx", "cy", "w", "h")]
+    )
 
 
 def crop_box(b: Column, width: Column, height: Column, margin: float = 0.04) -> Column:

@@ -432,11 +432,13 @@ def worst_corruptions(spark, sf):
 
 @query("repair_rows", f"""WITH {B.LABEL_CTE} SELECT split, file, line,
     ax1 IS NOT NULL AND least(ax2 - ax1, ay2 - ay1) >= 1e-4 AS kept, round((ax1 + ax2) / 2, 8) AS cx,
-    round((ay1 + ay2) / 2, 8) AS cy, round(ax2 - ax1, 8) AS w, round(ay2 - ay1, 8) AS h FROM l""")
+    round((ay1 + ay2) / 2, 8) AS cy, round(ax2 - ax1, 8) AS w, round(ay2 - ay1, 8) AS h,
+    CASE WHEN ax1 IS NOT NULL AND least(ax2 - ax1, ay2 - ay1) >= 1e-4 THEN printf('%d %.6f %.6f %.6f %.6f', class_id,
+      (ax1 + ax2) / 2, (ay1 + ay2) / 2, ax2 - ax1, ay2 - ay1) END AS fixed FROM l""")
 def repair_rows(spark, sf):
     r = L.repair_rows(label_input(spark, sf))
     return r.select(
-        "split", "file", "line", "kept",
+        "split", "file", "line", "kept", "fixed",
         *[F.round(F.col(f"box.{c}"), 8).alias(c) for c in ("cx", "cy", "w", "h")],
     )
 

@@ -263,3 +263,16 @@ def test_sql_match_starts(spark):
     row = spark.sql("select lw_match_starts('a1bb22c', '[0-9]+') as s").first()
     spans = spark.sql("select 'a1bb22c' as t").select(S.match_spans(F.col("t"), "[0-9]+").alias("s")).first().s
     assert row.s == [x.st for x in spans] == [1, 4]
+
+
+def test_six_digits_round_the_exact_value(spark):
+    import random
+    from labelwise.functions.geometry import six_digits
+
+    rnd = random.Random(9)
+    ties = [(rnd.randint(0, 10**6) + rnd.randint(0, 10**6)) / 1e6 / 2 for _ in range(400)]
+    values = ties + [rnd.random() for _ in range(100)] + [rnd.random() / 1e4 for _ in range(100)] + [0.0, 1.0, 5e-7]
+    values += [(round(rnd.random(), 6) + round(rnd.random(), 6)) / 2.0 for _ in range(400)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for r in df.select("v", six_digits(F.col("v")).alias("t")).collect():
+        assert r.t == f"{r.v:.6f}", r.v
