@@ -609,19 +609,20 @@ def usable_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.usable_text(F.col("text")).alias("usable"))
 
 
-# Longest common subsequence by rows of the grid, for short word pairs.
+# Longest common subsequence, one grid cell per recursion step.
 INDEL = """WITH RECURSIVE p AS (SELECT DISTINCT p_name AS a, p_type AS b FROM part),
-  q AS (SELECT a, b, lower(a) AS x, lower(b) AS y FROM p),
-  d(a, b, x, y, i, r) AS (
-    SELECT a, b, x, y, 0, list_transform(range(0, length(y) + 1), lambda z: 0) FROM q
+  d(a, b, i, j, cur, prev) AS (
+    SELECT a, b, 0, 0, [0], list_transform(range(0, length(b) + 1), lambda z: CAST(0 AS INTEGER)) FROM p
     UNION ALL
-    SELECT a, b, x, y, i + 1, list_reduce(range(1, length(y) + 1), lambda cur, j: list_append(cur,
-      CASE WHEN y[j] = x[i + 1] THEN r[j] + 1 ELSE greatest(r[j + 1], cur[-1]) END), [0])
-    FROM d WHERE i < length(x))
-  SELECT a, b, round(2.0 * r[-1] / (length(x) + length(y)), 6) AS ratio FROM d WHERE i = length(x)"""
+    SELECT a, b, CASE WHEN j = length(b) THEN i + 1 ELSE i END, CASE WHEN j = length(b) THEN 0 ELSE j + 1 END,
+      CASE WHEN j = length(b) THEN [0] ELSE list_append(cur, CASE WHEN lower(b)[j + 1] = lower(a)[i + 1] THEN prev[j + 1] + 1
+        ELSE greatest(prev[j + 2], cur[-1]) END) END,
+      CASE WHEN j = length(b) THEN cur ELSE prev END
+    FROM d WHERE i < length(a))
+  SELECT a, b, round(2.0 * prev[-1] / (length(a) + length(b)), 6) AS ratio FROM d WHERE i = length(a)"""
 
 
-@query("indel_ratio", None)
+@query("indel_ratio", INDEL)
 def indel_ratio(spark, sf):
     pairs = table(spark, sf, "part").select(F.col("p_name").alias("a"), F.col("p_type").alias("b")).distinct()
     return pairs.withColumn("ratio", F.round(X.indel_ratio(F.lower("a"), F.lower("b")), 6))
