@@ -99,11 +99,7 @@ def class_name_files(spark, sf):
     path = shared_dir(spark, "names")
     lines.write.parquet(path)
     back = spark.read.schema("id int, value string").parquet(path)
-    out = back.select("id", F.struct("value").alias("_l"), "value")
-    names = F.transform(F.split(F.regexp_extract("value", r"^names:\s*\[(.*)\]\s*$", 1), ","),
-                        lambda x: F.btrim(F.trim(x), F.lit("'\"")))
-    kept = F.filter(names, lambda x: x != "")
-    return out.select("id", F.posexplode(kept).alias("class_id", "name"))
+    return S.class_names(back)
 
 
 @query("truth_csv", """SELECT CAST(conv_id AS VARCHAR) AS key, arg_max(trim(text), turn) AS text FROM conversations

@@ -87,7 +87,7 @@ def class_names(lines: DataFrame, text: str = "value") -> DataFrame:
     items = F.transform(F.split(body, ","), lambda x: F.btrim(F.trim(x), F.lit("'\"")))
     kept = F.filter(items, lambda x: x != "")
     return lines.where(F.col(text).startswith("names:")).select(
-        F.posexplode(kept).alias("class_id", "name")
+        *[c for c in lines.columns if c != text], F.posexplode(kept).alias("class_id", "name")
     )
 
 
