@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +35,34 @@ LAYOUT = {
     "compression": "zstd",
 }
 #: Entries that a task remembers of each kind before it starts afresh.
-MEMORY = 300_000
+MEMORY = 400_000
 #: Characters of texts, and ids, that one batch holds at most (one document more).
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 2 << 20
 SCHEMA = "doc_id long, first long, n_tokens int, tokens array<int>"
 
 #: Characters whose class (letter, digit, white space, other) needs no Unicode tables to tell.
 PLAIN = re.compile("[\t-\r -\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 PIECES = re.compile(rf" ?[{LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
-WORD = re.compile(f" [{LETTERS}]+")
+
+
+class Memory:
+    """What has come up in two batches; it starts afresh when full, which costs time only."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()
+
+    def add(self, fresh: dict[str, bytes]) -> None:
+        again = fresh.keys() & self.once
+        if len(self.known) > MEMORY:
+            self.known = {}
+        self.known.update((k, fresh[k]) for k in again)
+        self.once = {*fresh} if len(self.once) > MEMORY else self.once | (fresh.keys() - again)
 
 
 class PieceEncoder:
-    """Byte-level BPE of whole texts by the tokenizers library, each distinct piece encoded once.
+    """Byte-level BPE of whole texts by the tokenizers library, each distinct piece of a batch encoded once.
 
     The tokenizer splits a text before it merges, and it always splits at a space with more than space after
     it; what stands between two such places has the same ids in any text.  A text with a run of white space
@@ -59,69 +74,63 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Memory(), Memory()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in done]
 
-    def _learn_pieces(self, wanted: set[str]) -> None:
-        words = [p for p in wanted if WORD.fullmatch(p)]
-        others = [p for p in wanted if not WORD.fullmatch(p)]
-        self.pieces.update(zip(others, self._encode(others)))
+    def _encode_pieces(self, wanted: set[str]) -> dict[str, bytes]:
+        words = [p for p in wanted if p[0] == " " and p[1:].isalpha()]
+        others = [p for p in wanted if not (p[0] == " " and p[1:].isalpha())]
+        out = dict(zip(others, self._encode(others)))
         for at in range(0, len(words), 256):
             some = words[at : at + 256]
             joined = self.library.encode("".join(some), add_special_tokens=False)
             ids = np.asarray(joined.ids, "<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.asarray(joined.word_ids), minlength=len(some))).tolist()
-            for word, start, end in zip(some, [0, *ends], ends):
-                self.pieces[word] = ids[4 * start : 4 * end]
-
-    def _learn_chunks(self, wanted: set[str]) -> None:
-        if len(self.chunks) > MEMORY:
-            self.chunks.clear()
-        if len(self.pieces) > MEMORY:
-            self.pieces.clear()
-        split = {c: PIECES.findall(" " + c) for c in wanted if PLAIN.fullmatch(c)}
-        whole = [c for c in wanted if c not in split]
-        self.chunks.update(zip(whole, self._encode([" " + c for c in whole])))
-        unknown = {p for parts in split.values() for p in parts if p not in self.pieces}
-        self._learn_pieces(unknown)
-        known = self.pieces
-        self.chunks.update((c, b"".join([known[p] for p in parts])) for c, parts in split.items())
+            ends = (4 * np.cumsum(np.bincount(joined.word_ids, minlength=len(some)))).tolist()
+            out.update(zip(some, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+        return out
+
+    def _encode_chunks(self, wanted: set[str]) -> dict[str, bytes]:
+        plain = {c for c in wanted if PLAIN.fullmatch(c)}
+        split = {c: (" " + c,) if c.isalpha() else PIECES.findall(" " + c) for c in plain}
+        whole = list(wanted - plain)
+        out = dict(zip(whole, self._encode([" " + c for c in whole])))
+        known = self.pieces.known
+        fresh = self._encode_pieces({p for parts in split.values() for p in parts if p not in known})
+        for c, parts in split.items():
+            out[c] = b"".join([known.get(p) or fresh[p] for p in parts])
+        self.pieces.add(fresh)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        known = self.chunks
-        missing = {c for parts in cut for c in parts[1:] if c not in known}
+        known = self.chunks.known
+        missing = {c for parts in cut for c in parts[1:]} - known.keys()
         odd = {c for c in missing if not c or c[0].isspace()}
-        self._learn_chunks(missing - odd) if len(missing) > len(odd) else None
+        fresh = self._encode_chunks(missing - odd)
         plain = [k for k, parts in enumerate(cut) if not odd or odd.isdisjoint(parts[1:])]
         heads = self._encode([cut[k][0] for k in plain])
         get, out = known.get, [b""] * len(texts)
-        lost = []
         for k, head in zip(plain, heads):
-            found = list(map(get, cut[k][1:]))
-            if None in found:  # forgotten while this batch was learned
-                lost.append(k)
-            else:
-                out[k] = head + b"".join(found)
-        whole = [*lost, *sorted(set(range(len(texts))) - set(plain))]
+            out[k] = head + b"".join([get(c) or fresh[c] for c in cut[k][1:]])
+        whole = sorted(set(range(len(texts))) - set(plain))
         for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
             out[k] = ids
+        self.chunks.add(fresh)
         return out
 
 
-def _by_chars(texts: list[str]) -> Iterator[slice]:
+def _by_chars(sizes: list[int]) -> Iterator[slice]:
     start, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t)
+    for k, size in enumerate(sizes):
+        held += size
         if held >= BATCH_CHARS:
             yield slice(start, k + 1)
             start, held = k + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -134,9 +143,9 @@ def _encode_with(path: str, end: bytes) -> Callable[[Iterator[pa.RecordBatch]],
         encoder = _encoders[path]
         first = 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in _by_chars(texts):
-                coded = [b + end for b in encoder.encode(texts[part])]
+            ids, texts = batch.column(0), batch.column(1)
+            for part in _by_chars(pc.utf8_length(texts).to_pylist()):
+                coded = [b + end for b in encoder.encode(texts[part].to_pylist())]
                 sizes = np.array([len(b) // 4 for b in coded], "i8")
                 values = np.frombuffer(b"".join(coded), "<i4")
                 ends = np.cumsum(sizes)
