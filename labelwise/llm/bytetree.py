@@ -178,9 +178,9 @@ def text_costs(tree: ContextTree, table: np.ndarray, texts: Sequence[bytes]) ->
         flat, own = laid_out(group, tree.depth)
         if not len(own):
             continue
-        cost = table[tree.end_nodes(flat, own) * tree.size + tree.codes[flat[own]]].astype(float)
+        cost = table[tree.end_nodes(flat, own) * tree.size + tree.codes[flat[own]]]
         sizes = np.array([len(p) for _, _, p in group])
         some = np.flatnonzero(sizes)
-        sums = np.add.reduceat(cost, (np.cumsum(sizes) - sizes)[some], axis=0)
+        sums = np.add.reduceat(cost, (np.cumsum(sizes) - sizes)[some], axis=0, dtype=float)
         np.add.at(out, np.array([k for k, _, _ in group])[some], sums)
     return out

@@ -130,10 +130,10 @@ def cost_table(tree: ContextTree, counts: Counts) -> np.ndarray:
     columns[tree.codes[::-1]] = np.arange(255, -1, -1)
     unseen = np.flatnonzero(tree.codes == 0)
     table = np.zeros((total, tree.size), np.float32)
-    sums, left = np.zeros((1, 256)), np.ones((1, 256))
+    sums, left = np.zeros((1, 256), np.float32), np.ones((1, 256), np.float32)
     for d in range(tree.depth + 1):
         lo, hi, down = bounds[d], bounds[d + 1], bounds[d + 1]
-        next_sums, next_left = np.zeros((hi - lo, 256)), np.zeros((hi - lo, 256))
+        next_sums, next_left = np.zeros((hi - lo, 256), np.float32), np.zeros((hi - lo, 256), np.float32)
         deeper = tree.parent[down : bounds[d + 2]] - lo if d < tree.depth else np.zeros(0, np.int32)
         for at in range(lo, hi, SLICE):
             to = min(hi, at + SLICE)
@@ -147,7 +147,7 @@ def cost_table(tree: ContextTree, counts: Counts) -> np.ndarray:
             kids = deeper[a:b] - (at - lo)
             used = _sum_children(counts(down + a, down + b), kids, to - at)
             # a leaf has given all its weight to its own estimate, so nothing is left for a rest
-            final = np.clip(ours + rest * estimate(bit_counts(own - used)), 1e-12, 1 - 1e-12)
+            final = np.clip(ours + rest * estimate(bit_counts(own - used)), 1e-9, 1 - 1e-9)
             costs = _byte_costs(final, columns)
             if len(unseen):
                 costs[:, 0] = _byte_costs(final, unseen).mean(axis=1)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwise.llm import chat, common, exact_dedup, mixing, token_store, url_rules
+from labelwise.llm import chat, common, ctw, exact_dedup, langid, mixing, simhash, token_store, url_rules
 from labelwise.session import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    part = common.fold(F.col("doc_id"), 5)
+    labelled = docs.where(part != 0).select(F.col("doc_id").alias("id"), "text", "lang")
+    return langid.predict(docs, labelled).select(
+        "doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score", "language.bits_per_byte"
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(_table(spark, sf_dir, "documents"), size=4)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(_table(spark, sf_dir, "documents"))
     return plan.select(
@@ -67,6 +80,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(spark, path)
 
 
+def op10_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(_table(spark, sf_dir, "documents"), lambda i: common.fold(i, 5) != 1)
+    held_out = F.coalesce(common.fold(F.col("doc_id"), 5) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 _SITE_SQL = "\n".join(
     f"  UNION ALL SELECT '{r.name}', '{url_rules.rule_regex(r.pattern)}', '{r.action}', {len(r.pattern)}, 1, {-k}"
     for k, r in enumerate(SITE_RULES)
@@ -151,6 +170,9 @@ QUERIES = {
     "op2_token_store": (op2_token_store, None),
     "op3_url_rules": (op3_url_rules, OP3_SQL),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
+    "op5_language_id": (op5_language_id, None),
+    "op6_simhash": (op6_simhash, None),
     "op7_mixing": (op7_mixing, OP7_SQL),
     "op9_chat_format": (op9_chat_format, OP9_SQL),
+    "op10_ctw_score": (op10_ctw_score, None),
 }
