@@ -9,7 +9,7 @@ import numpy as np
 from labelwise.llm.bytetree import ContextTree
 
 #: Nodes worked on at a time while the table is made.
-SLICE = 4096
+SLICE = 1024
 _SMALL = 1 << 16
 
 
