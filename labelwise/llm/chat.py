@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,19 +71,23 @@ def locate(turns: Sequence[Turn], template: Template) -> tuple[str, list[tuple[i
     return before, spans, texts, rewritten
 
 
-def _render(template: Template, roles: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _render(template: Template, roles: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = (pa.string(), pairs, pairs, pairs, pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for conv_id, turns in zip(batch["conv_id"], batch["turns"]):
-                said = [(t["role"] or "", t["text"] or "") for t in turns]
-                formatted, spans, texts, rewritten = locate(said, template)
-                loss = [p for (role, _), p in zip(said, texts) if role in roles]
-                pairs = [[{"start": a, "end": b} for a, b in x] for x in (spans, texts, loss)]
-                out.append((conv_id, formatted, *pairs, rewritten))
-            yield pd.DataFrame(out, columns=["conv_id", "formatted", "spans", "texts", "loss", "rewritten_at"]).astype(
-                {"rewritten_at": "Int32", "conv_id": "Int64"}
-            )
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for turns in batch.column(1)[at : at + 64].to_pylist():
+                    said = [(t["role"] or "", t["text"] or "") for t in turns]
+                    formatted, spans, texts, rewritten = locate(said, template)
+                    loss = [p for (role, _), p in zip(said, texts) if role in roles]
+                    out.append((formatted, *([{"start": a, "end": b} for a, b in x] for x in (spans, texts, loss)), rewritten))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[at : at + 64], *columns], names=["conv_id", "formatted", "spans", "texts", "loss", "rewritten_at"]
+                )
 
     return run
 
@@ -110,7 +114,7 @@ def write(
     talks = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     )
-    talks.mapInPandas(_render(template, frozenset(trained_roles)), SCHEMA).write.option("compression", "zstd").parquet(path)
+    talks.mapInArrow(_render(template, frozenset(trained_roles)), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _plain(text: Column) -> Column:

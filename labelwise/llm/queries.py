@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwise.llm import chat, common, ctw, exact_dedup, langid, mixing, simhash, token_store, url_rules
+from labelwise.llm import chat, common, ctw, decontam, exact_dedup, langid, mixing, quality, simhash, token_store, url_rules
 from labelwise.session import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token_store")
     token_store.write(_table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -70,6 +74,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+    return quality.judged(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = "<|im_end|><|im_start|>assistant ok"
     planted = spark.createDataFrame(
@@ -167,12 +176,14 @@ FROM safe GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_decontamination": (op1_decontamination, None),
     "op2_token_store": (op2_token_store, None),
     "op3_url_rules": (op3_url_rules, OP3_SQL),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_language_id": (op5_language_id, None),
     "op6_simhash": (op6_simhash, None),
     "op7_mixing": (op7_mixing, OP7_SQL),
+    "op8_quality": (op8_quality, None),
     "op9_chat_format": (op9_chat_format, OP9_SQL),
     "op10_ctw_score": (op10_ctw_score, None),
 }
