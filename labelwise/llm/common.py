@@ -46,9 +46,18 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[have].alias(name) for name, have in columns.items()])
 
 
+#: A written table is broadcast up to this many bytes; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(table: DataFrame, row_bytes: int) -> DataFrame:
+    """``table`` (a written one), hinted as broadcast if its rows are few enough."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the ids in the one column of ``dropped``; rows with a null id stay."""
-    gone = dropped.toDF("gone_id_")
+    """``docs`` less the ids in the one column of the written table ``dropped``; rows with a null id stay."""
+    gone = sized(dropped.toDF("gone_id_"), 16)
     return docs.join(gone, docs[id_col] == gone["gone_id_"], "left_anti")
 
 

@@ -10,7 +10,8 @@ keys), and fingerprints within four bits share a key.  Rows that share a key are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ CHUNK = 1 << 18
 PAIRS = 1 << 21
 TEXTS = 256
 HASHES = 1 << 16
+#: Most that a repeated word weighs in a fingerprint of words.
+WORD_WEIGHT = 4
 
 
 def fingerprint(text: str | None, size: int) -> int:
@@ -241,13 +244,190 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, within: int = WITHIN) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names the component; rows with a null id stay.
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Another hash of the same things."""
+    x = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Of rows that share the id, the first by all columns stays.
+
+def word_prints(words: Sequence[bytes], seeds: Sequence[int]) -> list[int]:
+    """SimHashes of single words, each weighted by its number up to ``WORD_WEIGHT``; no words: zero."""
+    if not words:
+        return [0] * len(seeds)
+    counted = Counter(words)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, SEED) for w in counted), np.uint64, len(counted))
+    weights = np.minimum(np.fromiter(counted.values(), np.int64, len(counted)), WORD_WEIGHT)
+    order = np.argsort(-weights, kind="stable")
+    hashes, weights = hashes[order], weights[order]
+    heavier = [int((weights >= k).sum()) for k in range(1, WORD_WEIGHT + 1)]
+    out = []
+    for seed in seeds:
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), HASHES):
+            part = _mixed(hashes[at : at + HASHES], seed)
+            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for n in heavier:
+                if n > at:
+                    ones += np.add.reduce(bits[: n - at], axis=0, dtype=np.int32)
+        out.append(int(np.packbits(2 * ones > int(weights.sum()), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def _signing(seeds: Sequence[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                same, prints = [], []
+                for text in batch.column(1)[at : at + TEXTS].to_pylist():
+                    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                    same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    prints.append(word_prints(words, seeds))
+                signed = np.array(prints, np.uint64).view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(signed[:, k])) for k in range(len(seeds))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[at : at + TEXTS], pa.array(same, pa.binary()), *columns],
+                    names=["id", "same", *(f"print{k}" for k in range(len(seeds)))],
+                )
+
+    return run
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``size`` words; fewer words make one shingle, none none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    count = max(1, len(words) - size + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + size])) for k in range(count)], np.uint64).view(np.int64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    common_ = int((a[at] == b).sum())
+    return common_ / (len(a) + len(b) - common_)
+
+
+def _shingling(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                sets = [shingle_set(t, size) for t in batch.column(1)[at : at + TEXTS].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[at : at + TEXTS], pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]
+                )
+
+    return run
+
+
+def _verifying(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of similarity ``least`` or more within runs of equal (coarse, tile), one fewer than what they join."""
+
+    def links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        up = list(range(len(nodes)))
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        order = sorted(range(len(nodes)), key=lambda k: len(sets[k]))
+        out = []
+        for n, i in enumerate(order):
+            for j in order[n + 1 :]:
+                if len(sets[i]) < least * len(sets[j]):
+                    break  # the longer set alone keeps them apart, and the next are longer still
+                x, y = top(i), top(j)
+                if x != y and similarity(sets[i], sets[j]) >= least:
+                    up[max(x, y)] = min(x, y)
+                    out.append((nodes[i], nodes[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            a, b = zip(*found) if (found := links(nodes, sets)) else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            shingles = batch.column(3)
+            for row, now in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if now != key:
+                    if len(nodes) > 1:
+                        yield flush()
+                    key, nodes, sets = now, [], []
+                nodes.append(batch.column(2)[row].as_py())
+                sets.append(shingles[row].values.to_numpy().copy())
+        if len(nodes) > 1:
+            yield flush()
+
+    return run
+
+
+def similar_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    least: float = 0.8,
+    seeds: Sequence[int] = (1, 2, 3),
+) -> DataFrame:
+    """``(doc_id, component_id)``: documents joined by links of shingle similarity ``least`` or more.
+
+    Fingerprints of 5-word shingles are some eight bits apart at similarity 0.8, too far for the code's four,
+    so candidates come from fingerprints of single words, which are closer (with three seeds, all 43 such
+    pairs of the measured tables came up); within a group of candidates the exact similarity of the shingle
+    sets decides.  Equal word sequences are one class, texts without words one of them.  Ids are integers;
+    rows with a null id are left out.
     """
-    found = groups(docs, id_col, text_col, size, within)
-    dropped = common.keep_table(
-        found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct(), "near_duplicates"
+    rows = common.narrow(docs, id=id_col, text=text_col).where("id IS NOT NULL")
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    prints = [f"print{k}" for k in range(len(seeds))]
+    signed = common.keep_table(
+        rows.mapInArrow(_signing(seeds), "id long, same binary, " + ", ".join(f"{p} long" for p in prints)), "word_prints"
+    )
+    classes = common.keep_table(
+        signed.groupBy("same").agg(F.min("id").alias("node"), *[F.first(p).alias(p) for p in prints]), "classes"
+    )
+    coarse = None
+    for p in prints:
+        leads = common.keep_table(classes.groupBy(F.col(p).alias("print")).agg(F.min("node").alias("lead")), "print_leads")
+        stars = classes.join(leads, classes[p] == leads["print"]).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        ends = linked(leads).join(leads.toDF("a", "lead_a"), "a").join(leads.toDF("b", "lead_b"), "b").select("lead_a", "lead_b")
+        edges = stars.where("a <> b").unionAll(ends)
+        coarse = edges if coarse is None else coarse.unionAll(edges)
+    candidates = common.keep_table(common.components(coarse, "candidates"), "candidate_groups")
+    sizes = candidates.groupBy("root").agg(F.count("*").alias("members"))
+    blocks = F.ceil(F.col("members") / (TILE // 4)).cast("int")
+    dealt = (
+        candidates.join(sizes, "root")
+        .withColumn("blocks", blocks)
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("tile", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+        .select("root", "tile", "node")
     )
+    wanted = common.sized(candidates.select("node"), 16)
+    texts = rows.join(wanted, rows["id"] == wanted["node"], "left_semi")
+    sets = common.keep_table(texts.mapInArrow(_shingling(size), "id long, shingles array<long>"), "shingle_sets")
+    together = dealt.join(sets.dropDuplicates(["id"]), F.col("node") == F.col("id")).select("root", "tile", "node", "shingles")
+    checked = together.repartition("root", "tile").sortWithinPartitions("root", "tile")
+    roots = common.components(checked.mapInArrow(_verifying(least), "a long, b long"), "similar")
+    named = classes.select("same", "node").join(roots.toDF("member", "root"), F.col("node") == F.col("member"), "left")
+    named = named.select("same", F.coalesce("root", "node").alias("component_id"))
+    return signed.select("id", "same").join(named, "same").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each of ``similar_groups``: the one with the smallest id; null ids stay.
+
+    Of rows that share the id, the first by all columns stays.
+    """
+    found = similar_groups(docs, id_col, text_col, **options)
+    dropped = common.keep_table(found.where("doc_id <> component_id").select("doc_id").distinct(), "near_duplicates")
     return common.single(common.without(docs, id_col, dropped), id_col)
