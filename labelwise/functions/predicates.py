@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,15 @@ def failure_reasons(
     return F.when(status == "not_applicable", F.slice(found, 1, 0)).otherwise(found)
 
 
+def class_filter(wanted: Sequence[str], known: Sequence[str]) -> Callable[[Column], Column]:
+    """A condition on a class column: any of ``wanted``, every class if it is empty; names not known are refused."""
+    names = [w.strip() for w in wanted if w.strip()]
+    unknown = sorted(set(names) - set(known))
+    if unknown:
+        raise ValueError(f"unknown classes: {', '.join(unknown)}")
+    return lambda column: column.isin(names) if names else F.lit(True)
+
+
 def confidence_tier(canonical: Column, conf: Column) -> Column:
     return (
         F.when(canonical.isNull(), "unmapped")

@@ -319,6 +319,12 @@ def rebuild(marked: Column, healed) -> Column:
     return F.array_join(F.transform(F.split(marked, SPAN), piece), "")
 
 
+def _digits_ahead(token: Column) -> Column:
+    """Look-alikes whose run ends at a digit become digits."""
+    noughts = F.regexp_replace(token, r"[Oo](?=[OoIl|]*+\d)", "0")
+    return F.regexp_replace(noughts, r"[Il|](?=[OoIl|]*+\d)", "1")
+
+
 def heal_numbers(text: Column) -> Column:
     """Repair digit look-alikes inside tokens that hold digits."""
     mixed = (
@@ -330,8 +336,8 @@ def heal_numbers(text: Column) -> Column:
         head = F.regexp_extract(t, K.NUMBER_WITH_UNIT, 1)
         unit = F.regexp_extract(t, K.NUMBER_WITH_UNIT, 2)
         digits = F.length(F.regexp_replace(t, r"(?U)\D", ""))
-        runs = F.regexp_replace(t, r"[Oo](?=[OoIl|]*\d)|(?<=\d[OoIl|]{0,40})[Oo]", "0")
-        runs = F.regexp_replace(runs, r"[Il|](?=[OoIl|]*\d)|(?<=\d[OoIl|]{0,40})[Il|]", "1")
+        # a run of look-alikes next to a digit on either side: once forward, once on the reversed token
+        runs = F.reverse(_digits_ahead(F.reverse(_digits_ahead(t))))
         runs = F.when(
             digits >= F.length(t) - 1, F.translate(runs, "Ss", "55")
         ).otherwise(runs)

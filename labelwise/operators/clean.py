@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelwise.functions import text as X
 from labelwise.functions.spans import let
-from labelwise.session import spread
+from labelwise.session import cut, spread
 
 LITERAL_WORDS = 20_000
 SLOTS = 1024
@@ -62,22 +62,26 @@ def clean_corpus(df: DataFrame, key: list[str], text: str, out: str = "clean") -
     Only words travel to build the vocabulary; what comes back are the healed
     words.  A checked small set becomes a literal hash table and the texts are
     rebuilt where they are, with no shuffle.  A larger set joins by shuffle on
-    the word and meets its texts on ``key``.
+    the word and meets its texts on a row number, so ``key`` need not be unique.
+    Both give the same rows.
     """
     marked = spread(df).withColumn("_marked", let(X.repair(F.col(text)), X.mark_words))
-    words = marked.select(*key, F.explode(X.marked_words(F.col("_marked"))).alias("word"))
+    words = marked.select(F.explode(X.marked_words(F.col("_marked"))).alias("word"))
     vocabulary = heal_vocabulary(words)
     head = vocabulary.withColumn("slot", _slot(F.col("word"))).limit(LITERAL_WORDS + 1).collect()
     if len(head) <= LITERAL_WORDS:
         healed = X.rebuild(F.col("_marked"), _literal_lookup(head))
     else:
         # one small map per text: bounded by that text's own distinct words
+        marked = cut(marked.withColumn("_row", F.monotonically_increasing_id()))
+        vocabulary = cut(vocabulary)
+        own = marked.select("_row", F.explode(F.array_distinct(X.marked_words(F.col("_marked")))).alias("word"))
         fixes = (
-            words.join(vocabulary, "word")
-            .groupBy(*key)
+            own.join(vocabulary, "word")
+            .groupBy("_row")
             .agg(F.map_from_entries(F.collect_list(F.struct("word", "keyword"))).alias("_fixes"))
         )
-        marked = marked.join(fixes, key, "left")
+        marked = marked.join(fixes, "_row", "left")
         healed = X.rebuild(F.col("_marked"), lambda w: F.element_at(F.col("_fixes"), w))
     done = let(healed, lambda h: X.finish(X.heal_numbers(h)))
-    return marked.withColumn(out, done).drop("_marked", "_fixes")
+    return marked.withColumn(out, done).drop("_marked", "_fixes", "_row")

@@ -20,7 +20,7 @@ def micros(ts: Column) -> Column:
 
 
 def ranked_frames(frames: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return ranked(frames.withColumn("us", micros(F.col("ts"))), ["cam"], ["us", "seq"], "rn", block_rows)
+    return ranked(frames.withColumn("us", micros(F.col("ts"))), ["cam"], ["us", "seq"], "rn")
 
 
 def detect_throttle(
@@ -105,7 +105,7 @@ def auto_capture(
         (F.col("sharpness") >= floor) & (F.size("live_classes") >= min_classes)
     )
     # eligible frames keep their order, so their own ranks drive the second thinning
-    ranked_able = ranked(able.drop("rn"), ["cam"], ["us", "seq"], "rn", block_rows)
+    ranked_able = ranked(able.drop("rn"), ["cam"], ["us", "seq"], "rn")
     fired = thin(ranked_able, ["cam"], "us", round(cooldown_s * US), "rn", block_rows)
     return fired.where("accepted").select(
         "cam", "seq", "ts", "best_seq", "best_sharpness", F.size("live_classes").alias("n_classes")
@@ -116,7 +116,7 @@ def capture_buffer(captures: DataFrame, keep: int = K.CAPTURE_KEEP, block_rows:
     """Newest ``keep`` captures per camera."""
     newest = ranked(
         captures.withColumn("_neg", -micros(F.col("ts"))).withColumn("_negseq", -F.col("seq")),
-        ["cam"], ["_neg", "_negseq"], "_rn", block_rows,
+        ["cam"], ["_neg", "_negseq"], "_rn",
     )
     return newest.where(F.col("_rn") <= keep).drop("_rn", "_neg", "_negseq")
 

@@ -17,58 +17,19 @@ from pyspark.sql import functions as F
 from labelwise.session import cut
 
 BLOCK_ROWS = 1_000_000
-MAX_BLOCKS = 1024
-SAMPLE_PER_BLOCK = 16
 
 
-def _literal_key(df: DataFrame, names: Sequence[str], row) -> Column:
-    return F.struct(*[F.lit(row[n]).cast(df.schema[n].dataType).alias(n) for n in names])
-
-
-def _bisect(key: Column, bounds: list[Column], low: int, high: int) -> Column:
-    """Number of bounds at or below the key, as a balanced tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key >= bounds[mid], _bisect(key, bounds, mid + 1, high)).otherwise(
-        _bisect(key, bounds, low, mid)
-    )
+def with_block(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``_blk``, the number of a row's range of (keys, order) among Spark's range partitions.
 
+    The ranges come from a sample, so the rows are written once with their numbers.
+    """
+    return cut(df.repartitionByRange(*keys, *order).withColumn("_blk", F.spark_partition_id()))
 
-def with_block(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block_rows: int = BLOCK_ROWS
-) -> tuple[DataFrame, int]:
-    """Add ``_blk``, a range of (keys, order); returns the block count too.
 
-    Range bounds come from a fixed-size hash sample of the ordering columns and
-    are literals in the plan, so a row gets the same block in every attempt.
-    """
-    names = [*keys, *order]
-    rows = df.select(*names).count()
-    blocks = min(MAX_BLOCKS, -(-rows // block_rows)) if rows else 1
-    if blocks <= 1:
-        return df.withColumn("_blk", F.lit(0)), 1
-    want = blocks * SAMPLE_PER_BLOCK
-    sample = df.select(*names).orderBy(F.xxhash64(*names)).limit(want).orderBy(*names).collect()
-    step = max(1, len(sample) // blocks)
-    picks = sample[step::step][: blocks - 1]
-    bounds = [_literal_key(df, names, r) for r in picks]
-    key = F.struct(*[F.col(n) for n in names])
-    return df.withColumn("_blk", _bisect(key, bounds, 0, len(bounds))), blocks
-
-
-def ranked(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str = "rn",
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
     """Exact 1-based row number per key (or over everything when no key)."""
-    blocked, blocks = with_block(df, keys, order, block_rows)
-    if blocks == 1:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return blocked.drop("_blk").withColumn(name, F.row_number().over(w).cast("long"))
+    blocked = with_block(df, keys, order)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(*keys, "_blk")
@@ -232,31 +193,14 @@ def _entry_times(narrow: DataFrame, keys: Sequence[str], effect, fold, key_ddl:
     return effects.groupBy(*keys).applyInPandas(fold, f"{key_ddl}, _chunk long, _in long")
 
 
-def assemble_text(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    text: str,
-    out: str,
-    part_rows: int = 100_000,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Ordered concatenation per key as ``keys, part, out``.
+def assemble_text(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, out: str) -> DataFrame:
+    """Ordered concatenation per key as ``keys, out``: one row per group, whatever its size.
 
-    A group of at most ``part_rows`` rows is one text in part 0.  A larger group
-    comes out as consecutive parts, whole and in order, so no task ever holds a
-    group of unbounded size.
+    The joined text is one value, so its pieces meet in one task, as any text does.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    if sizes.where(F.col("_n") > part_rows).limit(1).count() == 0:
-        parts = df.withColumn("part", F.lit(0).cast("long"))
-    else:
-        parts = ranked(df, keys, order, "_rn", block_rows).withColumn(
-            "part", F.floor((F.col("_rn") - 1) / part_rows)
-        )
     item = F.struct(*[F.col(c) for c in order], F.col(text).alias("_t"))
     return (
-        parts.groupBy(*keys, "part")
+        df.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
         .withColumn(out, F.array_join(F.transform("_items", lambda i: i["_t"]), " "))
         .drop("_items")

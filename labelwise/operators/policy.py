@@ -123,13 +123,11 @@ def apply_profile(verdicts: DataFrame, rules: DataFrame, keys: list[str]) -> Dat
     """Overlay scope, severity, statute, penalty and reason on verdicts.
 
     ``rules`` carries ``config_version`` and joins on ``keys`` (``rule_class``
-    alone for one profile: eight rows, broadcast; or profile and class).  The
+    alone for one profile: eight rows; or profile and class).  The
     verdict itself never changes.  Uncovered classes are reported, never charged.
     """
     cols = [*keys, "profile_name", "config_version", "enabled", "severity", "penalty", "statute"]
-    side = rules.select(*cols).withColumnRenamed("statute", "_statute")
-    if keys == ["rule_class"]:
-        side = F.broadcast(side)
+    side = rules.select(*cols).withColumnRenamed("statute", "_statute").dropDuplicates(keys)
     own = verdicts.withColumn(
         "_own", F.col("statute") if "statute" in verdicts.columns else F.lit(None).cast("string")
     ).drop("statute")
@@ -216,14 +214,12 @@ def summarize_verdicts(overlaid: DataFrame, keys: list[str], order: str = "rule_
 
 def profile_diff(rules: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """Ordered list of what a profile changes against a baseline profile."""
-    base = F.broadcast(
-        baseline.select(
-            "rule_class",
-            F.col("profile_name").alias("b_name"),
-            F.col("enabled").alias("b_enabled"),
-            F.col("severity").alias("b_severity"),
-            F.col("penalty").alias("b_penalty"),
-        )
+    base = baseline.select(
+        "rule_class",
+        F.col("profile_name").alias("b_name"),
+        F.col("enabled").alias("b_enabled"),
+        F.col("severity").alias("b_severity"),
+        F.col("penalty").alias("b_penalty"),
     )
     cls = F.col("rule_class")
     changes = F.array_compact(

@@ -173,16 +173,14 @@ def distinct_readings(df: DataFrame, keys: list[str], order: list[str], text: st
     )
 
 
-def join_readings(
-    df: DataFrame, keys: list[str], order: list[str], text: str = "text", **sizes
-) -> DataFrame:
-    """Distinct readings of each group joined in order: ``keys, part, text``."""
-    return assemble_text(distinct_readings(df, keys, order, text), keys, order, text, text, **sizes)
+def join_readings(df: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
+    """Distinct readings of each group joined in order: ``keys, text``."""
+    return assemble_text(distinct_readings(df, keys, order, text), keys, order, text, text)
 
 
-def pack_text(df: DataFrame, keys: list[str], order: list[str], text: str, **sizes) -> DataFrame:
+def pack_text(df: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
     """Whole-pack text per scan or image from its class texts."""
-    return assemble_text(df.where(F.col(text) != ""), keys, order, text, "pack_text", **sizes)
+    return assemble_text(df.where(F.col(text) != ""), keys, order, text, "pack_text")
 
 
 def scan_dietary(df: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwise.functions import fixed as K
 from labelwise.functions.predicates import path_list
 from labelwise.operators.ordering import ranked
+from labelwise.session import cut
 
 
 def _failed() -> Column:
@@ -319,47 +323,83 @@ def apply_reviews(
     return updated, audit, rejected
 
 
+def _fold_admins(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Accounts of administrators, then changes among them in order; the state is one flag per administrator."""
+    active: dict[int, bool] = {}
+    for part in rows:
+        faults = []
+        for r in part.itertuples():
+            fault = None
+            if r.seq < 0:
+                active[r.user_id] = r.set_active
+            elif not active.get(r.actor_id, False):
+                fault = "not allowed"
+            elif r.actor_id == r.user_id and not r.set_active:
+                fault = "cannot deactivate self"
+            elif not r.set_active and sum(active.values()) <= 1:
+                fault = "one active admin must remain"
+            else:
+                active[r.user_id] = r.set_active
+            faults.append(fault)
+        yield part.assign(fault=faults)
+
+
 def user_status_changes(
     users: DataFrame, changes: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Judge activation changes: accepted with audit text, and rejected with fault.
+    """Judge activation changes in order: accepted with audit text, and rejected with fault.
 
-    No one deactivates themselves and one active admin always remains: of the
-    admins asked to leave, the first ones go while another active admin is left.
+    Every change is judged by the accounts as the accepted changes before it left them: only an active
+    admin may change accounts, no one deactivates themselves, and one active admin always remains.
+    Changes to admins decide this alone; they are few and are folded in order, with a flag per admin held.
+    All other changes look up their actor's state at their time.
     """
-    actors = users.select(F.col("user_id").alias("actor_id"), F.col("role").alias("a_role"), F.col("active").alias("a_active"))
-    targets = users.select("user_id", F.col("role").alias("t_role"), F.col("active").alias("t_active"))
-    j = changes.join(actors, "actor_id", "left").join(targets, "user_id", "left")
-    fault = (
-        F.when(~F.coalesce((F.col("a_role") == "Admin") & F.col("a_active"), F.lit(False)), "not allowed")
-        .when(F.col("t_role").isNull(), "user not found")
-        .when((F.col("actor_id") == F.col("user_id")) & ~F.col("set_active"), "cannot deactivate self")
-    )
-    checked = j.withColumn("fault", fault)
-    leaving = checked.where(
-        "fault is null and t_role = 'Admin' and t_active and not set_active"
-    ).groupBy("user_id").agg(F.min("seq").alias("seq"))
-    turn = ranked(leaving, [], ["seq", "user_id"], "_turn").drop("seq")
-    admins = users.where("role = 'Admin' and active").agg(F.count("*").alias("_admins"))
-    out = (
-        checked.join(turn, "user_id", "left")
-        .join(F.broadcast(admins), F.lit(True))
-        .withColumn(
-            "fault",
-            F.coalesce(
-                "fault",
-                F.when(
-                    ~F.col("set_active") & F.col("_turn").isNotNull() & (F.col("_turn") >= F.col("_admins")),
-                    "one active admin must remain",
-                ),
-            ),
-        )
+    admins = users.where("role = 'Admin'").select("user_id", "active")
+    known = users.select("user_id", F.col("role").alias("t_role"))
+    asked = changes.join(known, "user_id", "left")
+    steps = asked.where("t_role = 'Admin'").join(admins.select(F.col("user_id").alias("actor_id")), "actor_id", "left_semi")
+    start = admins.select(F.lit(-1).alias("seq"), F.col("user_id").alias("actor_id"), "user_id", F.col("active").alias("set_active"))
+    longs = [F.col(c).cast("long").alias(c) for c in ("seq", "actor_id", "user_id")]
+    ordered = (
+        start.unionByName(steps.select("seq", "actor_id", "user_id", "set_active"))
+        .select(*longs, "set_active")
+        .repartition(1)
+        .sortWithinPartitions("seq", "user_id")
     )
-    accepted = out.where("fault is null").select(
+    folded = cut(ordered.mapInPandas(_fold_admins, "seq long, actor_id long, user_id long, set_active boolean, fault string"))
+    # what each admin is from each accepted step on, and every change's actor looked up in that
+    states = folded.where("fault is null").select(
+        F.col("user_id").alias("actor_id"), "seq", F.lit(0).alias("kind"), F.col("set_active").alias("state"), *_nothing(changes)
+    )
+    others = asked.where("t_role is null or t_role <> 'Admin'")
+    asking = others.select("actor_id", F.col("seq").cast("long").alias("seq"), F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("state"),
+                           F.col("user_id").alias("on_user"), F.col("set_active").alias("to_active"), "t_role")
+    upto = Window.partitionBy("actor_id").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    looked = states.unionByName(asking).withColumn("may", F.last("state", ignorenulls=True).over(upto)).where("kind = 1")
+    plain = looked.select(
+        "actor_id", F.col("on_user").alias("user_id"), F.col("to_active").alias("set_active"), "seq",
+        F.when(~F.coalesce("may", F.lit(False)), "not allowed").when(F.col("t_role").isNull(), "user not found").alias("fault"),
+    )
+    outside = asked.where("t_role = 'Admin'").join(admins.select(F.col("user_id").alias("actor_id")), "actor_id", "left_anti").select(
+        "actor_id", "user_id", "set_active", F.col("seq").cast("long").alias("seq"), F.lit("not allowed").alias("fault")
+    )
+    judged = plain.unionByName(outside).unionByName(
+        folded.where("seq >= 0").select("actor_id", "user_id", "set_active", "seq", "fault")
+    )
+    accepted = judged.where("fault is null").select(
         "actor_id", "user_id", "set_active", "seq",
         F.format_string("User %d active=%s", "user_id", F.initcap(F.col("set_active").cast("string"))).alias("details"),
     )
-    return accepted, out.where("fault is not null").select("actor_id", "user_id", "set_active", "seq", "fault")
+    return accepted, judged.where("fault is not null")
+
+
+def _nothing(changes: DataFrame) -> list[Column]:
+    kinds = dict(changes.dtypes)
+    return [
+        F.lit(None).cast(kinds["user_id"]).alias("on_user"),
+        F.lit(None).cast("boolean").alias("to_active"),
+        F.lit(None).cast("string").alias("t_role"),
+    ]
 
 
 def integrity_check(users: DataFrame, scans: DataFrame, results: DataFrame) -> DataFrame:

@@ -81,17 +81,22 @@ def failures(log: DataFrame, threshold: float | None = None) -> DataFrame:
     return kept.withColumn("reasons", reasons).where(F.size("reasons") > 0)
 
 
-def failures_by_image(log: DataFrame, threshold: float | None = None, part_rows: int = 10_000) -> DataFrame:
-    """Image to its failing readings; huge images come in consecutive parts."""
+def failures_by_image(log: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Image to its failing readings, one row per image."""
     item = F.struct("detection_index", "ocr_source", "ocr_text", "ocr_confidence", "ocr_error", "reasons")
-    part = F.floor(F.coalesce("detection_index", F.lit(-1)) / part_rows)
     return (
         failures(log, threshold)
-        .groupBy("image_path", part.alias("part"))
+        .groupBy("image_path")
         .agg(F.array_sort(F.collect_list(item)).alias("failures"))
     )
 
 
+def sample_n(images: DataFrame, limit: int | None, path: str = "image_path") -> DataFrame:
+    """The first ``limit`` images by lower-cased path, all of them without a limit."""
+    ordered = images.orderBy(F.lower(path), path)
+    return ordered if limit is None else ordered.limit(limit)
+
+
 # --- digest -----------------------------------------------------------------
 
 
@@ -100,8 +105,6 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
 
     Boxes are counted, readings joined without repeats, and the class's parser
     judges the joined text; the care class is judged again with the whole pack.
-    A group of more than 100,000 distinct readings comes as consecutive parts,
-    each a row of its own.
     """
     base = newest_pass(log).where("canonical_class is not null and canonical_class <> ''").select(
         F.col("image_path").alias("image"), F.col("canonical_class").alias("class"), "ln",
@@ -114,14 +117,13 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
     rows = (
         counts.join(joined, ["image", "class"], "left")
         .withColumn("combined_text", F.coalesce("text", F.lit("")))
-        .withColumn("part", F.coalesce("part", F.lit(0)))
         .drop("text")
     )
     # classes per image are few, so a pack is a small ordered list
     packs = rows.where("combined_text <> ''").groupBy("image").agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("ord", "class", "part", "combined_text"))),
+                F.array_sort(F.collect_list(F.struct("ord", "class", "combined_text"))),
                 lambda r: r["combined_text"],
             ),
             " ",
@@ -130,9 +132,9 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
     care = F.col("class") == "consumer_care_fssai"
     # both cleanings and the verdicts read these rows, so they are written once
     rows = cut(rows.join(packs, "image", "left"))
-    rows = clean_corpus(rows, ["image", "class", "part"], "combined_text")
+    rows = clean_corpus(rows, ["image", "class"], "combined_text")
     rows = rows.withColumn("_wide", F.when(care, F.concat_ws(" ", "clean", "pack")).otherwise(""))
-    rows = clean_corpus(rows, ["image", "class", "part"], "_wide", "wide")
+    rows = clean_corpus(rows, ["image", "class"], "_wide", "wide")
     rows = parse_by_class(rows, as_of, "class", "clean", None, "own")
     rows = parse_by_class(
         rows.withColumn("_care", F.when(care, F.col("class"))), as_of, "_care", "clean", "wide", "packwide",
@@ -141,7 +143,7 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
     filled = F.col("combined_text") != ""
     parsed = F.when(filled, F.when(care, F.col("packwide")).otherwise(F.col("own")))
     return rows.select(
-        "image", "class", "part", "box_count", "combined_text", "ord",
+        "image", "class", "box_count", "combined_text", "ord",
         parsed.alias("parsed"),
         F.when(care & filled, F.col("packwide.is_compliant"))
         .when(filled, F.col("own.is_compliant"))

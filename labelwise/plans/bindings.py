@@ -162,10 +162,10 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Box and polygon rows cut from embedding values, one file per label.
+    """Box and polygon rows cut from whole embeddings, value after value, one file per label.
 
-    Every third row is a polygon in files whose label is not a multiple of 3;
-    every eleventh row is neither.
+    The rows of every third vector are polygons in files whose label is not a multiple of 3;
+    those of every eleventh are neither.
     """
     e = table(spark, sf, "embeddings")
     n = (
@@ -173,13 +173,13 @@ def label_rows(spark: SparkSession, sf: str) -> DataFrame:
         .when((F.col("vec_id") % 3 == 0) & (F.col("label") % 3 != 0), 8)
         .otherwise(4)
     )
-    scaled = F.transform(
-        F.slice("embedding", F.lit(1), n), lambda v: F.round(v.cast("double") * 0.8 + 0.5, 6)
-    )
+    e = e.withColumn("n", n)
+    e = e.withColumn("k", F.explode(F.expr("sequence(0, int((size(embedding) - 1) div n))")))
+    scaled = F.transform(F.expr("slice(embedding, k * n + 1, n)"), lambda v: F.round(v.cast("double") * 0.8 + 0.5, 6))
     return e.select(
         F.when(F.col("label") % 4 == 0, "valid").when(F.col("label") % 4 == 1, "test").otherwise("train").alias("split"),
         F.concat(F.lit("f"), F.col("label").cast("string"), F.lit(".txt")).alias("file"),
-        (F.col("vec_id") + 1).alias("line"),
+        (F.col("vec_id") * 32 + F.col("k") + 1).alias("line"),
         (F.col("vec_id") % 8).cast("int").alias("class_id"),
         scaled.alias("vals"),
     ).withColumn(
@@ -190,13 +190,16 @@ def label_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LABEL_CTE = """
+  vecs AS (
+    SELECT *, CASE WHEN vec_id % 11 = 0 THEN 3 WHEN vec_id % 3 = 0 AND label % 3 <> 0 THEN 8 ELSE 4 END AS step FROM embeddings),
+  rows AS (SELECT *, unnest(range(0, len(embedding), step)) AS start FROM vecs),
   base AS (
-    SELECT vec_id, label, embedding,
+    SELECT vec_id, label, embedding[start + 1:start + step] AS embedding,
       CASE WHEN label % 4 = 0 THEN 'valid' WHEN label % 4 = 1 THEN 'test' ELSE 'train' END AS split,
-      concat('f', CAST(label AS VARCHAR), '.txt') AS file, vec_id + 1 AS line,
+      concat('f', CAST(label AS VARCHAR), '.txt') AS file, vec_id * 32 + start // step + 1 AS line,
       CAST(vec_id % 8 AS INTEGER) AS class_id,
-      CASE WHEN vec_id % 11 = 0 THEN 3 WHEN vec_id % 3 = 0 AND label % 3 <> 0 THEN 8 ELSE 4 END AS n
-    FROM embeddings),
+      len(embedding[start + 1:start + step]) AS n
+    FROM rows),
   vals AS (
     SELECT *, list_transform(embedding[1:n], lambda v: round(CAST(v AS DOUBLE) * 0.8 + 0.5, 6)) AS v,
       max(n) OVER (PARTITION BY split, file) + 1 > 6 AS seg FROM base),

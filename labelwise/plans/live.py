@@ -155,7 +155,7 @@ def frame_stream(spark, sf) -> DataFrame:
     """The events as a stream of frame files, written once in the shared folder."""
     path = shared_dir(spark, "frames")
     frames = B.frames(spark, sf).select("cam", "ts", "seq", "sharpness", "width", "height", "classes", "n_det", "det_error")
-    frames.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    frames.repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(path)
     return T.read_stream(spark, path)
 
 

@@ -82,7 +82,7 @@ JOINED = """WITH t AS (SELECT source, lang, doc_id, trim(text) AS text,
     regexp_replace(lower(trim(text)), '[^a-z0-9]+', '', 'g') AS fp FROM conversations),
   f AS (SELECT conv_id, role, min(turn) AS turn, arg_min(text, turn) AS text FROM t WHERE text <> ''
     GROUP BY conv_id, role, CASE WHEN fp = '' THEN CAST(turn AS VARCHAR) ELSE fp END)
-  SELECT conv_id, role, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY turn) AS text FROM f GROUP BY conv_id, role""")
+  SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn) AS text FROM f GROUP BY conv_id, role""")
 def join_readings(spark, sf):
     conv = table(spark, sf, "conversations")
     return C.join_readings(conv, ["conv_id", "role"], ["turn"], "text")
@@ -96,14 +96,29 @@ def distinct_readings(spark, sf):
     )
 
 
-@query("pack_text", """SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY turn) AS pack_text
+@query("pack_text", """SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS pack_text
   FROM conversations WHERE text <> '' GROUP BY conv_id""")
 def pack_text(spark, sf):
     return C.pack_text(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "text")
 
 
+@query("class_filter", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')")
+def class_filter(spark, sf):
+    chosen = Q.class_filter(["click ", "view", ""], ["click", "view", "error", "purchase", "signup"])
+    return table(spark, sf, "events").where(chosen(F.col("event_type"))).select("event_id", "event_type")
+
+
+@query("sample_n", """SELECT concat(upper(source), '/', CAST(doc_id AS VARCHAR)) AS image_path FROM documents
+  ORDER BY lower(image_path), image_path LIMIT 25""")
+def sample_n(spark, sf):
+    images = table(spark, sf, "documents").select(
+        F.concat(F.upper("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("image_path")
+    )
+    return W.sample_n(images, 25)
+
+
 @query("scan_dietary", """WITH d AS (SELECT user_id AS scan_id, CASE event_type WHEN 'click' THEN 'VEG'
-    WHEN 'view' THEN 'NON_VEG' WHEN 'error' THEN 'UNCERTAIN' ELSE 'NOT_DETECTED' END AS s, event_id FROM events WHERE value > 100)
+    WHEN 'view' THEN 'NON_VEG' WHEN 'error' THEN 'UNCERTAIN' ELSE 'NOT_DETECTED' END AS s, event_id FROM events)
   SELECT scan_id, coalesce(arg_min(s, event_id) FILTER (s IN ('VEG', 'NON_VEG')), 'NOT_DETECTED') AS dietary_status
   FROM d GROUP BY scan_id""")
 def scan_dietary(spark, sf):
@@ -111,7 +126,7 @@ def scan_dietary(spark, sf):
         F.when(F.col("event_type") == "click", "VEG").when(F.col("event_type") == "view", "NON_VEG")
         .when(F.col("event_type") == "error", "UNCERTAIN").otherwise("NOT_DETECTED")
     )
-    marks = table(spark, sf, "events").where("value > 100").select(
+    marks = table(spark, sf, "events").select(
         F.col("user_id").alias("scan_id"), status.alias("dietary_status"),
         F.col("event_id").alias("image_ord"), F.lit(0).alias("det_idx"),
     )

@@ -240,17 +240,28 @@ def review_audit(spark, sf):
 @query("user_status_changes", with_cte("users", """
   , ch AS (SELECT event_id AS seq, user_id * 10 AS user_id, (user_id * 50) % 500 AS actor_id, value > 30 AS set_active
     FROM events),
-  c AS (SELECT ch.*, t.role AS t_role, t.active AS t_active,
-      CASE WHEN a.role IS NULL OR a.role <> 'Admin' OR NOT a.active THEN 'not allowed'
-           WHEN t.role IS NULL THEN 'user not found'
-           WHEN ch.actor_id = ch.user_id AND NOT set_active THEN 'cannot deactivate self' END AS f
-    FROM ch LEFT JOIN users a ON a.user_id = ch.actor_id LEFT JOIN users t ON t.user_id = ch.user_id),
-  q AS (SELECT user_id, row_number() OVER (ORDER BY min(seq), user_id) AS turn FROM c
-    WHERE f IS NULL AND t_role = 'Admin' AND t_active AND NOT set_active GROUP BY user_id)
-  SELECT c.actor_id, c.user_id, set_active, seq, coalesce(f, CASE WHEN NOT set_active AND turn IS NOT NULL
-      AND turn >= (SELECT count(*) FROM users WHERE role = 'Admin' AND active)
-    THEN 'one active admin must remain' END, '') AS fault
-  FROM c LEFT JOIN q USING (user_id)""".replace("\n  , ch", ", ch")))
+  adm AS (SELECT user_id, active FROM users WHERE role = 'Admin'),
+  st AS (SELECT row_number() OVER (ORDER BY seq, user_id) AS k, * FROM ch
+    WHERE user_id IN (SELECT user_id FROM adm) AND actor_id IN (SELECT user_id FROM adm)),
+  f AS (SELECT 0 AS k, (SELECT list(user_id) FROM adm WHERE active) AS alive, CAST(NULL AS VARCHAR) AS fault
+    UNION ALL SELECT st.k,
+      CASE WHEN NOT list_contains(f.alive, st.actor_id) OR (NOT set_active AND (st.actor_id = st.user_id OR len(f.alive) <= 1))
+        THEN f.alive
+        WHEN set_active THEN list_distinct(list_append(f.alive, st.user_id))
+        ELSE list_filter(f.alive, lambda x: x <> st.user_id) END,
+      CASE WHEN NOT list_contains(f.alive, st.actor_id) THEN 'not allowed'
+        WHEN NOT set_active AND st.actor_id = st.user_id THEN 'cannot deactivate self'
+        WHEN NOT set_active AND len(f.alive) <= 1 THEN 'one active admin must remain' ELSE '' END
+    FROM f JOIN st ON st.k = f.k + 1),
+  reached AS (SELECT coalesce(st.seq, -1) AS at_seq, f.k, f.alive FROM f LEFT JOIN st USING (k)),
+  upto AS (SELECT at_seq, arg_max(alive, k) AS alive FROM reached GROUP BY at_seq)
+  SELECT ch.actor_id, ch.user_id, ch.set_active, ch.seq, CASE
+    WHEN st.k IS NOT NULL THEN f.fault
+    WHEN NOT coalesce(list_contains(upto.alive, ch.actor_id), false) THEN 'not allowed'
+    WHEN u.user_id IS NULL THEN 'user not found' ELSE '' END AS fault
+  FROM ch ASOF JOIN upto ON ch.seq >= upto.at_seq
+  LEFT JOIN st ON st.seq = ch.seq AND st.user_id = ch.user_id LEFT JOIN f ON f.k = st.k
+  LEFT JOIN users u ON u.user_id = ch.user_id""".replace("\n  , ch", ", ch")))
 def user_status_changes(spark, sf):
     changes = table(spark, sf, "events").select(
         F.col("event_id").alias("seq"), (F.col("user_id") * 10).alias("user_id"),

@@ -30,29 +30,27 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one written table.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; only where it
-    is unset (tests, one machine) a temporary folder takes its place.
+    is unset and Spark runs on this machine alone a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/labelwise/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame, task_bytes: int = 4 << 20) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Even out a small input over all cores before CPU-heavy projections.
 
     Text work costs far more than its bytes suggest, so a table of a few
-    megabytes would run as one task.  Large inputs already have enough splits
-    and pass through untouched, without a shuffle.
+    megabytes would run as one task.  Inputs of many files already have enough
+    splits and pass through untouched, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(
-        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
-    )
-    return df.repartition(cores) if size < cores * task_bytes else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwise.functions import fixed as K
 from labelwise.functions.predicates import path_list
+from labelwise.operators.ordering import ranked
 
 SWEEP_LOG = (
     "record_type string, image_path string, image_filename string, detection_index int, "
@@ -22,20 +25,29 @@ FRAMES = (
 )
 
 
+def file_place() -> Column:
+    """Where a row stands in its source: file, start of the split, place within the split's task.
+
+    A task may pack several splits, largest files first; within one of them its rows ascend.
+    """
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+
+
 def read_sweep_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with torn and blank lines skipped; neighbours survive.
 
-    Written logs carry ``ln``.  Where it is missing, the place in the files
-    (path, split, row) takes its role.
+    Written logs carry ``ln``.  Where it is missing everywhere, the rows are numbered by
+    their place in the files (path, split, row).
     """
     raw = (
         spark.read.schema(SWEEP_LOG + ", _corrupt_record string")
         .option("mode", "PERMISSIVE")
         .json(path)
-        .select("*", F.monotonically_increasing_id().alias("_row"))
+        .select("*", file_place().alias("_row"))
     )
     good = raw.where("_corrupt_record is null and record_type is not null")
-    return good.withColumn("ln", F.coalesce("ln", "_row")).drop("_corrupt_record", "_row")
+    numbered = ranked(good.withColumn("_rest", F.col("ln").isNull()), [], ["_rest", "_row"], "_n")
+    return numbered.withColumn("ln", F.coalesce("ln", "_n")).drop("_corrupt_record", "_row", "_rest", "_n")
 
 
 def parse_label_lines(text: Column) -> Column:
@@ -93,7 +105,9 @@ def class_names(lines: DataFrame, text: str = "value") -> DataFrame:
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """Image paths below a folder, by lower-cased relative path; contents unread."""
-    rel = F.regexp_replace(F.col("path"), f"^.*{root.rstrip('/').split('/')[-1]}/", "")
+    # what is listed lies below the root, so the first place where its last folders appear is the root itself
+    top = re.sub(r"^[a-z0-9+.-]+:/*", "/", root.rstrip("/")) + "/"
+    rel = F.substring(F.col("path"), F.instr(F.col("path"), top) + len(top), 1 << 30)
     suffix = F.lower(F.substring_index("path", ".", -1))
     return (
         spark.read.format("binaryFile")
@@ -125,8 +139,8 @@ def tidy_truth(raw: DataFrame, order: str) -> DataFrame:
 
 
 def read_truth_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
-    return tidy_truth(raw.withColumn("_n", F.monotonically_increasing_id()), "_n")
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return tidy_truth(raw.withColumn("_n", file_place()), "_n")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -189,6 +189,41 @@ def test_shuffled_vocabulary_gives_the_same_text(spark, monkeypatch):
     assert want[1] == "OUR, CARE MANUFACTURED BY ACME"
 
 
+def test_rows_that_share_a_key_are_cleaned_each(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "trur| CARE"), (1, "Manutactured bv ACME")], "i int, t string")
+    want = sorted(r.clean for r in CL.clean_corpus(df, ["i"], "t").collect())
+    monkeypatch.setattr(CL, "LITERAL_WORDS", 0)
+    assert sorted(r.clean for r in CL.clean_corpus(df, ["i"], "t").collect()) == want
+
+
+def test_a_long_run_of_look_alikes_is_repaired_whole(spark):
+    df = spark.createDataFrame([("12" + "O" * 60 + "Z",)], "t string")
+    assert df.select(X.heal_numbers(F.col("t")).alias("h")).first().h == "12" + "0" * 60 + "Z"
+
+
+def test_admins_are_judged_by_the_state_at_their_turn(spark):
+    users = spark.createDataFrame([(1, "Admin", True), (2, "Admin", True), (3, "Admin", True), (9, "Viewer", True)], "user_id long, role string, active boolean")
+    rows = [(1, 2, False, 1), (2, 9, False, 2), (1, 3, False, 3), (1, 2, True, 4), (2, 1, False, 5), (2, 2, False, 6), (2, 7, True, 7), (1, 9, True, 8)]
+    changes = spark.createDataFrame(rows, "actor_id long, user_id long, set_active boolean, seq long")
+    accepted, rejected = V.user_status_changes(users, changes)
+    assert sorted(r.seq for r in accepted.collect()) == [1, 3, 4, 5]
+    assert {r.seq: r.fault for r in rejected.collect()} == {
+        2: "not allowed", 6: "cannot deactivate self", 7: "user not found", 8: "not allowed"}
+
+
+def test_a_folder_named_like_the_root_is_kept(spark, tmp_path):
+    (tmp_path / "img" / "a" / "img").mkdir(parents=True)
+    (tmp_path / "img" / "a" / "img" / "x.jpg").write_bytes(b"x")
+    (tmp_path / "img" / "B.png").write_bytes(b"x")
+    got = [r.image_path for r in R.list_images(spark, str(tmp_path / "img")).collect()]
+    assert got == ["a/img/x.jpg", "B.png"]
+
+
+def test_unknown_classes_are_refused(spark):
+    with pytest.raises(ValueError):
+        Q.class_filter(["mrp", "nonsense"], ["mrp"])
+
+
 def lcs_ratio(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
