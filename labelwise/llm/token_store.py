@@ -34,91 +34,103 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
     "compression": "zstd",
 }
-#: Entries that a task remembers of each kind before it starts afresh.
-MEMORY = 400_000
+#: Words and chunks that a task remembers before it starts afresh.
+MEMORY = 700_000
 #: Characters of texts, and ids, that one batch holds at most (one document more).
 BATCH_CHARS = 2 << 20
 SCHEMA = "doc_id long, first long, n_tokens int, tokens array<int>"
 
 #: Characters whose class (letter, digit, white space, other) needs no Unicode tables to tell.
 PLAIN = re.compile("[\t-\r -\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
+#: How the vocabulary writes a space.
+SPACE_MARK = "\u0120"
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 PIECES = re.compile(rf" ?[{LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
-class Memory:
-    """What has come up in two batches; it starts afresh when full, which costs time only."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.once: set[str] = set()
-
-    def add(self, fresh: dict[str, bytes]) -> None:
-        again = fresh.keys() & self.once
-        if len(self.known) > MEMORY:
-            self.known = {}
-        self.known.update((k, fresh[k]) for k in again)
-        self.once = {*fresh} if len(self.once) > MEMORY else self.once | (fresh.keys() - again)
-
-
 class PieceEncoder:
     """Byte-level BPE of whole texts by the tokenizers library, each distinct piece of a batch encoded once.
 
     The tokenizer splits a text before it merges, and it always splits at a space with more than space after
-    it; what stands between two such places has the same ids in any text.  A text with a run of white space
-    after a space goes to the library whole.  Ids are held as little-endian unsigned 32-bit integers.
+    it; what stands between two such places (a chunk) has the same ids in any text.  A text with a run of
+    white space after a space goes to the library whole.  Words stay in memory, and so do other chunks that
+    come up again; a full memory starts afresh, which costs time only.  Ids are held as little-endian
+    unsigned 32-bit integers.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.chunks, self.pieces = Memory(), Memory()
+        # the same merges for words that are split already, without the pattern
+        self.merges = Tokenizer.from_file(path)
+        self.merges.encode_special_tokens = True
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.opens = np.zeros(self.library.get_vocab_size(), bool)
+        self.opens[[k for t, k in self.library.get_vocab().items() if t.startswith(SPACE_MARK)]] = True
+        self.known: dict[str, bytes] = {}  # chunks, without the space before them
+        self.marks: dict[str, bytes] = {}  # pieces that are no word after a space
+        self.once: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in done]
 
-    def _encode_pieces(self, wanted: set[str]) -> dict[str, bytes]:
-        words = [p for p in wanted if p[0] == " " and p[1:].isalpha()]
-        others = [p for p in wanted if not (p[0] == " " and p[1:].isalpha())]
-        out = dict(zip(others, self._encode(others)))
-        for at in range(0, len(words), 256):
-            some = words[at : at + 256]
-            joined = self.library.encode("".join(some), add_special_tokens=False)
-            ids = np.asarray(joined.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(joined.word_ids, minlength=len(some)))).tolist()
-            out.update(zip(some, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word with a space before it: a token that opens with a space opens a word."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            [joined] = self.merges.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            flat = np.asarray(joined.ids, "<u4")
+            ids, cuts = flat.tobytes(), (4 * np.flatnonzero(self.opens[flat])).tolist()
+            out.update(zip(some, [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]))
         return out
 
-    def _encode_chunks(self, wanted: set[str]) -> dict[str, bytes]:
-        plain = {c for c in wanted if PLAIN.fullmatch(c)}
-        split = {c: (" " + c,) if c.isalpha() else PIECES.findall(" " + c) for c in plain}
-        whole = list(wanted - plain)
-        out = dict(zip(whole, self._encode([" " + c for c in whole])))
-        known = self.pieces.known
-        fresh = self._encode_pieces({p for parts in split.values() for p in parts if p not in known})
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        known, marks = self.known, self.marks
+        words = {c for c in missing if c.isascii() and c.isalpha()}
+        split, whole = {}, []
+        for c in missing - words:
+            if PLAIN.fullmatch(c):
+                split[c] = PIECES.findall(" " + c)
+            else:
+                whole.append(c)
+        pieces = {p for parts in split.values() for p in parts}
+        inner = {p for p in pieces if p[0] == " " and p[1:].isalpha()}
+        unknown = [p for p in pieces - inner if p not in marks]
+        marks.update(zip(unknown, self._encode(unknown)))
+        fresh = self._encode_words([*words, *({p[1:] for p in inner} - words - known.keys())])
+        both = {p: fresh.get(p[1:]) or known[p[1:]] for p in inner}
+        rest = dict(zip(whole, self._encode([" " + c for c in whole])))
         for c, parts in split.items():
-            out[c] = b"".join([known.get(p) or fresh[p] for p in parts])
-        self.pieces.add(fresh)
-        return out
+            rest[c] = b"".join([both.get(p) or marks[p] for p in parts])
+        if len(known) > MEMORY:  # the batch at hand still reads the old one
+            known = self.known = {}
+        known.update(fresh)
+        known.update((c, rest[c]) for c in rest.keys() & self.once)
+        self.once = {*rest} if len(self.once) > MEMORY // 4 else self.once | rest.keys()
+        if len(marks) > MEMORY // 4:
+            self.marks = {}
+        return fresh | rest
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        known = self.chunks.known
-        missing = {c for parts in cut for c in parts[1:]} - known.keys()
+        missing = {c for parts in cut for c in parts[1:]} - self.known.keys()
         odd = {c for c in missing if not c or c[0].isspace()}
-        fresh = self._encode_chunks(missing - odd)
+        get = self.known.get
+        fresh = self._learn(missing - odd)
         plain = [k for k, parts in enumerate(cut) if not odd or odd.isdisjoint(parts[1:])]
         heads = self._encode([cut[k][0] for k in plain])
-        get, out = known.get, [b""] * len(texts)
+        out = [b""] * len(texts)
         for k, head in zip(plain, heads):
             out[k] = head + b"".join([get(c) or fresh[c] for c in cut[k][1:]])
         whole = sorted(set(range(len(texts))) - set(plain))
         for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
             out[k] = ids
-        self.chunks.add(fresh)
         return out
 
 
