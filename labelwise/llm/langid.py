@@ -18,7 +18,7 @@ DEPTH = 4
 #: Training documents of each language, about; the rest of the labelled rows is not needed.
 TRAIN_DOCS = 1500
 #: Contexts kept, and costs (context, byte, language) that every task holds at most.
-CONTEXTS = 30_000
+CONTEXTS = 10_000
 CELLS = 64 << 20
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
