@@ -9,9 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,38 +87,33 @@ class WindowCounts:
         return out
 
 
-def context_levels(windows: DataFrame, depth: int, *extra: str) -> list[DataFrame]:
-    """From ``windows (key, n, *extra)``: for depth 0..depth the table ``(context, byte, *extra, n)``, each from the next deeper."""
-    level = common.keep_table(
-        windows.select(F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("byte"), *extra, "n"),
-        "contexts",
+def context_rows(windows: DataFrame, depth: int, *extra: str) -> DataFrame:
+    """From ``windows (key, n, *extra)`` the written table ``(depth, context, byte, *extra, n)`` of contexts of 0 to ``depth`` bytes."""
+    cut = windows.select(
+        F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"), "key", F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("byte"), *extra, "n"
     )
-    levels = [level]
-    for _ in range(depth):
-        shorter = level.groupBy(F.shiftright("context", 8).alias("context"), "byte", *extra).agg(F.sum("n").alias("n"))
-        level = common.keep_table(shorter, "contexts")
-        levels.insert(0, level)
-    return levels
+    context = F.expr(f"shiftright(key, 8 * ({depth} - depth + 1))").alias("context")
+    return common.keep_table(cut.groupBy("depth", context, "byte", *extra).agg(F.sum("n").alias("n")), "contexts")
 
 
-def common_contexts(levels: Sequence[DataFrame], limit: int, least: int = 1) -> list[DataFrame]:
-    """The rows of the commonest contexts, at most ``limit`` of all depths together, seen ``least`` times or more.
+def common_contexts(rows: DataFrame, depth: int, limit: int, least: int = 1) -> list[pd.DataFrame]:
+    """Per depth the rows of the commonest contexts, at most ``limit`` of all depths together, seen ``least`` times or more.
 
-    This bounds the tree whatever the corpus.  A context's shorter forms are at least as common, so the kept
-    ones form a tree; the bound on the count is a step of an eighth of a doubling, so ties fall together.
+    This bounds the tree, and what comes to the driver, whatever the corpus.  A context's shorter forms are
+    at least as common, so the kept ones form a tree; the bound on the count is a step of an eighth of a
+    doubling, so ties fall together.
     """
-    totals = [level.groupBy("context").agg(F.sum("n").alias("total")) for level in levels]
-    steps = reduce(
-        DataFrame.unionAll, [t.groupBy(F.floor(F.log2("total") * 8).alias("step")).count() for t in totals]
-    ).groupBy("step").agg(F.sum("count").alias("contexts"))
+    totals = common.keep_table(rows.groupBy("depth", "context").agg(F.sum("n").alias("total")), "context_totals")
+    step = F.floor(F.log2("total") * 8)
     kept, bound = 0, math.inf
-    for row in sorted(steps.collect(), reverse=True):
-        kept += row["contexts"]
+    for row in sorted(totals.groupBy(step.alias("step")).count().collect(), reverse=True):
+        kept += row["count"]
         if kept > limit:
             break
         bound = row["step"]
-    wanted = [t.where((F.floor(F.log2("total") * 8) >= bound) & (F.col("total") >= least)).select("context") for t in totals]
-    return [level.join(w, "context") for level, w in zip(levels, wanted)]
+    wanted = totals.where((step >= bound) & (F.col("total") >= least)).select("depth", "context")
+    found = rows.join(wanted, ["depth", "context"]).toPandas()
+    return [part.drop(columns="depth") for part in (found[found["depth"] == d] for d in range(depth + 1))]
 
 
 @dataclass

@@ -100,10 +100,10 @@ def learn(labelled: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS, per
     languages = sorted(r["lang"] for r in sums.select("lang").distinct().collect())
     if not languages:
         return [], None, None
-    levels = bytetree.context_levels(sums, depth, "lang")
+    rows = bytetree.context_rows(sums, depth, "lang")
     room = max(256, min(contexts, CELLS // (256 * len(languages))))
-    kept = [k.toPandas() for k in bytetree.common_contexts(levels, room, least=4)]
-    seen = np.sort(levels[0].select("byte").distinct().toPandas()["byte"].to_numpy())
+    kept = bytetree.common_contexts(rows, depth, room, least=4)
+    seen = np.sort(kept[0]["byte"].unique())
     held = [np.unique(k["context"].to_numpy(np.int64)) for k in kept]
     if not len(held[0]):
         held[0] = np.zeros(1, np.int64)
