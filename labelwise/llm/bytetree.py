@@ -112,7 +112,7 @@ def common_contexts(rows: DataFrame, depth: int, limit: int, least: int = 1) ->
             break
         bound = row["step"]
     wanted = totals.where((step >= bound) & (F.col("total") >= least)).select("depth", "context")
-    found = rows.join(wanted, ["depth", "context"]).toPandas()
+    found = rows.join(wanted, ["depth", "context"]).toArrow().to_pandas()
     return [part.drop(columns="depth") for part in (found[found["depth"] == d] for d in range(depth + 1))]
 
 
