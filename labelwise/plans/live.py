@@ -173,15 +173,22 @@ def stream_auto_capture(spark, sf):
 
 
 @query("stream_frame_windows", with_cte("frames", """
-  SELECT cam, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS frames FROM frames
-  WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM frames) - INTERVAL 1 HOUR GROUP BY 1, 2"""))
+  SELECT cam, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, count(*) AS frames FROM frames GROUP BY 1, 2"""))
 def stream_frame_windows(spark, sf):
-    got = run(spark, T.windows(frame_stream(spark, sf), "1 hour", "1 day"), "windows")
+    out, mark = shared_dir(spark, "windows"), shared_dir(spark, "windows-state")
+    windows = T.windows(frame_stream(spark, sf), "1 hour", "1 day")
+    T.serve_updates(windows, out, mark).awaitTermination()
+    got = T.newest_updates(spark, out, windows.schema, ["cam", "start"])
     return got.select("cam", F.unix_micros("start").alias("start_us"), "frames")
 
 
-@query("stream_latest_only", None)
+@query("stream_latest_only", with_cte("frames", """
+  SELECT cam, max(seq) AS seq, arg_max(sharpness, seq) AS sharpness, count(*) AS frames FROM frames GROUP BY cam"""))
 def stream_latest_only(spark, sf):
+    """What was served last, and how many frames were served or dropped, however the stream was cut into batches."""
     out, mark = shared_dir(spark, "latest"), shared_dir(spark, "latest-state")
     T.serve_latest(frame_stream(spark, sf), out, mark).awaitTermination()
-    return spark.read.parquet(out)
+    served = spark.read.parquet(out).groupBy("cam")
+    return served.agg(
+        F.max("seq").alias("seq"), F.max_by("sharpness", "seq").alias("sharpness"), F.sum(F.col("dropped") + 1).alias("frames")
+    )

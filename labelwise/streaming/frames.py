@@ -112,16 +112,30 @@ def sessions(frames: DataFrame, late: str, gap: str) -> DataFrame:
 
 
 def serve_latest(frames: DataFrame, path: str, checkpoint: str):
-    """Serve only the newest frame of each micro-batch; the backlog is counted and dropped."""
+    """Serve only the newest frame of each micro-batch; the backlog is counted and dropped.
+
+    An epoch has a folder of its own, so one that is tried again writes the same rows once.
+    """
+    return _by_epoch(frames.writeStream, B.latest_only, path, checkpoint)
+
+
+def serve_updates(stream: DataFrame, path: str, checkpoint: str):
+    """Rows of an aggregate as they change, a folder for each epoch; windows still open at the end are there too."""
+    return _by_epoch(stream.writeStream.outputMode("update"), lambda rows: rows, path, checkpoint)
+
+
+def newest_updates(spark, path: str, schema, keys: list[str]) -> DataFrame:
+    """The last state of each key that ``serve_updates`` wrote."""
+    rows = spark.read.schema(schema.add("epoch", "long")).parquet(path)
+    values = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_v")).select(*keys, "_v.*").drop("epoch")
+
+
+def _by_epoch(writer, rows: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     def write(batch: DataFrame, epoch: int) -> None:
-        B.latest_only(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        rows(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    return (
-        frames.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return writer.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str):
