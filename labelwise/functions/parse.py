@@ -299,7 +299,7 @@ def date_labels(text: Column) -> Column:
 
 
 def label_dates(dates: Column, labels: Column) -> Column:
-    """Dates split into packed, expiry and unlabelled by the label nearest each."""
+    """Gives every date the kind of its closest label span, so dates fall into three arrays by kind."""
 
     def nearest(d: Column) -> Column:
         ranked = F.transform(
