@@ -113,6 +113,17 @@ def truth_csv(spark, sf):
     return S.tidy_truth(back.withColumn("turn", F.col("turn").cast("int")), "turn")
 
 
+@query("truth_csv_files", """SELECT CAST(conv_id AS VARCHAR) AS key, arg_max(concat('"q", ', trim(text)), turn) AS text
+  FROM conversations GROUP BY conv_id""")
+def truth_csv_files(spark, sf):
+    """The reader itself on files in row order, with quotes and line breaks: the last row of a key wins."""
+    quoted = F.concat(F.lit('"q", '), F.trim("text"))
+    rows = table(spark, sf, "conversations").orderBy("conv_id", "turn").select(F.col("conv_id").alias("key"), quoted.alias("text"))
+    path = shared_dir(spark, "truth_files")
+    rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return S.read_truth_csv(spark, path)
+
+
 @query("digest_csv", reading.DIGEST + """SELECT image, class, CAST(box_count AS VARCHAR) AS box_count,
     CASE WHEN is_compliant THEN 'yes' ELSE 'no' END AS is_compliant, combined_text FROM g JOIN t USING (image, class)""")
 def digest_csv(spark, sf):
