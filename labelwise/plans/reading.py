@@ -298,10 +298,19 @@ def failure_reasons(spark, sf):
 
 
 @query("failures_by_image", with_cte("log", FAILED.strip() + """
-  SELECT image_path, count(*) AS n FROM f WHERE reasons <> '' GROUP BY 1""").replace("\n, f", ", f"))
+  SELECT image_path, count(*) AS n, string_agg(concat(coalesce(CAST(detection_index AS VARCHAR), ''), '|', coalesce(ocr_text, ''), '|',
+      coalesce(CAST(CAST(round(ocr_confidence * 1000) AS INTEGER) AS VARCHAR), ''), '|', coalesce(ocr_error, ''), '|', reasons), ';'
+    ORDER BY detection_index NULLS FIRST, ocr_text NULLS FIRST, ocr_confidence NULLS FIRST) AS failures
+  FROM f WHERE reasons <> '' GROUP BY 1""").replace("\n, f", ", f"))
 def failures_by_image(spark, sf):
-    return W.failures_by_image(status_log(spark, sf)).groupBy("image_path").agg(
-        F.sum(F.size("failures")).alias("n")
+    def line(x):
+        confidence = F.round(x["ocr_confidence"] * 1000).cast("int").cast("string")
+        fields = (x["detection_index"].cast("string"), x["ocr_text"], confidence, x["ocr_error"], F.concat_ws(",", x["reasons"]))
+        return F.concat_ws("|", *[F.coalesce(f, F.lit("")) for f in fields])
+
+    rows = W.failures_by_image(status_log(spark, sf))
+    return rows.select(
+        "image_path", F.size("failures").cast("long").alias("n"), F.array_join(F.transform("failures", line), ";").alias("failures")
     )
 
 
