@@ -30,8 +30,10 @@ GENERATOR = 0b110001110101
 #: Rows of one key that meet in a task; the members of a commoner key meet tile by tile.
 TILE = 1024
 #: Rows that a task compares at a time, and pairs it holds before it joins them up.
-CHUNK = 1 << 18
-PAIRS = 1 << 21
+CHUNK = 1 << 16
+#: Runs beyond this length are joined up one by one, shorter ones together.
+LONG_RUN = 64
+PAIRS = 1 << 18
 TEXTS = 256
 HASHES = 1 << 16
 #: Most that a repeated word weighs in a fingerprint of words.
@@ -163,12 +165,39 @@ def joined_up(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return members[moved], members[label[moved]]
 
 
+def _spread_from(bits: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one long run as ``(member, first member reached)``: each member looks only at those not reached yet,
+    so a dense run costs little more than its length."""
+    left = np.unique(bits)
+    members, firsts = [], []
+    while len(left):
+        first, left = left[0], left[1:]
+        queue = [first]
+        while queue and len(left):
+            near = np.bitwise_count(left ^ queue.pop()) <= within
+            if near.any():
+                reached, left = left[near], left[~near]
+                queue += list(reached)
+                members.append(reached)
+                firsts.append(np.full(len(reached), first))
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *members]), np.concatenate([none, *firsts])
+
+
 def _comparing(within: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links among rows sorted by (key, tile), joined up; a run of equal keys is never cut."""
 
     def links(key: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] = []
         right: list[np.ndarray] = []
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+        sizes = np.diff(np.r_[starts, len(key)])
+        for at in np.flatnonzero(sizes > LONG_RUN):
+            a, b = _spread_from(bits[starts[at] : starts[at] + sizes[at]], within)
+            left.append(a)
+            right.append(b)
+        short = np.repeat(sizes <= LONG_RUN, sizes)
+        key, bits = key[short], bits[short]
         here, lag = np.arange(len(key) - 1), 1
         while len(here):
             here = here[: np.searchsorted(here, len(key) - lag)]
@@ -180,6 +209,8 @@ def _comparing(within: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             if sum(map(len, left)) > PAIRS or not len(here):
                 a, b = joined_up(np.concatenate(left), np.concatenate(right))
                 left, right = [a], [b]
+        if left:
+            left, right = [np.concatenate(left)], [np.concatenate(right)]
         if left and len(left[0]):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(left[0].view(np.int64)), pa.array(right[0].view(np.int64))], names=["a", "b"]

@@ -35,7 +35,7 @@ LAYOUT = {
     "compression": "zstd",
 }
 #: Words and chunks that a task remembers before it starts afresh.
-MEMORY = 700_000
+MEMORY = 500_000
 #: Characters of texts, and ids, that one batch holds at most (one document more).
 BATCH_CHARS = 2 << 20
 SCHEMA = "doc_id long, first long, n_tokens int, tokens array<int>"

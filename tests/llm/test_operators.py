@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -86,6 +87,30 @@ def brute_components(prints):
     return root
 
 
+@pytest.mark.parametrize("long_run", [64, 2])
+def test_links_join_the_same_prints_in_any_run_length(monkeypatch, long_run):
+    monkeypatch.setattr(simhash, "LONG_RUN", long_run)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 5, dtype=np.int64)
+    prints = base[rng.integers(0, 5, 300)] ^ (1 << rng.integers(0, 60, 300)) ^ (1 << rng.integers(0, 60, 300))
+    key = np.sort(rng.integers(0, 6, 300)).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(300, np.int32)), pa.array(prints)], names=["key", "tile", "print"])
+    got = [x for b in simhash._comparing(4)(iter([batch])) for x in zip(b["a"].to_pylist(), b["b"].to_pylist())]
+    pairs = [(p, q) for k, p in zip(key, prints.tolist()) for j, q in zip(key, prints.tolist()) if k == j and (p ^ q).bit_count() <= 4]
+
+    def tops(links):
+        root = {p: p for p in prints.tolist()}
+        for _ in range(len(root)):
+            new = dict(root)
+            for a, b in links:
+                new[a] = new[b] = min(new[a], new[b])
+            if new == root:
+                return root
+            root = new
+
+    assert tops(got) == tops(pairs)
+
+
 @pytest.mark.parametrize("tile", [simhash.TILE, 4])
 def test_components_equal_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
