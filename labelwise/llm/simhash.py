@@ -33,6 +33,8 @@ TILE = 1024
 CHUNK = 1 << 16
 #: Runs beyond this length are joined up one by one, shorter ones together.
 LONG_RUN = 64
+#: Shared shingles that are multiplied at a time.
+COLUMNS = 2048
 PAIRS = 1 << 18
 TEXTS = 256
 HASHES = 1 << 16
@@ -342,6 +344,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common_ / (len(a) + len(b) - common_)
 
 
+def similarities(sets: Sequence[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of each two sets, from products of their incidence over the members that sets share."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    use = shared[member]
+    owner, column = owner[use], number[member[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[owner[lo:hi], column[lo:hi] - start] = 1
+        both += block @ block.T
+    union = sizes[:, None] + sizes[None, :] - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
 def _shingling(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,25 +381,10 @@ def _verifying(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     """Links of similarity ``least`` or more within runs of equal (coarse, tile), one fewer than what they join."""
 
     def links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        up = list(range(len(nodes)))
-
-        def top(k: int) -> int:
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        order = sorted(range(len(nodes)), key=lambda k: len(sets[k]))
-        out = []
-        for n, i in enumerate(order):
-            for j in order[n + 1 :]:
-                if len(sets[i]) < least * len(sets[j]):
-                    break  # the longer set alone keeps them apart, and the next are longer still
-                x, y = top(i), top(j)
-                if x != y and similarity(sets[i], sets[j]) >= least:
-                    up[max(x, y)] = min(x, y)
-                    out.append((nodes[i], nodes[j]))
-        return out
+        near = np.triu(similarities(sets) >= least, 1)
+        a, b = np.nonzero(near)
+        members, firsts = joined_up(a, b) if len(a) else (a, b)
+        return [(nodes[i], nodes[j]) for i, j in zip(members.tolist(), firsts.tolist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets = None, [], []

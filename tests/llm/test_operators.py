@@ -160,6 +160,16 @@ def test_similar_groups_find_what_jaccard_finds(spark):
                 assert got[i] != got[j]
 
 
+def test_similarities_of_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 3)
+    rng = random.Random(11)
+    sets = [np.array(sorted(rng.sample(range(30), rng.randint(0, 12))), np.int64) for _ in range(25)]
+    got = simhash.similarities(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert got[i, j] == pytest.approx(simhash.similarity(a, b))
+
+
 def test_one_of_each_group_stays(odd):
     kept = simhash.deduplicated(odd)
     assert kept.columns == odd.columns
