@@ -10,6 +10,7 @@ keys), and fingerprints within four bits share a key.  Rows that share a key are
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -40,6 +41,12 @@ TEXTS = 256
 HASHES = 1 << 16
 #: Most that a repeated word weighs in a fingerprint of words.
 WORD_WEIGHT = 4
+#: Classes whose shingles are counted to tell common ones, and how many of the commonest are told; only the order of
+#: shingles and the tiles of common ones depend on them, no result does.
+COUNTED = 20_000
+COMMON_SHINGLES = 100_000
+#: Times a shingle must be counted to be a common one.
+OFTEN = 4
 
 
 def fingerprint(text: str | None, size: int) -> int:
@@ -377,6 +384,127 @@ def _shingling(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def _prefixing(
+    size: int, least: float, common_keys: np.ndarray, counts: np.ndarray
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first shingles of each text in one order of all shingles, common ones last: two sets of similarity ``least``
+    or more have one of them in common.  Members of a shingle expected more than ``TILE`` times are dealt to tiles."""
+
+    def prefix(node: int, text: str | None) -> list[np.ndarray]:
+        shingles = shingle_set(text, size)
+        at = np.minimum(np.searchsorted(common_keys, shingles), max(len(common_keys) - 1, 0))
+        expected = np.where(common_keys[at] == shingles, counts[at], 0) if len(common_keys) else np.zeros(len(shingles), np.int64)
+        first = max(0, len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1) if len(shingles) else 0
+        order = np.lexsort((shingles, expected))[:first]
+        key, place = shingles[order], np.arange(len(order))
+        blocks = np.where(expected[order] > TILE, -(-expected[order] // (TILE // 2)), 1)
+        again = np.repeat(np.arange(len(order)), blocks)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        blocks = blocks[again]
+        own = xxhash.xxh64_intdigest(int(node).to_bytes(8, "little", signed=True), SEED) % (1 << 31) % blocks
+        tile = np.minimum(own, other) * blocks + np.maximum(own, other)
+        return [key[again], tile, np.full(len(again), node), np.full(len(again), len(shingles)), place[again]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                found = [prefix(n, t) for n, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                columns = [np.concatenate(c).astype(kind) for c, kind in zip(zip(*found), ("i8", "i8", "i8", "i4", "i4"))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "tile", "node", "size", "place"])
+
+    return run
+
+
+def _prefix_linking(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links among rows sorted by (key, tile) of sets that may be of similarity ``least``, joined up: their sizes fit,
+    and behind the shared shingle enough is left of both for what they must have in common."""
+
+    def fits(size: np.ndarray, place: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        both = least / (1 + least) * (size[i] + size[j]) - 1e-6
+        left = np.minimum(size[i] - place[i], size[j] - place[j])
+        return (left >= both) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6)
+
+    def spread(size: np.ndarray, place: np.ndarray, left: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        members, firsts = [], []
+        while len(left):
+            first, left = left[0], left[1:]
+            queue = [first]
+            while queue and len(left):
+                near = fits(size, place, queue.pop(), left)
+                if near.any():
+                    reached, left = left[near], left[~near]
+                    queue += list(reached)
+                    members.append(reached)
+                    firsts.append(np.full(len(reached), first))
+        return members, firsts
+
+    def links(key: np.ndarray, tile: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = run_starts(key, tile)
+        sizes = np.diff(np.r_[starts, len(key)])
+        left: list[np.ndarray] = [np.zeros(0, np.int64)]
+        right: list[np.ndarray] = [np.zeros(0, np.int64)]
+        for at in np.flatnonzero(sizes > LONG_RUN):
+            a, b = spread(size, place, np.arange(starts[at], starts[at] + sizes[at]))
+            left += [node[x] for x in a]
+            right += [node[x] for x in b]
+        number = np.repeat(np.where(sizes <= LONG_RUN, np.arange(len(sizes)), -1), sizes)
+        here, lag = np.flatnonzero(number >= 0), 1
+        while True:
+            here = here[: np.searchsorted(here, len(key) - lag)]
+            here = here[number[here] == number[here + lag]]
+            if not len(here):
+                break
+            near = here[fits(size, place, here, here + lag)]
+            left.append(node[near])
+            right.append(node[near + lag])
+            lag += 1
+        a, b = np.concatenate(left), np.concatenate(right)
+        if len(a):
+            a, b = joined_up(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run_starts(key: np.ndarray, tile: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])][: len(key)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            held = [np.concatenate(pair) for pair in zip(held, columns)] if held else columns
+            if len(held[0]) > CHUNK:
+                whole = run_starts(*held[:2])[-1]
+                if whole:
+                    yield from links(*[c[:whole] for c in held])
+                    held = [c[whole:] for c in held]
+        if held and len(held[0]):
+            yield from links(*held)
+
+    return run
+
+
+def prefix_links(texts: DataFrame, classes: DataFrame, size: int, least: float) -> DataFrame:
+    """``(a, b)``: links that join all ``(id, text)`` rows whose shingle sets have similarity ``least`` or more.
+
+    An exact join on each text's rarest shingles; pairs below ``least`` may be linked too.  ``classes`` is the written
+    table of the ids (column ``node``).
+    """
+    every = max(1, math.ceil(classes.count() / COUNTED))
+    counted = common.sized(classes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("node"), 16)
+    sets = texts.join(counted, texts["id"] == counted["node"], "left_semi").mapInArrow(
+        _shingling(size), "id long, shingles array<long>"
+    )
+    often = sets.select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= OFTEN)
+    told = often.orderBy(F.desc("count"), "key").limit(COMMON_SHINGLES).toArrow()
+    keys, counts = told.column("key").to_numpy(), told.column("count").to_numpy() * every
+    order = np.argsort(keys)
+    first = texts.mapInArrow(
+        _prefixing(size, least, keys[order], counts[order]), "key long, tile long, node long, size int, place int"
+    )
+    together = first.repartition("key", "tile").sortWithinPartitions("key", "tile")
+    return together.mapInArrow(_prefix_linking(least), "a long, b long").distinct()
+
+
 def _verifying(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links of similarity ``least`` or more within runs of equal (coarse, tile), one fewer than what they join."""
 
@@ -418,9 +546,8 @@ def similar_groups(
 ) -> DataFrame:
     """``(doc_id, component_id)``: documents joined by links of shingle similarity ``least`` or more.
 
-    Fingerprints of 5-word shingles are some eight bits apart at similarity 0.8, too far for the code's four,
-    so candidates come from fingerprints of single words, which are closer (with three seeds, all 43 such
-    pairs of the measured tables came up); within a group of candidates the exact similarity of the shingle
+    Candidates come from fingerprints of single words, which lie closer than those of 5-word shingles, and from
+    ``prefix_links``, which leaves out no pair; within a group of candidates the exact similarity of the shingle
     sets decides.  Equal word sequences are one class, texts without words one of them.  Ids are integers;
     rows with a null id are left out.
     """
@@ -440,6 +567,9 @@ def similar_groups(
         ends = linked(leads).join(leads.toDF("a", "lead_a"), "a").join(leads.toDF("b", "lead_b"), "b").select("lead_a", "lead_b")
         edges = stars.where("a <> b").unionAll(ends)
         coarse = edges if coarse is None else coarse.unionAll(edges)
+    nodes = common.sized(classes.select("node"), 16)
+    exact = prefix_links(rows.join(nodes, rows["id"] == nodes["node"], "left_semi"), classes, size, least)
+    coarse = exact if coarse is None else coarse.unionAll(exact)
     candidates = common.keep_table(common.components(coarse, "candidates"), "candidate_groups")
     sizes = candidates.groupBy("root").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / (TILE // 4)).cast("int")

@@ -160,6 +160,39 @@ def test_similar_groups_find_what_jaccard_finds(spark):
                 assert got[i] != got[j]
 
 
+@pytest.mark.parametrize("tile", [simhash.TILE, 4])
+def test_similar_groups_after_every_kind_of_edit(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(13)
+    words = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    passage, texts = words(40), []
+    for k in range(120):
+        base = words(rng.randint(60, 250)) + (passage if k % 3 == 0 else [])
+        part = int(len(base) * rng.uniform(0.04, 0.23))
+        other = list(base)
+        if k % 4 == 0:
+            other += words(part)
+        elif k % 4 == 1:
+            other = other[part:] if k % 8 == 1 else other[: len(other) - part]
+        elif k % 4 == 2:
+            other[len(other) // 2 : len(other) // 2 + part // 2] = words(part // 2)
+        else:
+            for at in rng.sample(range(len(base)), max(1, part // 10)):
+                other[at] = words(1)[0]
+        texts += [base, other]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = dict(rows_of(simhash.similar_groups(docs), "doc_id", "component_id"))
+    alike = simhash.similarities([simhash.shingle_set(" ".join(t), 5) for t in texts])
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike[i, j] >= 0.8:
+                want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+    assert got == dict(enumerate(want)) and len(set(want)) < 190
+    kinds = Counter(k // 2 % 4 for k in range(1, 240, 2) if 0.8 <= alike[k, k - 1] <= 0.95)
+    assert min(kinds[k] for k in range(4)) >= 5
+
+
 def test_similarities_of_all_pairs(monkeypatch):
     monkeypatch.setattr(simhash, "COLUMNS", 3)
     rng = random.Random(11)
