@@ -1,6 +1,6 @@
 """Token ids in Parquet: list columns with dictionary encoding, delta-encoded metadata, page indexes.
 
-A store is a folder of files in ascending id order.  Row groups and pages have set sizes, so a reader that
+A store is a folder of files in ascending id order, or in an order of the caller's.  Row groups and pages have set sizes, so a reader that
 wants a few documents or only the counts touches a few pages: ``read_counts`` never reads a token page and
 ``read_documents`` prunes row groups and pages by the id.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -175,16 +175,27 @@ def _encode_with(path: str, end: bytes) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
+def write(
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: int = 0,
+    order: Sequence[str] = (),
+) -> None:
     """Encode every whole text (null: empty), append ``end_id`` and write a store in ascending id order.
 
-    Null ids come first; rows of one id lie side by side in order of their texts.  ``part`` numbers the files
+    Null ids come first; rows of one id lie side by side in order of their texts.  With columns ``order`` the
+    documents lie in ascending order of these instead.  ``part`` numbers the files
     in that order and ``first`` counts the ids before a document in its file.  An empty table gives an empty store.
     """
-    rows = common.narrow(docs, doc_id=id_col, text=text_col).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    places = {f"order{k}_": name for k, name in enumerate(order)}
+    rows = common.narrow(docs, doc_id=id_col, text=text_col, **places).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *places
     )
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranges, within = (list(places), list(places)) if order else (["doc_id"], ["doc_id", "text"])
+    ordered = rows.repartitionByRange(*ranges).sortWithinPartitions(*within).select("doc_id", "text")
     end = int(end_id).to_bytes(4, "little")
     coded = ordered.mapInArrow(_encode_with(tokenizer, end), SCHEMA)
     coded.withColumn("part", F.spark_partition_id()).write.options(**LAYOUT).parquet(path)

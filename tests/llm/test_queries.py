@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from check import TABLES, compare
+from labelwise.llm import mixing
 from labelwise.llm.common import keep_table
 from labelwise.llm.queries import QUERIES
 
@@ -36,6 +37,19 @@ def test_pipeline_stages(spark, sf):
     assert index.count() == counts[3]
 
 
+@pytest.mark.parametrize("written", [True, False])
+def test_token_files_follow_the_training_positions(spark, sf, written):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    when = {}
+    for r in mixing.plan(docs).where("taken > 0").collect():
+        when[r.doc_id] = list(r.positions)[::-1]
+    mixed = corpus_pipeline.mixing_stage(spark, docs, sf)
+    index = corpus_pipeline.token_stage(spark, keep_table(mixed, "mixed") if written else mixed, sf).orderBy("start").collect()
+    order = [when[r.doc_id].pop() for r in index]
+    assert len(order) > 50 and order == sorted(order)
+    assert [r.start for r in index[1:]] == [r.start + r.n_tokens for r in index[:-1]]
+
+
 def test_pipeline_of_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
