@@ -2,7 +2,7 @@
 
 An item may occur in a document with up to ``budget`` edits.  Cut into ``budget + 1`` pieces, at least one
 piece is then there unchanged; an automaton finds all pieces in one pass over a text, and Myers' bit-parallel
-distance decides each place where one was hit.
+distance decides each place where one was hit.  Short items that may have no edit count as whole words only.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from labelwise.llm import common
 
-#: Edits allowed per character of an item, and the fewest characters of an item that says anything.
+#: Edits allowed per character of an item, and the characters below which an item without edits must be whole words.
 ERROR_RATE = 0.05
-SHORTEST = 32
+SHORT = 32
 #: Characters of items that one automaton holds; a larger benchmark is searched block by block.
 BLOCK_CHARS = 4 << 20
 TEXTS = 256
 NOT_WORD = re.compile(r"[\W_]+")
+#: Characters of scripts that set no spaces between words: Thai, Lao, Burmese, Khmer, kana, Chinese.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normal(text: str | None) -> str:
@@ -73,12 +75,24 @@ class Pattern:
         return best, at
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word of the normal ``text`` goes on beyond ``start`` or ``end``; unspaced scripts may be cut anywhere."""
+    return all(
+        " " in (sides := text[max(0, at - 1) : at + 1]) or len(sides) < 2 or UNSPACED.search(sides) for at in (start, end)
+    )
+
+
 def find(text: str, automaton: ahocorasick.Automaton, items: Sequence[tuple[int, str, int]]) -> list[tuple[int, int, int]]:
     """``(item, distance, end)`` of the best occurrence of each item within its budget in a normal text."""
     areas: dict[int, list[list[int]]] = {}
+    exact: dict[int, int] = {}
     for end, places in automaton.iter(text):
         for k, offset, size in places:
             _, item, errors = items[k]
+            if not errors and size < SHORT:
+                if k not in exact and whole_words(text, end + 1 - size, end + 1):
+                    exact[k] = end + 1
+                continue
             start = end + 1 - size - offset
             lo, hi = start - errors, start + len(item) + errors
             held = areas.setdefault(k, [])
@@ -86,7 +100,7 @@ def find(text: str, automaton: ahocorasick.Automaton, items: Sequence[tuple[int,
                 held[-1] = [min(lo, held[-1][0]), max(hi, held[-1][1])]
             else:
                 held.append([lo, hi])
-    found = []
+    found = [(k, 0, end) for k, end in exact.items()]
     for k, held in areas.items():
         _, item, errors = items[k]
         pattern = None
@@ -143,7 +157,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float)
     block, held = [], 0
     for row in rows.toLocalIterator():
         item = normal(row["text"])
-        if len(item) >= SHORTEST:
+        if item:
             block.append((int(row["item"]), item, budget(len(item), rate)))
             held += len(item)
             if held >= BLOCK_CHARS:
@@ -153,6 +167,18 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float)
         yield block
 
 
+def _emptying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        empty = [not normal(t) for t in batch.column(1).to_pylist()]
+        yield batch.filter(pa.array([e or i is None for e, i in zip(empty, batch.column(0).to_pylist())], pa.bool_()))
+
+
+def left_out(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(item_id, text)``: the items that are not searched, those empty in normal form or with a null id."""
+    rows = common.narrow(benchmark, item_id=item_col, text=text_col).select("item_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_emptying, rows.schema)
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -165,8 +191,8 @@ def matches(
     """``(doc_id, item_id, distance, budget, end)``: every item found in every document, at its best place.
 
     Both sides are compared in normal form (``normal``), whole; ``end`` is a place in that form.  An item may
-    have ``rate`` edits for each of its characters.  Items of fewer than ``SHORTEST`` characters, or with a
-    null id or text, are not searched.  Documents with a null id are searched and reported under null; a null
+    have ``rate`` edits for each of its characters; if that is less than one edit, an item of fewer than ``SHORT``
+    characters must be there as whole words.  Items in ``left_out`` are not searched.  Documents with a null id are searched and reported under null; a null
     or empty text holds nothing.  Repeated items and rows are each reported.  No items: no rows.
     """
     rows = common.narrow(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))

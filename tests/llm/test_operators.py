@@ -373,6 +373,19 @@ def test_edited_items_are_found(spark, monkeypatch):
     assert none.count() == 0
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "日本の首都はどこですか"), (3, "cat"), (4, "?!"), (5, None), (6, "what is the capital of mali"), (None, "dog")]
+    docs = [
+        (10, "quiz: who  WROTE hamlet - Shakespeare"), (11, "who wrote hamlets"), (12, "次の問題、日本の首都はどこですかと聞く"), (13, "concatenate; a cat."),
+        (14, "what is the capital oh mali"), (15, "what is a capital oh mali"), (16, "xcat catx"), (17, "?!"), (18, "cat"),
+    ]
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), items_df).collect()
+    want = {(10, 1, 0, 0, 21), (12, 2, 0, 0, 16), (13, 3, 0, 0, 17), (18, 3, 0, 0, 3), (14, 6, 1, 1)}
+    assert {tuple(r) if r.item_id != 6 else tuple(r)[:4] for r in got} == want and len(got) == len(want)
+    assert sorted(rows_of(decontam.left_out(items_df), "item_id", "text"), key=str) == [(4, "?!"), (5, None), (None, "dog")]
+
+
 # --- language, scoring, quality ---------------------------------------------
 
 
