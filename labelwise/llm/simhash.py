@@ -43,7 +43,7 @@ HASHES = 1 << 16
 WORD_WEIGHT = 4
 #: Classes whose shingles are counted to tell common ones, and how many of the commonest are told; only the order of
 #: shingles and the tiles of common ones depend on them, no result does.
-COUNTED = 20_000
+COUNTED = 5_000
 COMMON_SHINGLES = 100_000
 #: Times a shingle must be counted to be a common one.
 OFTEN = 4
@@ -388,7 +388,8 @@ def _prefixing(
     size: int, least: float, common_keys: np.ndarray, counts: np.ndarray
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The first shingles of each text in one order of all shingles, common ones last: two sets of similarity ``least``
-    or more have one of them in common.  Members of a shingle expected more than ``TILE`` times are dealt to tiles."""
+    or more have one of them in common.  Members of a shingle expected more than ``TILE`` times are dealt to tiles.
+    A key is 40 bits of shingle and tile, ``at`` the size of the set and the place of the shingle in it."""
 
     def prefix(node: int, text: str | None) -> list[np.ndarray]:
         shingles = shingle_set(text, size)
@@ -403,21 +404,22 @@ def _prefixing(
         blocks = blocks[again]
         own = xxhash.xxh64_intdigest(int(node).to_bytes(8, "little", signed=True), SEED) % (1 << 31) % blocks
         tile = np.minimum(own, other) * blocks + np.maximum(own, other)
-        return [key[again], tile, np.full(len(again), node), np.full(len(again), len(shingles)), place[again]]
+        keys = np.where(tile > 0, _mixed(key[again].view(np.uint64) + tile.astype(np.uint64), 1), key[again].view(np.uint64))
+        return [keys >> np.uint64(24), np.full(len(again), node), len(shingles) << 32 | place[again]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 found = [prefix(n, t) for n, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                columns = [np.concatenate(c).astype(kind) for c, kind in zip(zip(*found), ("i8", "i8", "i8", "i4", "i4"))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "tile", "node", "size", "place"])
+                columns = [np.concatenate(c).astype("i8") for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "at"])
 
     return run
 
 
 def _prefix_linking(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links among rows sorted by (key, tile) of sets that may be of similarity ``least``, joined up: their sizes fit,
+    """Links among rows sorted by key of sets that may be of similarity ``least``, joined up: their sizes fit,
     and behind the shared shingle enough is left of both for what they must have in common."""
 
     def fits(size: np.ndarray, place: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
@@ -439,8 +441,8 @@ def _prefix_linking(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     firsts.append(np.full(len(reached), first))
         return members, firsts
 
-    def links(key: np.ndarray, tile: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = run_starts(key, tile)
+    def links(key: np.ndarray, node: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts, size, place = run_starts(key), packed >> 32, packed & 0xFFFFFFFF
         sizes = np.diff(np.r_[starts, len(key)])
         left: list[np.ndarray] = [np.zeros(0, np.int64)]
         right: list[np.ndarray] = [np.zeros(0, np.int64)]
@@ -464,8 +466,8 @@ def _prefix_linking(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             a, b = joined_up(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def run_starts(key: np.ndarray, tile: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])][: len(key)])
+    def run_starts(key: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -473,7 +475,7 @@ def _prefix_linking(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             columns = [c.to_numpy() for c in batch.columns]
             held = [np.concatenate(pair) for pair in zip(held, columns)] if held else columns
             if len(held[0]) > CHUNK:
-                whole = run_starts(*held[:2])[-1]
+                whole = run_starts(held[0])[-1]
                 if whole:
                     yield from links(*[c[:whole] for c in held])
                     held = [c[whole:] for c in held]
@@ -499,9 +501,9 @@ def prefix_links(texts: DataFrame, classes: DataFrame, size: int, least: float)
     keys, counts = told.column("key").to_numpy(), told.column("count").to_numpy() * every
     order = np.argsort(keys)
     first = texts.mapInArrow(
-        _prefixing(size, least, keys[order], counts[order]), "key long, tile long, node long, size int, place int"
+        _prefixing(size, least, keys[order], counts[order]), "key long, node long, at long"
     )
-    together = first.repartition("key", "tile").sortWithinPartitions("key", "tile")
+    together = first.repartition("key").sortWithinPartitions("key")
     return together.mapInArrow(_prefix_linking(least), "a long, b long").distinct()
 
 
