@@ -43,7 +43,7 @@ HASHES = 1 << 16
 WORD_WEIGHT = 4
 #: Classes whose shingles are counted to tell common ones, and how many of the commonest are told; only the order of
 #: shingles and the tiles of common ones depend on them, no result does.
-COUNTED = 5_000
+COUNTED = 20_000
 COMMON_SHINGLES = 100_000
 #: Times a shingle must be counted to be a common one.
 OFTEN = 4
