@@ -14,10 +14,10 @@ WORDS = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def keep_table(df: DataFrame, name: str) -> DataFrame:
+def keep_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost tasks reread it."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwise.llm import chat, common, ctw, decontam, exact_dedup, langid, mixing, quality, simhash, token_store, url_rules
+from labelwise.llm import centroids, chat, codes, common, ctw, decontam, exact_dedup, langid, mixing, quality, shards, simhash, token_store, url_rules
 from labelwise.session import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -95,6 +95,30 @@ def op10_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_table(spark, sf_dir, "embeddings")).drop("met")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = shared_dir(spark, "shards")
+    shards.write(docs, path)
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    return shards.read(spark, path, docs).select(
+        "doc.doc_id",
+        "size",
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 _SITE_SQL = "\n".join(
     f"  UNION ALL SELECT '{r.name}', '{url_rules.rule_regex(r.pattern)}', '{r.action}', {len(r.pattern)}, 1, {-k}"
     for k, r in enumerate(SITE_RULES)
@@ -175,6 +199,86 @@ SELECT conv_id, count(*) AS n_turns,
 FROM safe GROUP BY conv_id
 """
 
+
+
+def _op11_sql(count: int = 8, rounds: int = 10) -> str:
+    """A table of centroids for each round, one row per centroid and dimension."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT id, min_by(cluster, (d, cluster)) AS cluster, CAST(min(d) AS BIGINT) AS distance
+  FROM (SELECT x.id, c.cluster, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{k} c USING (pos) GROUP BY 1, 2) GROUP BY id)""")
+        if k < rounds:
+            steps.append(f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT c.cluster, c.pos, CAST(coalesce(m.v, c.v) AS BIGINT) AS v FROM c{k} c LEFT JOIN (
+    SELECT cluster, pos, CAST((sum(v) - (sum(v) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS v
+    FROM a{k} JOIN x USING (id) GROUP BY 1, 2) m USING (cluster, pos))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id AS id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+x AS MATERIALIZED (
+  SELECT id, unnest(range(64)) AS pos, unnest(list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1024) AS BIGINT))) AS v
+  FROM kept),
+f AS (SELECT id, row_number() OVER (ORDER BY sha256('3:' || id)) - 1 AS cluster FROM kept QUALIFY cluster < {count}),
+c0 AS MATERIALIZED (SELECT CAST(cluster AS INTEGER) AS cluster, pos, v FROM f JOIN x USING (id)),{",".join(steps)},
+names AS (SELECT cluster, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT id AS vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN names USING (cluster)
+"""
+
+
+def _op12_sql(rounds: int = 2) -> str:
+    """A table of codebooks for each round, one row per part, entry and position."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT id, part, min_by(entry, (d, entry)) AS entry, CAST(min(d) AS BIGINT) AS d FROM (
+    SELECT x.id, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM x JOIN b{k} b USING (part, pos) GROUP BY 1, 2, 3)
+  GROUP BY 1, 2)""")
+        if k < rounds:
+            steps.append(f"""
+b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, CAST(coalesce(m.v, b.v) AS BIGINT) AS v FROM b{k} b LEFT JOIN (
+    SELECT part, entry, pos, CAST((sum(v) - (sum(v) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS v
+    FROM a{k} JOIN x USING (id, part) GROUP BY 1, 2, 3) m USING (part, entry, pos))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id AS id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+x AS MATERIALIZED (
+  SELECT id, place // 4 AS part, place % 4 AS pos, v FROM (SELECT id, unnest(range(64)) AS place,
+    unnest(list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 256) AS BIGINT))) AS v FROM kept)),
+f AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS entry FROM kept QUALIFY entry < 64),
+b0 AS MATERIALIZED (SELECT part, entry, pos, v FROM f JOIN x USING (id)),{",".join(steps)},
+coded AS (
+  SELECT id, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY id),
+named AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (id), named
+"""
+
+
+OP13_SQL = r"""
+WITH RECURSIVE bits(b, n, c) AS (
+  SELECT b, 0, b FROM range(256) r(b)
+  UNION ALL SELECT b, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE n < 8),
+t AS MATERIALIZED (SELECT list(c ORDER BY b) AS remainders FROM bits WHERE n = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size FROM documents),
+p AS (SELECT *, CAST(sum(size) OVER (ORDER BY doc_id) - size AS HUGEINT) AS pos, CAST(sum(size) OVER () AS HUGEINT) AS total FROM d),
+s AS (SELECT *, CAST(len(list_filter(range(1, 8), lambda k: 2 * pos + size > 2 * (k * total // 8))) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, xor(4294967295, list_reduce(
+         list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+         lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1]))) AS text_crc32,
+       'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s, t
+"""
+
 QUERIES = {
     "op1_decontamination": (op1_decontamination, None),
     "op2_token_store": (op2_token_store, None),
@@ -186,4 +290,7 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_chat_format": (op9_chat_format, OP9_SQL),
     "op10_ctw_score": (op10_ctw_score, None),
+    "op11_centroids": (op11_centroids, _op11_sql()),
+    "op12_vector_codes": (op12_vector_codes, _op12_sql()),
+    "op13_shards": (op13_shards, OP13_SQL),
 }
