@@ -1,7 +1,10 @@
-"""Span relations as joins on span tables (``doc_id, st, en, ...``).
+"""Span relations as joins on span tables (``doc_id, st, en, ...``), for spans of any length.
 
-Reach-limited relations join on (document, position bucket), so a document with
-very many spans spreads over buckets and pairs stay within the reach.
+Spans are indexed by levels: level ``l`` is for spans of up to ``2 ** l`` characters and has buckets of that width,
+so a span's home is one bucket of its own level, or two neighbours.  Of a pair, the shorter span looks up the longer
+one: at each level that its document has on the other side, from its own upward, it visits the one or two buckets it
+lies in.  Spans of one length thus meet at one level, a long span costs its document one more level to visit, and
+no span is ever spread over its characters.
 """
 
 from __future__ import annotations
@@ -10,6 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwise.functions import spans as S
+from labelwise.session import cut
+
+#: Spans of up to 2 ** LEAST characters share the lowest level.
+LEAST = 5
+TOP = 31
 
 
 def span_table(df: DataFrame, key: str, text: str, pattern: str, kind: str, groups: int = 0) -> DataFrame:
@@ -20,30 +28,85 @@ def span_table(df: DataFrame, key: str, text: str, pattern: str, kind: str, grou
     )
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+def span_tables(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
+    """All matches of several patterns by kind, from one reading of the texts."""
+    def found(kind: str, pattern: str) -> Column:
+        row = lambda s: F.struct(F.lit(kind).alias("kind"), s["st"].alias("st"), s["en"].alias("en"), s["txt"].alias("txt"))
+        return F.transform(S.match_spans(F.col(text), pattern), row)
 
+    every = F.concat(*[found(*p) for p in patterns.items()])
+    return df.select(F.col(key).alias("doc_id"), F.inline(every))
 
-def _near(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
-    """Pairs whose gap is at most ``reach``; right columns carry the prefix ``r_``."""
-    width = max(1, 2 * reach)
-    # left lives in the bucket of its start; right covers every start in reach
-    a = left.withColumn("_b", F.floor(F.col("st") / width))
-    b = right.select("doc_id", *[F.col(c).alias(f"r_{c}") for c in ("kind", "st", "en")])
-    longest = left.agg(F.coalesce(F.max(F.col("en") - F.col("st")), F.lit(0)).alias("_long"))
-    start = F.greatest(F.lit(0), F.col("r_st") - reach - F.col("_long"))
-    b = (
-        b.join(F.broadcast(longest), F.lit(True))  # one row
-        .withColumn("_b", _buckets(start, F.col("r_en") + reach, width))
-        .drop("_long")
+
+# --- the index --------------------------------------------------------------
+
+
+def _level(start: Column, end: Column) -> Column:
+    """The least level whose buckets are as wide as the span."""
+    bits = F.length(F.bin(F.greatest(end - start - 1, F.lit(0)).cast("long")))
+    return F.greatest(F.lit(LEAST), bits)
+
+
+def _mask(spans: DataFrame, name: str) -> DataFrame:
+    """The levels that each document has, one bit each."""
+    return spans.groupBy(F.col("doc_id").alias(f"{name}_doc")).agg(F.bit_or(F.expr("shiftleft(1L, _level)")).alias(name))
+
+
+def _places(levels: str) -> Column:
+    """``(l, b)`` of the buckets that a span lies in at each of ``levels``, none below its own: at most two a level."""
+    return F.expr(
+        f"flatten(transform({levels}, l -> transform(sequence(shiftright(_lo, l), shiftright(_hi, l)), b -> named_struct('l', l, 'b', b))))"
     )
-    return a.join(b, ["doc_id", "_b"]).where(_distance() <= reach).drop("_b")
+
+
+def _indexed(left: DataFrame, right: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides as index rows keyed by document, level, bucket and whose home the bucket is.
+
+    Right spans are widened by the reach, so that a pair is near if its intervals touch.
+    """
+    a = left.withColumns({"_lo": F.col("st").cast("long"), "_hi": F.col("en").cast("long")})
+    b = right.select("doc_id", *[F.col(c).alias(f"r_{c}") for c in ("kind", "st", "en", "txt") if c in right.columns])
+    b = b.withColumns({"_lo": F.col("r_st").cast("long") - reach, "_hi": F.col("r_en").cast("long") + reach})
+    a, b = (d.withColumn("_level", _level(F.col("_lo"), F.col("_hi"))) for d in (a, b))
+    # a document's levels are one small row; documents without spans on the other side end here
+    a = a.join(_mask(b, "_theirs"), a["doc_id"] == F.col("_theirs_doc"))
+    b = b.join(_mask(a.select("doc_id", "_level"), "_theirs"), b["doc_id"] == F.col("_theirs_doc"))
+
+    def at(side: bool, levels: str) -> Column:
+        return F.transform(_places(levels), lambda p: F.struct(F.lit(side).alias("s"), p["l"].alias("l"), p["b"].alias("b")))
+
+    has = "(shiftright(_theirs, l) & 1L) = 1L"
+    home = "array(_level)"
+    # left looks up right's homes from its own level upward, right looks up left's above its own
+    a_rows = F.concat(
+        at(True, f"filter(sequence(_level, {TOP}), l -> {has})"),
+        at(False, f"CASE WHEN exists(sequence({LEAST}, _level), l -> l < _level AND {has}) THEN {home} ELSE slice({home}, 1, 0) END"),
+    )
+    b_rows = F.concat(
+        at(True, f"CASE WHEN exists(sequence({LEAST}, _level), l -> {has}) THEN {home} ELSE slice({home}, 1, 0) END"),
+        at(False, f"filter(sequence(_level, {TOP}), l -> l > _level AND {has})"),
+    )
+    a = a.withColumn("_at", F.explode(a_rows)).drop("_theirs", "_theirs_doc", "_level", "_hi")
+    b = b.select("doc_id", *[c for c in b.columns if c.startswith("r_")], F.col("_lo").alias("_rlo"), F.explode(b_rows).alias("_at"))
+    return a, b
+
+
+def _near(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
+    """Pairs whose gap is at most ``reach``, each once; right columns carry the prefix ``r_``."""
+    # levels and index rows both read the spans, which often come out of texts, so they are written once
+    a, b = _indexed(cut(left), cut(right), reach)
+    # of the buckets that both lie in, the one with the later start counts
+    once = F.expr("shiftright(greatest(_lo, _rlo), _at.l) = _at.b")
+    return a.join(b, ["doc_id", "_at"]).where(once & (_distance() <= reach)).drop("_at", "_lo", "_rlo")
 
 
 def _distance() -> Column:
     return F.greatest(F.lit(0), F.col("r_st") - F.col("en"), F.col("st") - F.col("r_en"))
 
 
+# --- relations --------------------------------------------------------------
+
+
 def nearest_span(left: DataFrame, labels: DataFrame, reach: int, id_col: str) -> DataFrame:
     """Each left span's nearest label within reach, first label on a tie."""
     best = _near(left, labels, reach).groupBy(id_col).agg(
@@ -62,15 +125,25 @@ def within_reach(left: DataFrame, right: DataFrame, reach: int, id_col: str) ->
     return left.join(hits, id_col, "left_semi")
 
 
-def following_span(anchors: DataFrame, runs: DataFrame, reach: int, id_col: str) -> DataFrame:
-    """First run that starts 0..reach characters after each anchor's end."""
-    width = max(1, reach + 1)
-    a = anchors.withColumn("_b", _buckets(F.col("en"), F.col("en") + reach, width))
-    b = runs.select(
-        "doc_id", F.col("st").alias("r_st"), F.col("en").alias("r_en"), F.col("txt").alias("r_txt"),
-        F.floor(F.col("st") / width).alias("_b"),
-    )
-    pairs = a.join(b, ["doc_id", "_b"]).where(F.col("r_st").between(F.col("en"), F.col("en") + reach))
+def following_span(
+    anchors: DataFrame, runs: DataFrame, reach: int, id_col: str, extra: int | None = None, pattern: str | None = None
+) -> DataFrame:
+    """First run that starts 0..reach characters after each anchor's end.
+
+    With ``extra``, only the text from the anchor's end up to ``reach + extra`` counts: a run is cut at both
+    ends of that window, and what is left must still match ``pattern``, whose match becomes the run.
+    """
+    window = reach if extra is None else reach + extra
+    after = anchors.withColumns({"_st": F.col("st"), "_en": F.col("en"), "st": F.col("en"), "en": F.col("en") + window})
+    pairs = _near(after, runs, 0).withColumns({"st": F.col("_st"), "en": F.col("_en")}).drop("_st", "_en")
+    if extra is not None:
+        begin = F.greatest("r_st", "en")
+        clipped = F.substring(F.col("r_txt"), begin - F.col("r_st") + 1, F.least("r_en", F.col("en") + window) - begin)
+        pairs = pairs.withColumn("_clip", clipped)
+        pairs = pairs.withColumn("r_txt", F.regexp_extract("_clip", pattern, 0)).where("r_txt <> ''")
+        pairs = pairs.withColumn("r_st", (begin + F.length(S.before_match(F.col("_clip"), pattern))).cast("int"))
+        pairs = pairs.withColumn("r_en", F.col("r_st") + F.length("r_txt")).drop("_clip")
+    pairs = pairs.where(F.col("r_st").between(F.col("en"), F.col("en") + reach))
     first = pairs.groupBy(id_col).agg(F.min_by(F.struct("r_st", "r_en", "r_txt"), "r_st").alias("run"))
     return anchors.join(first, id_col)
 

@@ -221,8 +221,7 @@ def span_pair(spark, sf):
     docs = composed(spark, sf, MARKED, "lineitem")
     dates = J.span_table(docs, "doc_id", "text", DATE_AT, "date").withColumn(
         "sid", F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("st").cast("string")))
-    labels = J.span_table(docs, "doc_id", "text", "PKD", "packed").unionByName(
-        J.span_table(docs, "doc_id", "text", "EXP", "expiry"))
+    labels = J.span_tables(docs, "doc_id", "text", {"packed": "PKD", "expiry": "EXP"})
     return docs, dates, labels
 
 
@@ -251,6 +250,36 @@ def following_span(spark, sf):
         "doc_id", "en", F.col("run.r_st").alias("run_st"))
 
 
+RUNS = f"""SELECT {B.RESULT_ID} AS doc_id, concat('FSSAI', repeat('.', CAST(l_quantity AS INT) % 32), '1',
+    CAST(l_orderkey + 1000000 AS STRING), repeat('7', CAST(l_partkey % 40 AS INT))) AS text FROM lineitem"""
+
+
+@query("following_licences", f"""
+  WITH t AS (SELECT {B.RESULT_ID} AS doc_id, CAST(l_quantity AS INT) % 32 AS dots,
+      concat('1', CAST(l_orderkey + 1000000 AS VARCHAR), repeat('7', CAST(l_partkey % 40 AS INT))) AS digits FROM lineitem)
+  SELECT doc_id, 5 + dots AS run_st, substr(digits, 1, 44 - dots) AS run FROM t
+  WHERE dots <= 24 AND length(digits) >= 14 AND 44 - dots >= 14""")
+def following_licences(spark, sf):
+    """Runs of digits behind an anchor, cut where the window behind it ends."""
+    docs = composed(spark, sf, RUNS, "lineitem")
+    runs = J.span_table(docs, "doc_id", "text", K.LONG_DIGIT_RUN, "run")
+    anchors = J.span_table(docs, "doc_id", "text", "FSSAI", "anchor")
+    got = J.following_span(anchors, runs, K.LICENCE_REACH, "doc_id", K.LICENCE_EXTRA, K.LONG_DIGIT_RUN)
+    return got.select("doc_id", F.col("run.r_st").alias("run_st"), F.col("run.r_txt").alias("run"))
+
+
+@query("nested_spans", """
+  SELECT doc_id, CAST(len(list_filter(string_split(substr(text, 1, length(text) // 2), ' '), lambda w: length(w) > 0)) AS BIGINT) AS inside
+  FROM documents WHERE length(text) // 2 > 0 AND len(list_filter(string_split(substr(text, 1, length(text) // 2), ' '), lambda w: length(w) > 0)) > 0""")
+def nested_spans(spark, sf):
+    """Words inside the first half of each whole text: short spans within spans of any length."""
+    docs = table(spark, sf, "documents").select("doc_id", F.expr("substring(text, 1, length(text) div 2)").alias("half"), "text")
+    words = J.span_table(docs.where("length(half) > 0"), "doc_id", "half", "[^ ]+", "word").withColumn("sid", F.struct("doc_id", "st"))
+    halves = docs.where("length(half) > 0").select("doc_id", F.lit("half").alias("kind"), F.lit(0).alias("st"), F.length("half").alias("en"))
+    inside = J.contained_spans(words, halves, "sid")
+    return inside.groupBy("doc_id").agg(F.count("*").alias("inside"))
+
+
 @query("contained_spans", f"""SELECT {B.RESULT_ID} AS doc_id, 4 AS st FROM lineitem UNION ALL
   SELECT {B.RESULT_ID}, 18 + CAST(l_quantity AS INTEGER) * 4 FROM lineitem""")
 def contained_spans(spark, sf):

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "labelwise") -> SparkSession:
@@ -42,15 +43,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/labelwise/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: An input of fewer files than cores, and of at most so many bytes a core, is dealt out again.
+SPREAD_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out a small input over all cores before CPU-heavy projections.
 
-    Text work costs far more than its bytes suggest, so a table of a few
-    megabytes would run as one task.  Inputs of many files already have enough
-    splits and pass through untouched, without a shuffle.
+    Text work costs far more than its bytes suggest, so a table of a few megabytes would run as one task.  A large
+    input, in however few files, has enough splits and passes through untouched, as does one that is not read from
+    files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length").alias("n")).collect()[0]["n"]
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -293,6 +293,57 @@ def test_span_joins_against_brute_force(spark):
     assert over == {i for i, a in enumerate(left) if any(b[0] == a[0] and a[2] < b[3] and b[2] < a[3] for b in right)}
 
 
+def test_spans_of_any_length(spark):
+    import random
+    rnd = random.Random(11)
+
+    def spans(n):
+        out = []
+        for d in (1, 2, 3):
+            for _ in range(n):
+                st = rnd.randint(0, 50_000)
+                out.append((d, "k", st, st + rnd.choice([0, 1, 7, 31, 32, 33, 64, 100, 1000, 20_000]), "t"))
+        return out
+
+    left, right = spans(40), [*spans(30), (9, "k", 0, 5, "t")]
+    ddl = "doc_id int, kind string, st int, en int, txt string"
+    ldf = spark.createDataFrame([(i, *r) for i, r in enumerate(left)], "id int, " + ddl)
+    rdf = spark.createDataFrame(right, ddl)
+    for reach in (0, 30, 4000):
+        pairs = sorted((r.id, r.r_st, r.r_en) for r in J._near(ldf, rdf, reach).collect())
+        want = sorted(
+            (i, b[2], b[3]) for i, a in enumerate(left) for b in right
+            if a[0] == b[0] and max(0, b[2] - a[3], a[2] - b[3]) <= reach)
+        assert pairs == want
+
+
+def test_a_long_span_costs_its_document_one_level(spark):
+    words = spark.range(4000).selectExpr("1 AS doc_id", "'w' AS kind", "int(id * 5) AS st", "int(id * 5 + 4) AS en", "id AS sid")
+    whole = spark.createDataFrame([(1, "long", 0, 20_000), (1, "short", 9_000, 9_004)], "doc_id int, kind string, st int, en int")
+    a, b = J._indexed(words, whole, 0)
+    assert a.count() <= 4000 * 4 and b.count() <= 2 * 2 + 2
+    assert J.contained_spans(words, whole, "sid").count() == 4000
+
+
+def test_runs_are_cut_at_the_window(spark):
+    from labelwise.functions import parse as P
+    texts = ["FSSAI Lic 100" + "7" * 20, "FSSAI" + "." * 24 + "2" * 40, "FSSAI" + "." * 25 + "2" * 40, "FSSAI....1" + " 2" * 30,
+             "FSSAI" + "." * 10 + "3" * 13 + "x" + "4" * 15, "lc no 3" + "1" * 14, "no anchor " + "1" * 15, "FSSAI 9 FSSAI " + "8" * 15]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    anchors = J.span_table(docs, "doc_id", "text", K.LICENCE_ANCHOR, "anchor").withColumn("sid", F.struct("doc_id", "st"))
+    runs = J.span_table(docs, "doc_id", "text", K.LONG_DIGIT_RUN, "run")
+    hits = J.following_span(anchors, runs, K.LICENCE_REACH, "sid", K.LICENCE_EXTRA, K.LONG_DIGIT_RUN)
+    first = hits.groupBy("doc_id").agg(F.min_by("run.r_txt", "st").alias("run"))
+    digits = {r.doc_id: "".join(c for c in r.run if c.isdigit()) for r in first.collect()}
+
+    def pick(d):
+        at = next((i for i in range(len(d) - 13) if d[i] in "12"), 0)
+        return d[at:at + 14]
+
+    want = {r.doc_id: r.n for r in docs.select("doc_id", P.licence_number(F.col("text")).alias("n")).collect() if r.n}
+    assert {k: pick(d) for k, d in digits.items()} == want and len(want) >= 4
+
+
 def test_sql_match_starts(spark):
     register(spark)
     row = spark.sql("select lw_match_starts('a1bb22c', '[0-9]+') as s").first()
