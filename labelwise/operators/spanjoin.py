@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwise.functions import spans as S
-from labelwise.session import cut
+from labelwise.session import spread, written
 
 #: Spans of up to 2 ** LEAST characters share the lowest level.
 LEAST = 5
@@ -23,7 +23,7 @@ TOP = 31
 def span_table(df: DataFrame, key: str, text: str, pattern: str, kind: str, groups: int = 0) -> DataFrame:
     """All matches of a pattern as rows."""
     found = S.match_spans(F.col(text), pattern, groups)
-    return df.select(F.col(key).alias("doc_id"), F.inline(found)).select(
+    return spread(df).select(F.col(key).alias("doc_id"), F.inline(found)).select(
         "doc_id", F.lit(kind).alias("kind"), "st", "en", "txt", F.col("g").alias("groups")
     )
 
@@ -35,7 +35,7 @@ def span_tables(df: DataFrame, key: str, text: str, patterns: dict[str, str]) ->
         return F.transform(S.match_spans(F.col(text), pattern), row)
 
     every = F.concat(*[found(*p) for p in patterns.items()])
-    return df.select(F.col(key).alias("doc_id"), F.inline(every))
+    return spread(df).select(F.col(key).alias("doc_id"), F.inline(every))
 
 
 # --- the index --------------------------------------------------------------
@@ -92,9 +92,11 @@ def _indexed(left: DataFrame, right: DataFrame, reach: int) -> tuple[DataFrame,
 
 
 def _near(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
-    """Pairs whose gap is at most ``reach``, each once; right columns carry the prefix ``r_``."""
-    # levels and index rows both read the spans, which often come out of texts, so they are written once
-    a, b = _indexed(cut(left), cut(right), reach)
+    """Pairs whose gap is at most ``reach``, each once; right columns carry the prefix ``r_``.
+
+    Levels and index rows both read the spans, which often come out of texts, so both sides come written.
+    """
+    a, b = _indexed(left, right, reach)
     # of the buckets that both lie in, the one with the later start counts
     once = F.expr("shiftright(greatest(_lo, _rlo), _at.l) = _at.b")
     return a.join(b, ["doc_id", "_at"]).where(once & (_distance() <= reach)).drop("_at", "_lo", "_rlo")
@@ -109,7 +111,8 @@ def _distance() -> Column:
 
 def nearest_span(left: DataFrame, labels: DataFrame, reach: int, id_col: str) -> DataFrame:
     """Each left span's nearest label within reach, first label on a tie."""
-    best = _near(left, labels, reach).groupBy(id_col).agg(
+    left = written(left)
+    best = _near(left, written(labels), reach).groupBy(id_col).agg(
         F.min_by(
             F.struct(F.col("r_kind").alias("kind"), F.col("r_st").alias("st"), F.col("r_en").alias("en")),
             F.struct(_distance(), F.col("r_st")),
@@ -119,10 +122,15 @@ def nearest_span(left: DataFrame, labels: DataFrame, reach: int, id_col: str) ->
     return left.join(best, id_col, "left")
 
 
+def _hit(left: DataFrame, right: DataFrame, reach: int, id_col: str, relation: Column) -> DataFrame:
+    """Left spans that have a right one within reach in the given relation, each once."""
+    pairs = _near(written(left), written(right), reach).where(relation)
+    return pairs.select(*left.columns).dropDuplicates([id_col])
+
+
 def within_reach(left: DataFrame, right: DataFrame, reach: int, id_col: str) -> DataFrame:
     """Left spans that have some right span within reach."""
-    hits = _near(left, right, reach).select(id_col).distinct()
-    return left.join(hits, id_col, "left_semi")
+    return _hit(left, right, reach, id_col, F.lit(True))
 
 
 def following_span(
@@ -134,8 +142,9 @@ def following_span(
     ends of that window, and what is left must still match ``pattern``, whose match becomes the run.
     """
     window = reach if extra is None else reach + extra
+    anchors = written(anchors)
     after = anchors.withColumns({"_st": F.col("st"), "_en": F.col("en"), "st": F.col("en"), "en": F.col("en") + window})
-    pairs = _near(after, runs, 0).withColumns({"st": F.col("_st"), "en": F.col("_en")}).drop("_st", "_en")
+    pairs = _near(after, written(runs), 0).withColumns({"st": F.col("_st"), "en": F.col("_en")}).drop("_st", "_en")
     if extra is not None:
         begin = F.greatest("r_st", "en")
         clipped = F.substring(F.col("r_txt"), begin - F.col("r_st") + 1, F.least("r_en", F.col("en") + window) - begin)
@@ -150,20 +159,9 @@ def following_span(
 
 def contained_spans(inner: DataFrame, outer: DataFrame, id_col: str) -> DataFrame:
     """Inner spans that lie inside some outer span of their document."""
-    hits = (
-        _near(inner, outer, 0)
-        .where((F.col("r_st") <= F.col("st")) & (F.col("en") <= F.col("r_en")))
-        .select(id_col)
-        .distinct()
-    )
-    return inner.join(hits, id_col, "left_semi")
+    return _hit(inner, outer, 0, id_col, (F.col("r_st") <= F.col("st")) & (F.col("en") <= F.col("r_en")))
 
 
 def overlapping_spans(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
-    hits = (
-        _near(left, right, 0)
-        .where((F.col("st") < F.col("r_en")) & (F.col("r_st") < F.col("en")))
-        .select(id_col)
-        .distinct()
-    )
-    return left.join(hits, id_col, "left_semi")
+    """Left spans that share a character with some right span."""
+    return _hit(left, right, 0, id_col, (F.col("st") < F.col("r_en")) & (F.col("r_st") < F.col("en")))

@@ -63,8 +63,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= cores * SPREAD_BYTES else df
 
 
+def written(df: DataFrame) -> DataFrame:
+    """An intermediate result that several jobs read, as Parquet in the shared folder: they read the columns they need,
+    and lost tasks reread them."""
+    path = shared_dir(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of an intermediate result that several jobs read."""
+    """Reliable checkpoint of an intermediate result that several jobs read, dealt out to all cores if small."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
