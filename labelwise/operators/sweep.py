@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from labelwise.functions import fixed as K
 from labelwise.functions import predicates as Q
 from labelwise.operators.clean import clean_corpus
-from labelwise.operators.extract import parse_by_class
+from labelwise.operators.extract import Parser, dispatch, isolated
 from labelwise.operators.ordering import ranked
 from labelwise.operators.readings import join_readings
-from labelwise.session import cut
+from labelwise.session import written
 
 
 def newest_pass(log: DataFrame) -> DataFrame:
@@ -100,11 +100,13 @@ def sample_n(images: DataFrame, limit: int | None, path: str = "image_path") ->
 # --- digest -----------------------------------------------------------------
 
 
-def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
+def digest(log: DataFrame, as_of: dt.date, own_parsers: dict[str, Parser] | None = None) -> DataFrame:
     """One row per image and class of the newest pass.
 
-    Boxes are counted, readings joined without repeats, and the class's parser
-    judges the joined text; the care class is judged again with the whole pack.
+    Boxes are counted, readings joined without repeats, and the class's parser judges the joined text; the care class
+    is judged again with the whole pack.  ``own_parsers`` replace or add parsers of classes.  One that raises breaks
+    its own group only: the group has no result and the message as ``parser_error``; where the second reading of
+    the care class raises, the verdict of the first one stays.
     """
     base = newest_pass(log).where("canonical_class is not null and canonical_class <> ''").select(
         F.col("image_path").alias("image"), F.col("canonical_class").alias("class"), "ln",
@@ -114,11 +116,13 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
         F.count("*").alias("box_count"), F.min("ln").alias("ord")
     )
     joined = join_readings(base, ["image", "class"], ["ln"], "text")
-    rows = (
+    # packs, cleanings and verdicts all read these rows, so they are written once
+    rows = written(
         counts.join(joined, ["image", "class"], "left")
         .withColumn("combined_text", F.coalesce("text", F.lit("")))
         .drop("text")
     )
+    care = F.col("class") == "consumer_care_fssai"
     # classes per image are few, so a pack is a small ordered list
     packs = rows.where("combined_text <> ''").groupBy("image").agg(
         F.array_join(
@@ -129,26 +133,27 @@ def digest(log: DataFrame, as_of: dt.date) -> DataFrame:
             " ",
         ).alias("pack")
     )
-    care = F.col("class") == "consumer_care_fssai"
-    # both cleanings and the verdicts read these rows, so they are written once
-    rows = cut(rows.join(packs, "image", "left"))
-    rows = clean_corpus(rows, ["image", "class"], "combined_text")
-    rows = rows.withColumn("_wide", F.when(care, F.concat_ws(" ", "clean", "pack")).otherwise(""))
-    rows = clean_corpus(rows, ["image", "class"], "_wide", "wide")
-    rows = parse_by_class(rows, as_of, "class", "clean", None, "own")
-    rows = parse_by_class(
-        rows.withColumn("_care", F.when(care, F.col("class"))), as_of, "_care", "clean", "wide", "packwide",
-        only=("consumer_care_fssai",),
-    )
+    clean = clean_corpus(rows, ["image", "class"], "combined_text")
+    # only the care class asks for the pack
+    wide = clean.where(care).join(packs, "image", "left").withColumn("_wide", F.concat_ws(" ", "clean", "pack")).drop("pack")
+    wide = clean_corpus(wide, ["image", "class"], "_wide", "wide").drop("_wide")
+    rows = clean.where(~care).withColumn("wide", F.lit("")).unionByName(wide)
+    plugged = tuple((own_parsers or {}).items())
     filled = F.col("combined_text") != ""
-    parsed = F.when(filled, F.when(care, F.col("packwide")).otherwise(F.col("own")))
+    rows = isolated(rows, {
+        "own": F.when(filled, dispatch(as_of, "class", "clean", None, None, plugged)),
+        "packwide": F.when(filled & care, dispatch(as_of, "class", "clean", "wide", ("consumer_care_fssai",), plugged)),
+    })
+    error = F.coalesce("own_error", "packwide_error")
+    parsed = F.when(error.isNull(), F.when(care, F.col("packwide")).otherwise(F.col("own")))
+    first = F.col("own.is_compliant")
     return rows.select(
-        "image", "class", "box_count", "combined_text", "ord",
-        parsed.alias("parsed"),
-        F.when(care & filled, F.col("packwide.is_compliant"))
-        .when(filled, F.col("own.is_compliant"))
+        "image", "class", "box_count", "combined_text", "ord", parsed.alias("parsed"), error.alias("parser_error"),
+        F.when(F.col("own_error").isNotNull(), None)
+        .when(care & F.col("packwide_error").isNull(), F.col("packwide.is_compliant"))
+        .otherwise(first)
         .alias("is_compliant"),
-        F.when(filled, F.col("own.is_compliant")).alias("strict_is_compliant"),
+        first.alias("strict_is_compliant"),
     )
 
 
@@ -167,7 +172,9 @@ def digest_csv_rows(rows: DataFrame) -> DataFrame:
         Q.csv_verdict(F.col("is_compliant")).alias("is_compliant"),
         Q.csv_verdict(F.col("strict_is_compliant")).alias("strict_is_compliant"),
         "combined_text",
-        F.coalesce(F.to_json("parsed"), F.lit("{}")).alias("parsed_json"),
+        F.when(F.col("parser_error").isNotNull(), F.to_json(F.struct("parser_error")))
+        .otherwise(F.coalesce(F.to_json("parsed"), F.lit("{}")))
+        .alias("parsed_json"),
     )
 
 

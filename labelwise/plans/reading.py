@@ -398,6 +398,26 @@ def digest_class_counts(spark, sf):
     return W.digest_class_counts(W.digest(pack_log(spark, sf), B.AS_OF))
 
 
+@query("digest_parser_errors", DIGEST + """SELECT image, class,
+    CASE WHEN class = 'product_name' AND CAST(image AS BIGINT) % 1000 = 7 THEN 'cannot read group ' || image ELSE combined_text END AS combined_text,
+    CASE WHEN class = 'product_name' AND CAST(image AS BIGINT) % 1000 = 7 THEN 'cannot read group ' || image END AS parser_error,
+    CASE WHEN class = 'product_name' AND CAST(image AS BIGINT) % 1000 = 7 THEN NULL ELSE is_compliant END AS is_compliant
+    FROM g JOIN t USING (image, class)""")
+def digest_parser_errors(spark, sf):
+    """A parser of one class that raises on some groups: those have its message, all others their verdict."""
+    log = pack_log(spark, sf)
+    broken = F.col("canonical_class") == "product_name"
+    marked = F.when(broken & (F.col("image_path").cast("long") % 1000 == 7), F.concat(F.lit("cannot read group "), "image_path"))
+    log = log.withColumn("ocr_text", F.coalesce(marked, "ocr_text"))
+
+    def raising(clean, wide):
+        bad = clean.startswith("cannot read group")
+        return F.when(bad, F.raise_error(clean)).otherwise(P.product_name(clean))
+
+    rows = W.digest(log, B.AS_OF, {"product_name": raising})
+    return rows.select("image", "class", "combined_text", "parser_error", "is_compliant")
+
+
 @query("digest_sections", DIGEST + """SELECT class, concat('## ', class, ' - ', count(*), ' group(s): ',
       count_if(is_compliant), ' parsed-compliant, ', count_if(NOT is_compliant), ' need attention') AS line
     FROM g GROUP BY class UNION ALL

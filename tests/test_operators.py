@@ -344,6 +344,47 @@ def test_runs_are_cut_at_the_window(spark):
     assert {k: pick(d) for k, d in digits.items()} == want and len(want) >= 4
 
 
+def test_a_raising_parser_breaks_its_own_group_only(spark):
+    import datetime as dt
+    from labelwise.functions import parse as P
+    from labelwise.operators import sweep as W
+
+    rows = [("a", "product_name", "Tea"), ("b", "product_name", "broken one"), ("c", "product_name", "broken two"), ("a", "batch_number", "Batch No. B1"),
+            ("a", "consumer_care_fssai", "care@acme.com 1800 123 4567"), ("d", "consumer_care_fssai", "care@acme.com 1800 123 4567"),
+            ("d", "manufacturer_details", "broken zebra"), ("e", "product_name", "")]
+    log = spark.createDataFrame(
+        [("detection", i, 1, k, c, t) for k, (i, c, t) in enumerate(rows)],
+        "record_type string, image_path string, detection_index int, ln long, canonical_class string, ocr_text string")
+
+    def name(clean, wide):
+        return F.when(clean.contains("one"), F.raise_error(F.concat(F.lit("bad: "), clean))).when(
+            clean.contains("two"), P.product_name(clean.cast("int").cast("string"))).otherwise(P.product_name(clean))
+
+    def care(clean, wide):
+        return P.contact(F.when(F.lower(wide).contains("zebra"), F.raise_error(F.lit("bad pack"))).otherwise(clean) if wide is not None else clean, wide)
+
+    got = {(r.image, r["class"]): r for r in W.digest(log, dt.date(2024, 1, 1), {"product_name": name, "consumer_care_fssai": care}).collect()}
+    assert len(got) == len(rows)
+    assert got["b", "product_name"].parser_error == "bad: broken one" and got["b", "product_name"].is_compliant is None
+    assert "CAST_INVALID_INPUT" in got["c", "product_name"].parser_error and got["c", "product_name"].parsed is None
+    assert got["d", "consumer_care_fssai"].parser_error == "bad pack"
+    assert got["d", "consumer_care_fssai"].is_compliant == got["d", "consumer_care_fssai"].strict_is_compliant is not None
+    fine = [r for k, r in got.items() if k not in {("b", "product_name"), ("c", "product_name"), ("d", "consumer_care_fssai")}]
+    assert all(r.parser_error is None for r in fine) and got["a", "product_name"].is_compliant
+    csv = {(r.image, r["class"]): r.parsed_json for r in W.digest_csv_rows(W.digest(log, dt.date(2024, 1, 1), {"product_name": name})).collect()}
+    assert csv["b", "product_name"] == '{"parser_error":"bad: broken one"}'
+
+
+def test_beyond_the_explained_rows_the_first_message_stands(spark, monkeypatch):
+    from labelwise.operators import extract
+
+    monkeypatch.setattr(extract, "EXPLAINED", 2)
+    rows = spark.range(6).withColumn("t", F.col("id").cast("string"))
+    got = extract.isolated(rows, {"r": F.when(F.col("id") > 1, F.raise_error(F.col("t"))).otherwise(F.col("t"))}).collect()
+    assert {r.id: (r.r, r.r_error) for r in got} == {
+        0: ("0", None), 1: ("1", None), 2: (None, "2"), 3: (None, "3"), 4: (None, "2"), 5: (None, "2")}
+
+
 def test_sql_match_starts(spark):
     register(spark)
     row = spark.sql("select lw_match_starts('a1bb22c', '[0-9]+') as s").first()
