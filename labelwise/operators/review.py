@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwise.functions import fixed as K
 from labelwise.functions.predicates import path_list
-from labelwise.operators.ordering import ranked
-from labelwise.session import cut
+from labelwise.operators.ordering import carry_forward, ranked
+from labelwise.session import written
 
 
 def _failed() -> Column:
@@ -323,69 +321,119 @@ def apply_reviews(
     return updated, audit, rejected
 
 
-def _fold_admins(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accounts of administrators, then changes among them in order; the state is one flag per administrator."""
-    active: dict[int, bool] = {}
-    for part in rows:
-        faults = []
-        for r in part.itertuples():
-            fault = None
-            if r.seq < 0:
-                active[r.user_id] = r.set_active
-            elif not active.get(r.actor_id, False):
-                fault = "not allowed"
-            elif r.actor_id == r.user_id and not r.set_active:
-                fault = "cannot deactivate self"
-            elif not r.set_active and sum(active.values()) <= 1:
-                fault = "one active admin must remain"
-            else:
-                active[r.user_id] = r.set_active
-            faults.append(fault)
-        yield part.assign(fault=faults)
+#: Changes among administrators that are judged together, and the shape of a block's outcome.
+BLOCK_CHANGES = 100_000
+_OUTCOME = "blk long, seq long, actor_id long, user_id long, set_active boolean, fault string, flag boolean, turn long"
+
+
+def _judge_block(steps: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+    """One block under its entry state: a row for each step with its fault, and one with the exit ``flag`` of each
+    administrator it touches; a row without a user has the change in the number of active ones."""
+    if steps.empty:
+        return pd.DataFrame(columns=[c.split()[0] for c in _OUTCOME.split(", ")])
+    known = entry[entry["user_id"].notna()]
+    flags = dict(zip(known["user_id"].astype("int64"), known["flag"].astype(bool)))
+    count = started = int(entry.loc[entry["user_id"].isna(), "n"].iloc[0])
+    steps = steps.sort_values(["turn"])
+    faults = []
+    for actor, user, to in zip(steps["actor_id"], steps["user_id"], steps["set_active"]):
+        fault = None
+        if not flags[actor]:
+            fault = "not allowed"
+        elif actor == user and not to:
+            fault = "cannot deactivate self"
+        elif not to and count <= 1:
+            fault = "one active admin must remain"
+        else:
+            count += int(to) - int(flags[user])
+            flags[user] = bool(to)
+        faults.append(fault)
+    out = steps[["blk", "seq", "actor_id", "user_id", "set_active", "turn"]].assign(fault=faults, flag=None)
+    exits = pd.DataFrame({"user_id": list(flags), "flag": list(flags.values())}).assign(blk=out["blk"].iloc[0], turn=None)
+    moved = pd.DataFrame({"blk": [out["blk"].iloc[0]], "turn": [count - started]})
+    both = pd.concat([out.astype(object), exits.astype(object), moved.astype(object)], ignore_index=True)
+    return both.reindex(columns=[c.split()[0] for c in _OUTCOME.split(", ")])
+
+
+def _entries(touched: DataFrame, blocks: DataFrame, start: DataFrame, outcome: DataFrame | None) -> DataFrame:
+    """``(blk, user_id, flag, n)``: what each block meets.  A flag is the exit flag of the last block before that touches
+    the administrator, the number of active ones the sum of the changes of all blocks before; both start from ``start``."""
+    first = start.select(F.lit(-1).cast("long").alias("blk"), "user_id", F.col("active").alias("flag"))
+    count = start.agg(F.count_if("active").alias("n0"))
+    moved = blocks.withColumn("moved", F.lit(0).cast("long"))
+    exits = touched.select("blk", "user_id", F.lit(None).cast("boolean").alias("flag"))
+    if outcome is not None:
+        exits = outcome.where("seq IS NULL AND user_id IS NOT NULL").select("blk", "user_id", "flag")
+        moved = outcome.where("user_id IS NULL").select("blk", F.col("turn").alias("moved"))
+    before = Window.partitionBy("user_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    flags = first.unionByName(exits).withColumn("flag", F.last("flag", ignorenulls=True).over(before)).where("blk >= 0")
+    ahead = Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    counts = moved.withColumn("moved", F.coalesce(F.sum("moved").over(ahead), F.lit(0))).join(F.broadcast(count), F.lit(True))
+    return flags.select("blk", "user_id", "flag", F.lit(None).cast("long").alias("n")).unionByName(
+        counts.select("blk", F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("boolean").alias("flag"), (F.col("n0") + F.col("moved")).alias("n"))
+    )
+
+
+def _judged_steps(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """Changes among administrators with their faults, block by block in parallel.
+
+    Every block is judged under what it is thought to meet (at first, the starting state), and reports the flags it
+    leaves and the change in their number.  A running fold over these small reports gives each block its entry state
+    anew, and only blocks that meet something else than they were judged by are judged again.  The first wrong
+    block is right a round later, so the rounds end at the sequential result, as a rule after two or three of them.
+    """
+    touched = steps.select("blk", F.explode(F.array("actor_id", "user_id")).alias("user_id")).distinct()
+    blocks = steps.select("blk").distinct()
+    entry = written(_entries(touched, blocks, start, None))
+    again, outcome = steps, None
+    while True:
+        fresh = again.groupBy("blk").cogroup(entry.groupBy("blk")).applyInPandas(_judge_block, _OUTCOME)
+        if outcome is not None:
+            fresh = fresh.unionByName(outcome.join(stale, "blk", "left_anti"))
+        outcome = written(fresh)
+        met = written(_entries(touched, blocks, start, outcome))
+        same = F.col("m.user_id").eqNullSafe(F.col("e.user_id")) & (F.col("m.blk") == F.col("e.blk"))
+        differs = ~F.col("m.flag").eqNullSafe(F.col("e.flag")) | ~F.col("m.n").eqNullSafe(F.col("e.n"))
+        stale = written(met.alias("m").join(entry.alias("e"), same).where(differs).select("m.blk").distinct())
+        if stale.isEmpty():
+            return outcome.where("seq IS NOT NULL")
+        again, entry = steps.join(stale, "blk", "left_semi"), met
 
 
 def user_status_changes(
-    users: DataFrame, changes: DataFrame
+    users: DataFrame, changes: DataFrame, block_rows: int = BLOCK_CHANGES
 ) -> tuple[DataFrame, DataFrame]:
     """Judge activation changes in order: accepted with audit text, and rejected with fault.
 
     Every change is judged by the accounts as the accepted changes before it left them: only an active
     admin may change accounts, no one deactivates themselves, and one active admin always remains.
-    Changes to admins decide this alone; they are few and are folded in order, with a flag per admin held.
+    Changes to admins decide this alone; they are cut into blocks of ``block_rows`` that are judged in parallel.
     All other changes look up their actor's state at their time.
     """
-    admins = users.where("role = 'Admin'").select("user_id", "active")
+    admins = users.where("role = 'Admin'").select(F.col("user_id").cast("long").alias("user_id"), "active")
     known = users.select("user_id", F.col("role").alias("t_role"))
-    asked = changes.join(known, "user_id", "left")
-    steps = asked.where("t_role = 'Admin'").join(admins.select(F.col("user_id").alias("actor_id")), "actor_id", "left_semi")
-    start = admins.select(F.lit(-1).alias("seq"), F.col("user_id").alias("actor_id"), "user_id", F.col("active").alias("set_active"))
     longs = [F.col(c).cast("long").alias(c) for c in ("seq", "actor_id", "user_id")]
-    ordered = (
-        start.unionByName(steps.select("seq", "actor_id", "user_id", "set_active"))
-        .select(*longs, "set_active")
-        .repartition(1)
-        .sortWithinPartitions("seq", "user_id")
-    )
-    folded = cut(ordered.mapInPandas(_fold_admins, "seq long, actor_id long, user_id long, set_active boolean, fault string"))
+    asked = changes.join(known, "user_id", "left").select(*longs, "set_active", "t_role")
+    of_admins = asked.where("t_role = 'Admin'")
+    actors = admins.select(F.col("user_id").alias("actor_id"))
+    numbered = ranked(of_admins.join(actors, "actor_id", "left_semi").drop("t_role"), [], ["seq", "user_id"], "turn")
+    steps = written(numbered.withColumn("blk", F.expr(f"(turn - 1) div {block_rows}")))
+    folded = _judged_steps(steps, admins)
     # what each admin is from each accepted step on, and every change's actor looked up in that
-    states = folded.where("fault is null").select(
-        F.col("user_id").alias("actor_id"), "seq", F.lit(0).alias("kind"), F.col("set_active").alias("state"), *_nothing(changes)
+    states = admins.select(F.col("user_id").alias("actor_id"), F.lit(-1).cast("long").alias("seq"), F.col("active").alias("state")).unionByName(
+        folded.where("fault is null").select(F.col("user_id").alias("actor_id"), "seq", F.col("set_active").alias("state"))
     )
-    others = asked.where("t_role is null or t_role <> 'Admin'")
-    asking = others.select("actor_id", F.col("seq").cast("long").alias("seq"), F.lit(1).alias("kind"), F.lit(None).cast("boolean").alias("state"),
-                           F.col("user_id").alias("on_user"), F.col("set_active").alias("to_active"), "t_role")
-    upto = Window.partitionBy("actor_id").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    looked = states.unionByName(asking).withColumn("may", F.last("state", ignorenulls=True).over(upto)).where("kind = 1")
+    others = asked.where("t_role is null or t_role <> 'Admin'").withColumn("kind", F.lit(1))
+    events = states.withColumn("kind", F.lit(0)).unionByName(others, allowMissingColumns=True)
+    looked = carry_forward(ranked(events, ["actor_id"], ["seq", "kind"]), ["actor_id"], F.col("state"), "may").where("kind = 1")
     plain = looked.select(
-        "actor_id", F.col("on_user").alias("user_id"), F.col("to_active").alias("set_active"), "seq",
+        "actor_id", "user_id", "set_active", "seq",
         F.when(~F.coalesce("may", F.lit(False)), "not allowed").when(F.col("t_role").isNull(), "user not found").alias("fault"),
     )
-    outside = asked.where("t_role = 'Admin'").join(admins.select(F.col("user_id").alias("actor_id")), "actor_id", "left_anti").select(
-        "actor_id", "user_id", "set_active", F.col("seq").cast("long").alias("seq"), F.lit("not allowed").alias("fault")
-    )
-    judged = plain.unionByName(outside).unionByName(
-        folded.where("seq >= 0").select("actor_id", "user_id", "set_active", "seq", "fault")
+    outside = of_admins.join(actors, "actor_id", "left_anti").select(
+        "actor_id", "user_id", "set_active", "seq", F.lit("not allowed").alias("fault")
     )
+    judged = plain.unionByName(outside).unionByName(folded.select("actor_id", "user_id", "set_active", "seq", "fault"))
     accepted = judged.where("fault is null").select(
         "actor_id", "user_id", "set_active", "seq",
         F.format_string("User %d active=%s", "user_id", F.initcap(F.col("set_active").cast("string"))).alias("details"),
@@ -393,15 +441,6 @@ def user_status_changes(
     return accepted, judged.where("fault is not null")
 
 
-def _nothing(changes: DataFrame) -> list[Column]:
-    kinds = dict(changes.dtypes)
-    return [
-        F.lit(None).cast(kinds["user_id"]).alias("on_user"),
-        F.lit(None).cast("boolean").alias("to_active"),
-        F.lit(None).cast("string").alias("t_role"),
-    ]
-
-
 def integrity_check(users: DataFrame, scans: DataFrame, results: DataFrame) -> DataFrame:
     """Rows that break an enum, sign or foreign-key rule."""
     def bad(df: DataFrame, rule: str, table: str, key: str) -> DataFrame:

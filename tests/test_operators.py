@@ -211,6 +211,34 @@ def test_admins_are_judged_by_the_state_at_their_turn(spark):
         2: "not allowed", 6: "cannot deactivate self", 7: "user not found", 8: "not allowed"}
 
 
+@pytest.mark.parametrize("block_rows", [3, 7, 1_000_000])
+def test_account_changes_in_blocks_equal_one_fold(spark, block_rows):
+    import random
+    rnd = random.Random(block_rows)
+    users = [(k, "Admin" if k < 6 else "Viewer", k % 2 == 0) for k in range(10)]
+    rows = [(rnd.randint(0, 7), rnd.randint(0, 11), rnd.random() < 0.45, s) for s in range(60)]
+    state = {u: a for u, r, a in users if r == "Admin"}
+    want = {}
+    for actor, user, to, seq in rows:
+        if not state.get(actor, False):
+            want[seq] = "not allowed"
+        elif user > 9:
+            want[seq] = "user not found"
+        elif user in state and not to and actor == user:
+            want[seq] = "cannot deactivate self"
+        elif user in state and not to and sum(state.values()) <= 1:
+            want[seq] = "one active admin must remain"
+        else:
+            want[seq] = None
+            if user in state:
+                state[user] = to
+    accepted, rejected = V.user_status_changes(
+        spark.createDataFrame(users, "user_id long, role string, active boolean"),
+        spark.createDataFrame(rows, "actor_id long, user_id long, set_active boolean, seq long").repartition(4), block_rows)
+    got = {r.seq: None for r in accepted.collect()} | {r.seq: r.fault for r in rejected.collect()}
+    assert got == want
+
+
 def test_a_folder_named_like_the_root_is_kept(spark, tmp_path):
     (tmp_path / "img" / "a" / "img").mkdir(parents=True)
     (tmp_path / "img" / "a" / "img" / "x.jpg").write_bytes(b"x")
@@ -361,7 +389,9 @@ def test_a_raising_parser_breaks_its_own_group_only(spark):
             clean.contains("two"), P.product_name(clean.cast("int").cast("string"))).otherwise(P.product_name(clean))
 
     def care(clean, wide):
-        return P.contact(F.when(F.lower(wide).contains("zebra"), F.raise_error(F.lit("bad pack"))).otherwise(clean) if wide is not None else clean, wide)
+        if wide is None:
+            return P.contact(clean, wide)
+        return F.when(F.lower(wide).contains("zebra"), F.raise_error(F.lit("bad pack"))).otherwise(P.contact(clean, wide))
 
     got = {(r.image, r["class"]): r for r in W.digest(log, dt.date(2024, 1, 1), {"product_name": name, "consumer_care_fssai": care}).collect()}
     assert len(got) == len(rows)
