@@ -14,33 +14,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelwise.session import cut
+from labelwise.session import cut, written
 
 BLOCK_ROWS = 1_000_000
 
 
-def with_block(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add ``_blk``, the number of a row's range of (keys, order) among Spark's range partitions.
+#: A place is the number of a range partition and, in these lower bits, a row's number in it.
+ROW_BITS = 33
 
-    The ranges come from a sample, so the rows are written once with their numbers.
+
+def placed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` in order over Spark's range partitions, written once with ``_place``, which ascends in that order.
+
+    The one shuffle; a key with a third of all rows spreads over as many partitions as it fills.
     """
-    return cut(df.repartitionByRange(*keys, *order).withColumn("_blk", F.spark_partition_id()))
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return written(ordered.withColumn("_place", F.monotonically_increasing_id()))
+
+
+def positions(rows: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``rows`` (or some of them, ``of``) with ``_at``, their 0-based position over all partitions of ``_place``."""
+    part = F.shiftright("_place", ROW_BITS)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.expr(f"_place & {(1 << ROW_BITS) - 1}L")
+    # one row per partition
+    out = rows if of is None else of
+    return out.join(F.broadcast(starts), part == F.col("_part")).withColumn("_at", F.col("_start") + inside).drop("_part", "_start")
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
-    """Exact 1-based row number per key (or over everything when no key)."""
-    blocked = with_block(df, keys, order)
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*keys, "_blk")
-        .agg(F.count("*").alias("_n"))
-        .select(*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    )
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    """Exact 1-based row number per key (or over everything when no key).
+
+    Keys are contiguous in the order, so a row's number is its position less that of its key's first row.
+    """
+    rows = placed(df, [*keys, *order])
+    at = positions(rows)
+    if not keys:
+        return at.withColumn(name, F.col("_at") + 1).drop("_at", "_place")
+    firsts = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_place").alias("_place"))
+    firsts = positions(rows, firsts).withColumnRenamed("_at", "_first").drop("_place")
     return (
-        blocked.join(offsets, [*keys, "_blk"])
-        .withColumn(name, (F.col("_off") + F.row_number().over(inside)).cast("long"))
-        .drop("_off", "_blk")
+        at.join(firsts, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        .withColumn(name, F.col("_at") - F.col("_first") + 1)
+        .drop("_at", "_place", "_first", *[f"_k{i}" for i in range(len(keys))])
     )
 
 
@@ -208,5 +226,5 @@ def assemble_text(df: DataFrame, keys: Sequence[str], order: Sequence[str], text
 
 
 __all__ = [
-    "with_block", "ranked", "rolling", "carry_forward", "thin", "assemble_text",
+    "placed", "positions", "ranked", "rolling", "carry_forward", "thin", "assemble_text",
 ]

@@ -47,6 +47,18 @@ def torn_log_lines(spark, sf):
     return S.read_sweep_log(spark, path).select("record_type", "image_path", "ln")
 
 
+@query("log_line_numbers", with_cte("log", """
+  SELECT row_number() OVER (ORDER BY ln) AS ln, image_path, CAST(ln AS INTEGER) AS crops FROM log"""))
+def log_line_numbers(spark, sf):
+    """A log of several files without line numbers, some lines torn: rows are numbered by their place."""
+    path = shared_dir(spark, "unnumbered")
+    line = F.to_json(F.struct("record_type", "image_path", F.col("ln").cast("int").alias("crops")))
+    torn = F.when(F.col("ln") % 9 == 4, F.concat(line, F.lit("\n"), F.substring(line, 1, 30))).otherwise(line)
+    log = bound(spark, sf, "log").repartitionByRange(5, "ln").sortWithinPartitions("ln")
+    log.select(torn.alias("value")).write.text(path)
+    return S.read_sweep_log(spark, path).select("ln", "image_path", "crops")
+
+
 @query("image_done_markers", with_cte("log", """
   SELECT image_path, max(ln) + 1 AS ln, CAST(count(*) AS INTEGER) AS crops FROM log GROUP BY image_path"""))
 def image_done_markers(spark, sf):

@@ -71,6 +71,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What is joined by sending it to every task is at most this large.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(table: DataFrame, row_bytes: int) -> DataFrame:
+    """``table`` (a written one), hinted as broadcast if its rows are few enough."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of an intermediate result that several jobs read, dealt out to all cores if small."""
     spark = df.sparkSession

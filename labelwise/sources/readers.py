@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelwise.functions import fixed as K
 from labelwise.functions.predicates import path_list
-from labelwise.operators.ordering import ranked
+from labelwise.session import sized, written
 
 SWEEP_LOG = (
     "record_type string, image_path string, image_filename string, detection_index int, "
@@ -36,18 +36,28 @@ def file_place() -> Column:
 def read_sweep_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with torn and blank lines skipped; neighbours survive.
 
-    Written logs carry ``ln``.  Where it is missing everywhere, the rows are numbered by
-    their place in the files (path, split, row).
+    Written logs carry ``ln`` and are read as they are.  Rows without it are numbered behind all others by their place
+    in the files: file, split, row.  They are written once with their place, every split reports how many it has, and
+    the running sum of these counts gives each split its first number; the log itself is neither sorted nor shuffled.
     """
-    raw = (
-        spark.read.schema(SWEEP_LOG + ", _corrupt_record string")
-        .option("mode", "PERMISSIVE")
-        .json(path)
-        .select("*", file_place().alias("_row"))
+    raw = spark.read.schema(SWEEP_LOG + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split")]
+    good = raw.select("*", *split).where("_corrupt_record is null and record_type is not null").drop("_corrupt_record")
+    plain = good.where("ln is not null").drop("_file", "_split")
+    missing = good.where("ln is null")
+    if missing.isEmpty():
+        return plain
+    # within a task the rows of a split follow each other
+    missing = written(missing.withColumn("_row", F.monotonically_increasing_id()))
+    splits = missing.groupBy("_file", "_split").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    ahead = plain.agg(F.count("*").alias("_ahead"))
+    starts = splits.select("_file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = written(starts.join(F.broadcast(ahead), F.lit(True)))  # one row
+    numbered = missing.join(sized(starts, 256), ["_file", "_split"]).withColumn(
+        "ln", F.col("_ahead") + F.col("_start") + F.col("_row") - F.col("_first") + 1
     )
-    good = raw.where("_corrupt_record is null and record_type is not null")
-    numbered = ranked(good.withColumn("_rest", F.col("ln").isNull()), [], ["_rest", "_row"], "_n")
-    return numbered.withColumn("ln", F.coalesce("ln", "_n")).drop("_corrupt_record", "_row", "_rest", "_n")
+    return plain.unionByName(numbered.select(*plain.columns))
 
 
 def parse_label_lines(text: Column) -> Column:

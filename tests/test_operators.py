@@ -239,6 +239,29 @@ def test_account_changes_in_blocks_equal_one_fold(spark, block_rows):
     assert got == want
 
 
+def test_log_lines_are_numbered_without_a_shuffle(spark, tmp_path):
+    for f in ("b", "a", "c"):
+        lines = []
+        for k in range(300):
+            lines.append('{"record_type": "detection", "image_path": "%s%03d", "crops": %d}' % (f, k, k))
+            if k % 50 == 7:
+                lines += ["", '{"record_type": "dete']
+        (tmp_path / f"{f}.json").write_text("\n".join(lines) + "\n")
+    (tmp_path / "d.json").write_text('{"record_type": "image_done", "image_path": "z", "ln": 77}\n')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = R.read_sweep_log(spark, str(tmp_path)).orderBy("ln").collect()
+        whole = R.read_sweep_log(spark, str(tmp_path / "d.json"))
+        assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    by_place = [r for r in got if r.record_type == "detection"]
+    assert [r.image_path for r in by_place] == [f"{f}{k:03d}" for f in "abc" for k in range(300)]
+    assert [r.ln for r in by_place] == list(range(2, 902))
+    assert [r.ln for r in got if r.record_type == "image_done"] == [77]
+
+
 def test_a_folder_named_like_the_root_is_kept(spark, tmp_path):
     (tmp_path / "img" / "a" / "img").mkdir(parents=True)
     (tmp_path / "img" / "a" / "img" / "x.jpg").write_bytes(b"x")
