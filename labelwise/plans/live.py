@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from labelwise.operators import live as V
 from labelwise.plans import bindings as B
 from labelwise.plans.bindings import with_cte
 from labelwise.session import shared_dir
+from labelwise.sources.readers import FRAMES
 from labelwise.streaming import frames as T
 
 QUERIES = {}
@@ -192,3 +194,83 @@ def stream_latest_only(spark, sf):
     return served.agg(
         F.max("seq").alias("seq"), F.max_by("sharpness", "seq").alias("sharpness"), F.sum(F.col("dropped") + 1).alias("frames")
     )
+
+
+# --- late frames, handovers, resuming ---------------------------------------
+
+
+def numbered_files(spark, rows: DataFrame, part, path: str, schema: str, files: int = 1) -> DataFrame:
+    """``rows`` as a stream of one file for each value of ``part``, in that order."""
+    names = [r[0] for r in rows.select(part.alias("p")).distinct().orderBy("p").collect()]
+    for n in names:  # files are streamed by the time they were written
+        rows.where(part == n).coalesce(1).write.mode("append").parquet(path)
+    return T.read_stream(spark, path, schema, files)
+
+
+# five files of six days each; a frame is late if the files before its own hold one more than two days newer
+LATE = """,
+  g AS (SELECT *, epoch_us(ts) // 86400000000 AS day, (SELECT min(epoch_us(ts) // 86400000000) FROM frames) AS d FROM frames),
+  m AS (SELECT *, least(4, CASE WHEN seq % 40 = 0 THEN (day - d) // 6 + 1 WHEN seq % 5 = 0 THEN (day + 1 - d) // 6
+      ELSE (day - d) // 6 END) AS part FROM g),
+  newest AS (SELECT part, max(epoch_us(ts)) // 1000 AS ms FROM m GROUP BY part),
+  marks AS (SELECT m.seq, coalesce(max(n.ms) - 172800000, -1) AS mark FROM m LEFT JOIN newest n ON n.part < m.part GROUP BY m.seq),
+  lost AS (SELECT m.* FROM m JOIN marks USING (seq) WHERE epoch_us(ts) <= mark * 1000),
+  kept AS (SELECT * FROM frames WHERE seq NOT IN (SELECT seq FROM lost))"""
+
+
+@query("stream_late_frames", sql(LATE + RANKED.replace("FROM frames)", "FROM kept)"), """
+  SELECT cam, seq, accepted AS detected, false AS late FROM t UNION ALL SELECT cam, seq, false, true FROM lost"""))
+def stream_late_frames(spark, sf):
+    """Frames in five files, every fifth a day early or late and every fortieth a file late, read back in the order of time."""
+    frames = B.frames(spark, sf).select("cam", "ts", "seq", "sharpness", "width", "height", "classes", "n_det", "det_error")
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
+    first = frames.agg(F.min(day)).collect()[0][0]
+    part = (
+        F.when(F.col("seq") % 40 == 0, F.least(F.lit(4), F.floor((day - first) / 6) + 1))
+        .when(F.col("seq") % 5 == 0, F.least(F.lit(4), F.floor((day + 1 - first) / 6)))
+        .otherwise(F.least(F.lit(4), F.floor((day - first) / 6)))
+    )
+    path = shared_dir(spark, "late_frames")
+    # a last file far ahead moves the watermark past all frames
+    end = frames.limit(1).withColumns({"cam": F.lit("end"), "seq": F.lit(-1).cast("long"), "ts": F.col("ts") + F.expr("interval 2000 days")})
+    stream = numbered_files(spark, frames.withColumn("part", part).unionByName(end.withColumn("part", F.lit(99).cast("long"))), F.col("part"), path, FRAMES)
+    T.stateful(spark)
+    got = run(spark, T.ordered_status(stream, "2 days", **SETTINGS), "late")
+    return got.where("cam <> 'end'").select("cam", "seq", F.coalesce("detected", F.lit(False)).alias("detected"), "late")
+
+
+@query("stream_handover", sql(CAPTURED, """,
+  n AS (SELECT cam, max(seq) AS last FROM frames GROUP BY cam),
+  dr AS (SELECT cam, seq AS drain, ts FROM frames WHERE seq % 300 = 7),
+  nextd AS (SELECT s.cam, s.seq, s.ts, (SELECT min((dr.ts, dr.drain)) FROM dr WHERE dr.cam = s.cam AND dr.ts >= s.ts) AS d FROM s)
+  SELECT cam, seq, struct_extract(d, 2) AS drain FROM (SELECT *, row_number() OVER (PARTITION BY cam, d ORDER BY ts DESC, seq DESC) AS r FROM nextd
+    WHERE d IS NOT NULL) WHERE r <= 6"""))
+def stream_handover(spark, sf):
+    """Captures and drains as one stream: every drain takes the newest six since the last one, and nothing twice."""
+    frames = B.frames(spark, sf)
+    drains = frames.where("seq % 300 = 7").select("cam", "seq", "ts", F.col("seq").alias("drain"))
+    both = shots(spark, sf).select("cam", "seq", "ts", F.lit(None).cast("long").alias("drain")).unionByName(drains)
+    path = shared_dir(spark, "handover")
+    part = F.floor(F.unix_micros("ts") / (5 * 86_400_000_000))
+    stream = numbered_files(spark, both, part, path, T.HANDED)
+    T.stateful(spark)
+    return run(spark, T.handed_over(stream), "handed").select("cam", "seq", "drain")
+
+
+@query("stream_resume", with_cte("log", """
+  SELECT image_path, count(*) AS records, max(ln) AS last FROM log GROUP BY image_path"""))
+def stream_resume(spark, sf):
+    """A stream that is lost after an epoch was written but not yet noted, and started again: each image comes once."""
+    path, out, mark = (shared_dir(spark, n) for n in ("images", "images-out", "images-state"))
+    images = B.bound(spark, sf, "log").groupBy("image_path").agg(F.count("*").alias("records"), F.max("ln").alias("last"))
+    stream = numbered_files(spark, images, F.abs(F.hash("image_path")) % 5, path, "image_path string, records long, last long")
+
+    def lost(epoch: int) -> None:
+        if epoch == 2:
+            raise RuntimeError("the driver is lost here")
+
+    try:
+        T.serve_rows(stream, out, mark, lost).awaitTermination()
+    except StreamingQueryException:
+        T.serve_rows(stream, out, mark).awaitTermination()
+    return spark.read.parquet(out).select("image_path", "records", "last")

@@ -456,3 +456,84 @@ def test_six_digits_round_the_exact_value(spark):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     for r in df.select("v", six_digits(F.col("v")).alias("t")).collect():
         assert r.t == f"{r.v:.6f}", r.v
+
+
+def test_late_frames_are_told_and_the_rest_is_gated_in_order(spark, tmp_path):
+    import datetime as dt
+    from labelwise.sources.readers import FRAMES
+    from labelwise.streaming import frames as T
+
+    start = dt.datetime(2024, 1, 1)
+
+    def frame(cam, seq, minute, error=None):
+        return (cam, start + dt.timedelta(minutes=minute), seq, 200.0 + seq, 640, 480, ["a", "b", "c"], 3, error)
+
+    batches = [
+        [frame("a", 3, 30), frame("a", 1, 10), frame("b", 1, 10)],
+        [frame("a", 2, 25), frame("a", 0, 5), frame("b", 2, 12), frame("a", 5, 90)],
+        [frame("a", 4, 75), frame("b", 3, 50), frame("b", 4, 69), frame("a", 6, 91, "broke")],
+        [frame("end", 9, 6000)],
+    ]
+    path, out, mark = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for b in batches:
+        spark.createDataFrame(b, FRAMES).coalesce(1).write.mode("append").parquet(path)
+    T.stateful(spark)
+    stream = T.ordered_status(T.read_stream(spark, path, FRAMES, 1), "20 minutes", interval_s=600, cooldown_s=1200, floor=1, min_classes=3)
+    T.append_once(stream, out, mark).awaitTermination()
+    rows = [r for r in spark.read.parquet(out).collect() if r.cam != "end"]
+    # watermarks before the batches: none, minute 10, minute 70
+    assert sorted((r.cam, r.seq, r.late_frames) for r in rows if r.late) == [("a", 0, 1), ("b", 3, 1), ("b", 4, 2)]
+    gated = [r for r in rows if not r.late]
+    assert sorted((r.cam, r.seq, r.frames, r.detected) for r in gated) == [
+        ("a", 1, 1, True), ("a", 2, 2, True), ("a", 3, 3, False), ("a", 4, 4, True), ("a", 5, 5, True), ("a", 6, 6, False),
+        ("b", 1, 1, True), ("b", 2, 2, False)]
+
+
+def test_a_drain_empties_the_ring(spark, tmp_path):
+    import datetime as dt
+    from labelwise.streaming import frames as T
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [("a", k, None) for k in range(9)] + [("a", 99, 99), ("a", 100, 100), ("a", 101, None), ("b", 5, None), ("a", 102, 102), ("a", 103, None)]
+    path, out, mark = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for i in range(0, len(rows), 4):
+        part = [(c, s, start + dt.timedelta(seconds=i + j), d) for j, (c, s, d) in enumerate(rows[i:i + 4])]
+        spark.createDataFrame(part, T.HANDED).coalesce(1).write.mode("append").parquet(path)
+    T.stateful(spark)
+    T.append_once(T.handed_over(T.read_stream(spark, path, T.HANDED, 1), 6), out, mark).awaitTermination()
+    got = sorted((r.cam, r.seq, r.drain) for r in spark.read.parquet(out).collect())
+    assert got == [("a", k, 99) for k in range(3, 9)] + [("a", 101, 102)]
+
+
+def test_a_lost_epoch_is_written_once(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+    from labelwise.streaming import frames as T
+
+    path, out, mark = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for k in range(4):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(path)
+    tried = []
+
+    def lost(epoch):
+        tried.append(epoch)
+        if epoch == 1:
+            raise RuntimeError("lost")
+
+    stream = T.read_stream(spark, path, "id long", 1)
+    with pytest.raises(StreamingQueryException):
+        T.serve_rows(stream, out, mark, lost).awaitTermination()
+    assert tried == [0, 1]
+    T.serve_rows(stream, out, mark, lambda e: tried.append(e)).awaitTermination()
+    assert tried == [0, 1, 1, 2, 3]
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(40))
+
+
+def test_newest_updates_leave_the_schema_alone(spark, tmp_path):
+    from labelwise.streaming import frames as T
+
+    df = spark.range(3).withColumn("v", F.lit(1))
+    for e in (0, 1):
+        df.withColumn("v", F.lit(e)).write.parquet(str(tmp_path / "u" / f"epoch={e}"))
+    schema = df.schema
+    assert sorted(r.v for r in T.newest_updates(spark, str(tmp_path / "u"), schema, ["id"]).collect()) == [1, 1, 1]
+    assert schema.names == ["id", "v"]
