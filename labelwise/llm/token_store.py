@@ -7,6 +7,7 @@ wants a few documents or only the counts touches a few pages: ``read_counts`` ne
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -34,103 +35,126 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
     "compression": "zstd",
 }
-#: Words and chunks that a task remembers before it starts afresh.
-MEMORY = 500_000
-#: Characters of texts, and ids, that one batch holds at most (one document more).
-BATCH_CHARS = 2 << 20
+#: Chunks that a worker remembers before it starts afresh.
+MEMORY = 400_000
+#: Characters of texts that one batch holds at most (one document more), and chunks that go to the library at a time.
+BATCH_CHARS = 4 << 20
+JOINED = 512
 SCHEMA = "doc_id long, first long, n_tokens int, tokens array<int>"
 
-#: Characters whose class (letter, digit, white space, other) needs no Unicode tables to tell.
-PLAIN = re.compile("[\t-\r -\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
-#: How the vocabulary writes a space.
+#: How a byte-level vocabulary writes a space.
 SPACE_MARK = "\u0120"
-LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-PIECES = re.compile(rf" ?[{LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+#: The settings under which texts may be cut at spaces; any other tokenizer encodes whole texts.
+CUTTABLE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: A space with more than white space after it.  What the library takes for white space is white space here too.
+CUT = re.compile(r" (?=\S)")
 
 
-class PieceEncoder:
-    """Byte-level BPE of whole texts by the tokenizers library, each distinct piece of a batch encoded once.
+class ChunkEncoder:
+    """Ids of whole texts as the tokenizers library gives them, each distinct chunk of a batch encoded once.
 
-    The tokenizer splits a text before it merges, and it always splits at a space with more than space after
-    it; what stands between two such places (a chunk) has the same ids in any text.  A text with a run of
-    white space after a space goes to the library whole.  Words stay in memory, and so do other chunks that
-    come up again; a full memory starts afresh, which costs time only.  Ids are held as little-endian
-    unsigned 32-bit integers.
+    A byte-level tokenizer splits a text before it merges, and it always splits before a space with more than white
+    space after it; what stands between two such places (a chunk) has the same ids in any text.  Chunks that a batch
+    holds for the first time go to the library joined by spaces, and tokens that open with a space tell them apart
+    again; what came up is remembered, and a full memory starts afresh, which costs time only.  A text that
+    holds an added token, which the library looks for before it splits, goes to it whole, as do all texts of any
+    other kind of tokenizer.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        # the same merges for words that are split already, without the pattern
-        self.merges = Tokenizer.from_file(path)
-        self.merges.encode_special_tokens = True
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        made = json.loads(self.library.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.cuttable = not made["normalizer"] and all(split.get(k) == v for k, v in CUTTABLE.items())
+        added = [t["content"] for t in made["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
         self.opens[[k for t, k in self.library.get_vocab().items() if t.startswith(SPACE_MARK)]] = True
-        self.known: dict[str, bytes] = {}  # chunks, without the space before them
-        self.marks: dict[str, bytes] = {}  # pieces that are no word after a space
-        self.once: set[str] = set()
+        self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in done]
 
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word with a space before it: a token that opens with a space opens a word."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            [joined] = self.merges.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks behind a space."""
+        plain = [c for c in chunks if " " not in c]
+        spaced = [c for c in chunks if " " in c]
+        out = dict(zip(spaced, self._library([" " + c for c in spaced])))
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            [joined] = self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
             flat = np.asarray(joined.ids, "<u4")
             ids, cuts = flat.tobytes(), (4 * np.flatnonzero(self.opens[flat])).tolist()
             out.update(zip(some, [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)])]))
-        return out
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        known, marks = self.known, self.marks
-        words = {c for c in missing if c.isascii() and c.isalpha()}
-        split, whole = {}, []
-        for c in missing - words:
-            if PLAIN.fullmatch(c):
-                split[c] = PIECES.findall(" " + c)
-            else:
-                whole.append(c)
-        pieces = {p for parts in split.values() for p in parts}
-        inner = {p for p in pieces if p[0] == " " and p[1:].isalpha()}
-        unknown = [p for p in pieces - inner if p not in marks]
-        marks.update(zip(unknown, self._encode(unknown)))
-        fresh = self._encode_words([*words, *({p[1:] for p in inner} - words - known.keys())])
-        both = {p: fresh.get(p[1:]) or known[p[1:]] for p in inner}
-        rest = dict(zip(whole, self._encode([" " + c for c in whole])))
-        for c, parts in split.items():
-            rest[c] = b"".join([both.get(p) or marks[p] for p in parts])
-        if len(known) > MEMORY:  # the batch at hand still reads the old one
-            known = self.known = {}
-        known.update(fresh)
-        known.update((c, rest[c]) for c in rest.keys() & self.once)
-        self.once = {*rest} if len(self.once) > MEMORY // 4 else self.once | rest.keys()
-        if len(marks) > MEMORY // 4:
-            self.marks = {}
-        return fresh | rest
+        return [out[c] for c in chunks]
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], pa.Array, np.ndarray]:
+        """Each text's first chunk, all other chunks, and how many of these each text has."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        flat = split.values
+        # a space before white space, or at the end, is no place to cut; such texts are cut by the pattern
+        odd = pc.or_(pc.equal(pc.binary_length(flat), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(flat, 0, 1)))
+        ends = split.offsets.to_numpy()
+        many = np.add.reduceat(np.r_[odd.to_numpy(zero_copy_only=False), False].astype("i8"), ends[:-1])
+        regular = np.flatnonzero(many == 0)
+        if len(regular) < len(texts):
+            parts = [None] * len(texts)
+            for k in np.flatnonzero(many):
+                parts[k] = CUT.split(texts[k])
+            heads = [texts[k].partition(" ")[0] if p is None else p[0] for k, p in enumerate(parts)]
+            counts = np.array([ends[k + 1] - ends[k] if p is None else len(p) for k, p in enumerate(parts)]) - 1
+            pieces, run = [], 0
+            for k, p in enumerate([*parts, []]):
+                if p is not None:
+                    pieces.append(self._tails(split, ends, run, k))
+                    pieces.append(pa.array(p[1:], pa.large_string()))
+                    run = k + 1
+            return heads, pa.concat_arrays(pieces), counts
+        return [t.partition(" ")[0] for t in texts], self._tails(split, ends, 0, len(texts)), np.diff(ends) - 1
+
+    @staticmethod
+    def _tails(split: pa.Array, ends: np.ndarray, start: int, stop: int) -> pa.Array:
+        """All chunks but the first of the texts from ``start`` to ``stop``."""
+        if start >= stop:
+            return pa.array([], pa.large_string())
+        keep = np.ones(ends[stop] - ends[start], bool)
+        keep[ends[start:stop] - ends[start]] = False
+        return split.values.slice(ends[start], ends[stop] - ends[start]).filter(pa.array(keep))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        missing = {c for parts in cut for c in parts[1:]} - self.known.keys()
-        odd = {c for c in missing if not c or c[0].isspace()}
-        get = self.known.get
-        fresh = self._learn(missing - odd)
-        plain = [k for k, parts in enumerate(cut) if not odd or odd.isdisjoint(parts[1:])]
-        heads = self._encode([cut[k][0] for k in plain])
+        whole = [not self.cuttable or bool(self.added and self.added.search(t)) for t in texts]
         out = [b""] * len(texts)
-        for k, head in zip(plain, heads):
-            out[k] = head + b"".join([get(c) or fresh[c] for c in cut[k][1:]])
-        whole = sorted(set(range(len(texts))) - set(plain))
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
+        for k, ids in zip(np.flatnonzero(whole), self._library([t for t, w in zip(texts, whole) if w])):
             out[k] = ids
+        places = [k for k, w in enumerate(whole) if not w]
+        if not places:
+            return out
+        heads, chunks, counts = self._cut([texts[k] for k in places])
+        first = pa.array(heads, pa.large_string()).dictionary_encode()
+        head_ids = self._library(first.dictionary.to_pylist())
+        coded = chunks.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        get = self.known.get
+        ids = [get(w) for w in words]
+        missing = [k for k, b in enumerate(ids) if b is None]
+        if missing:
+            if len(self.known) > MEMORY:
+                self.known = {}
+
+            for k, b in zip(missing, self._new([words[k] for k in missing])):
+                ids[k] = b
+                self.known[words[k]] = b
+
+        sizes = np.array([len(b) // 4 for b in ids], "i8")
+        table = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        taken = table.take(coded.indices)
+        flat, ends = memoryview(taken.flatten().to_numpy().tobytes()), 4 * np.r_[0, np.cumsum(sizes[coded.indices.to_numpy()])]
+        stops = np.cumsum(counts)
+        for k, head, a, b in zip(places, first.indices.to_pylist(), ends[stops - counts].tolist(), ends[stops].tolist()):
+            out[k] = head_ids[head] + bytes(flat[a:b])
         return out
 
 
@@ -145,13 +169,13 @@ def _by_chars(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, ChunkEncoder] = {}
 
 
 def _encode_with(path: str, end: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:  # a worker keeps what it has learned for its next task
-            _encoders[path] = PieceEncoder(path)
+            _encoders[path] = ChunkEncoder(path)
         encoder = _encoders[path]
         first = 0
         for batch in batches:

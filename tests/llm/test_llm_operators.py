@@ -214,7 +214,6 @@ def test_one_of_each_group_stays(odd):
 
 def test_tokens_come_back(spark, odd):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     path = shared_dir(spark, "tokens")
     token_store.write(odd, path, public_tokenizers.path("byte_bpe_50k.json"))
     texts = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in odd.collect())
@@ -233,18 +232,25 @@ def test_tokens_come_back(spark, odd):
 def test_pieces_equal_the_library(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rng = random.Random(2)
     parts = [" ", "  ", "\n", "\t", "ab", "C", "é", "1", "²", "<|endoftext|>", "'s", "'", ",", "\u3000", "\x85", "\x1c", "_", "日本", "\xa0", "Ⅷ", "𝕏"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     monkeypatch.setattr(token_store, "MEMORY", 50)
-    encoder = token_store.PieceEncoder(path)
+    texts += ["a <|endoftext|> b", "x\n <|endoftext|>", "\x1c \x1c a", " lead", "trail ", "   ", "a \t b \n c", "", "日本 語 \u3000 x"]
+    encoder = token_store.ChunkEncoder(path)
     for at in range(0, len(texts), 500):
         some = texts[at : at + 500]
         want = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch(some, add_special_tokens=False)]
         assert encoder.encode(some) == want
 
 
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), token_store.ChunkEncoder(path)
+    texts = ["Some words, 12 of them", "", " two  spaces ", "日本 語"]
+    assert encoder.encode(texts) == [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 # --- URLs -------------------------------------------------------------------
 
 
