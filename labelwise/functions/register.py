@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-LCS_ROW = (
-    "aggregate(sequence(1, length(b)), array(0), (cur, j) -> array_append(cur, "
-    "if(substring(b, j, 1) = x, get(prev, j - 1) + 1, greatest(get(prev, j), element_at(cur, -1)))))"
-)
+# the bit-parallel recurrence of text.lcs_length: 62 bits of the first string a word, one addition with carry a word
+# for each character of the second
+LCS = """aggregate(array(filter(split(a, ''), c -> c <> '')), 0, (z, xs) -> size(xs) - aggregate(
+  aggregate(filter(split(b, ''), c -> c <> ''),
+    transform(sequence(0, int((size(xs) - 1) div 62)), w -> shiftleft(1L, size(slice(xs, w * 62 + 1, 62))) - 1L),
+    (v, y) -> if(array_contains(xs, y), aggregate(sequence(0, size(v) - 1), struct(0L as carry, slice(v, 1, 0) as words),
+      (acc, w) -> aggregate(array(aggregate(slice(xs, w * 62 + 1, 62), struct(0L as m, 0 as i),
+          (q, x) -> struct(q.m + if(x = y, shiftleft(1L, q.i), 0L) as m, q.i + 1 as i), q -> q.m & v[w])), acc,
+        (s, hit) -> struct(shiftright(v[w] + hit + s.carry, 62) as carry, array_append(s.words,
+          ((v[w] + hit + s.carry) & (shiftleft(1L, size(slice(xs, w * 62 + 1, 62))) - 1L)) | (v[w] - hit)) as words)),
+      acc -> acc.words), v)),
+  0, (n, v) -> n + bit_count(v)))"""
 
 FUNCTIONS = {
     "lw_fingerprint(t STRING) RETURNS STRING": "regexp_replace(lower(t), '[^a-z0-9]+', '')",
@@ -15,8 +23,7 @@ FUNCTIONS = {
     "lw_indel_ratio(a STRING, b STRING) RETURNS DOUBLE": (
         "case when length(a) + length(b) = 0 then 1.0D "
         "when length(a) = 0 or length(b) = 0 then 0.0D else "
-        "2.0D * element_at(aggregate(transform(sequence(1, length(a)), i -> substring(a, i, 1)), "
-        f"array_repeat(0, length(b) + 1), (prev, x) -> {LCS_ROW}), -1) / (length(a) + length(b)) end"
+        f"2.0D * {LCS} / (length(a) + length(b)) end"
     ),
     "lw_number(t STRING) RETURNS DOUBLE": (
         r"try_cast(replace(replace(regexp_replace(trim(t), '^(\\d{1,4}) (\\d{2})$', '$1.$2'), "

@@ -8,12 +8,14 @@ from labelwise.functions import geometry as G
 from labelwise.functions import parse as P
 from labelwise.functions import predicates as Q
 from labelwise.functions import text as X
+from labelwise.functions.register import register
 from labelwise.operators import evaluation as E
 from labelwise.operators import labels as L
 from labelwise.operators import readings as C
 from labelwise.operators import sweep as W
 from labelwise.plans import bindings as B
 from labelwise.plans.bindings import bound, table, with_cte
+from labelwise.session import spread
 
 QUERIES = {}
 
@@ -672,6 +674,34 @@ def indel_ratio(spark, sf):
     return pairs.withColumn("ratio", F.round(X.indel_ratio(F.lower("a"), F.lower("b")), 6))
 
 
+@query("indel_ratio_turns", """SELECT conv_id, turn, round(CASE WHEN length(t) = 0 THEN 0 ELSE
+    2.0 * length(regexp_replace(t, '[aeiou]', '', 'g')) / (length(t) + length(regexp_replace(t, '[aeiou]', '', 'g')) + turn % 3) END, 6) AS ratio
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)""")
+def indel_ratio_turns(spark, sf):
+    """Whole turns against themselves without vowels and with marks they lack: the shorter one is a subsequence."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
+    fewer = F.concat(F.regexp_replace("t", "[aeiou]", ""), F.repeat(F.lit("\u2603"), (F.col("turn") % 3).cast("int")))
+    return spread(turns).select("conv_id", "turn", F.round(F.when(F.col("t") == "", 0.0).otherwise(X.indel_ratio(F.col("t"), fewer)), 6).alias("ratio"))
+
+
+@query("sql_functions", """
+  WITH p AS (SELECT p_partkey AS k, p_name AS t, p_size % 12 AS d FROM part)
+  SELECT k, regexp_replace(lower(t), '[^a-z0-9]+', '', 'g') AS fp, regexp_replace(lower(t), '[^a-z]', '', 'g') AS letters,
+    round(2.0 * length(regexp_replace(t, '[aeiou]', '', 'g')) / (length(t) + length(regexp_replace(t, '[aeiou]', '', 'g'))), 6) AS ratio,
+    k + 0.25 AS number, round(greatest(0, 10 - d) * 10.0 / (200 - greatest(0, 10 - d) * 10), 6) AS iou,
+    CAST(array_to_string(list_filter(range(0, length(t)), lambda i: contains('aeiou', substr(t, i + 1, 1))
+      AND (i = 0 OR NOT contains('aeiou', substr(t, i, 1)))), ',') AS VARCHAR) AS starts FROM p""")
+def sql_functions(spark, sf):
+    """Every registered function, called by name in SQL."""
+    register(spark)
+    return spark.sql("""
+      SELECT k, lw_fingerprint(t) AS fp, lw_letters(t) AS letters,
+        round(lw_indel_ratio(t, regexp_replace(t, '[aeiou]', '')), 6) AS ratio,
+        lw_number(concat(' ', k, ',25')) AS number, round(lw_iou(0D, 0D, 10D, 10D, d, 0D, d + 10, 10D), 6) AS iou,
+        concat_ws(',', transform(lw_match_starts(t, '[aeiou]+'), i -> cast(i AS string))) AS starts
+      FROM (SELECT p_partkey AS k, p_name AS t, cast(p_size % 12 AS double) AS d FROM {part})""", part=table(spark, sf, "part"))
+
+
 @query("phrase_window_score", None)
 def phrase_window_score(spark, sf):
     names = table(spark, sf, "part").select("p_name").distinct()

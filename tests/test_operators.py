@@ -304,6 +304,18 @@ def test_similarity_against_brute_force(spark):
         assert got[t] == pytest.approx(best)
 
 
+def test_similarity_of_long_strings(spark):
+    import random
+    rnd = random.Random(2)
+    base = "".join(rnd.choice("abcdefgh é") for _ in range(1000))
+    other = "".join(c for c in base if rnd.random() < 0.8) + "".join(rnd.choice("abcxyz") for _ in range(300))
+    pairs = [(base[:n], other[:m]) for n in (1, 61, 62, 63, 124, 125, 1000) for m in (1, 62, 400, 1000)] + [(base, base), ("", base), (base, "")]
+    register(spark)
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(8)
+    for r in df.select("a", "b", X.indel_ratio(F.col("a"), F.col("b")).alias("r"), F.expr("lw_indel_ratio(a, b)").alias("s")).collect():
+        assert r.r == pytest.approx(lcs_ratio(r.a, r.b)) and r.s == pytest.approx(r.r)
+
+
 def test_heal_vocabulary_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(8)
     words = docs.select(F.explode(X.marked_words(X.mark_words(X.repair(F.col("text"))))).alias("word")).distinct()
