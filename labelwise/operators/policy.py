@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelwise.functions import fixed as K
 from labelwise.functions import text as X
 from labelwise.functions.geometry import clamp_penalty
+from labelwise.operators.ordering import carry_forward, ranked
 
 CATALOGUE = (
     "array<struct<ord:int,rule_class:string,label:string,statute:string,"
@@ -125,9 +126,14 @@ def apply_profile(verdicts: DataFrame, rules: DataFrame, keys: list[str]) -> Dat
     ``rules`` carries ``config_version`` and joins on ``keys`` (``rule_class``
     alone for one profile: eight rows; or profile and class).  The
     verdict itself never changes.  Uncovered classes are reported, never charged.
+    A row goes under one rule; ``rules`` that hold two for the same keys raise an error, for either could be charged.
     """
     cols = [*keys, "profile_name", "config_version", "enabled", "severity", "penalty", "statute"]
-    side = rules.select(*cols).withColumnRenamed("statute", "_statute").dropDuplicates(keys)
+    values = [c for c in cols if c not in keys]
+    held = rules.select(*cols).groupBy(*keys).agg(F.collect_set(F.struct(*values)).alias("_rules"))
+    twice = F.raise_error(F.concat(F.lit("several rules for "), F.concat_ws(", ", *keys)))
+    only = F.when(F.size("_rules") > 1, twice).otherwise(F.get("_rules", F.lit(0)))
+    side = held.select(*keys, only.alias("_rule")).select(*keys, "_rule.*").withColumnRenamed("statute", "_statute")
     own = verdicts.withColumn(
         "_own", F.col("statute") if "statute" in verdicts.columns else F.lit(None).cast("string")
     ).drop("statute")
@@ -357,3 +363,37 @@ def activate_profiles(
         F.col("created_at").alias("ts"),
     )
     return snapshot, audit
+
+
+# --- versions in time -------------------------------------------------------
+
+
+def validity(activations: DataFrame) -> DataFrame:
+    """Activations ``(config_id, activated_at, ...)``, in any order of arrival, as versions that follow each other in time.
+
+    Added are ``valid_from``, ``valid_to`` (excluded; null for the version in force) and ``superseded_by``.  Of
+    activations at one time the largest id comes last; the others were in force for no time at all.
+    """
+    versions = ranked(activations, [], ["activated_at", "config_id"], "_rn")
+    later = versions.select(
+        (F.col("_rn") - 1).alias("_rn"), F.col("activated_at").alias("valid_to"), F.col("config_id").alias("superseded_by")
+    )
+    return versions.join(later, "_rn", "left").withColumn("valid_from", F.col("activated_at")).drop("_rn")
+
+
+def in_force(rows: DataFrame, activations: DataFrame, at: str) -> DataFrame:
+    """``rows`` with ``config_id``, the version that was in force at their time ``at``; null before the first one.
+
+    Versions and rows are laid on one line of time, and the last version carries forward; a row at the very time of
+    an activation is judged by it.  Rows without a time have no version.
+    """
+    events = activations.select(
+        F.col("activated_at").alias("_time"), F.lit(0).alias("_kind"), F.col("config_id").alias("_config"), F.col("config_id").alias("_tie")
+    )
+    asking = rows.select(
+        F.col(at).alias("_time"), F.lit(1).alias("_kind"), F.lit(None).cast(activations.schema["config_id"].dataType).alias("_config"),
+        F.lit(None).cast(activations.schema["config_id"].dataType).alias("_tie"), F.struct(*rows.columns).alias("_row"),
+    )
+    line = ranked(events.unionByName(asking, allowMissingColumns=True), [], ["_time", "_kind", "_tie"])
+    held = carry_forward(line, [], F.col("_config"), "config_id").where("_kind = 1")
+    return held.select("_row.*", F.when(F.col("_time").isNotNull(), F.col("config_id")).alias("config_id"))

@@ -462,9 +462,12 @@ def integrity_check(users: DataFrame, scans: DataFrame, results: DataFrame) -> D
 
 
 def evidence_hashes(paths: DataFrame, files: DataFrame) -> DataFrame:
-    """SHA-256 per listed evidence file; unreadable files hash to ''.
+    """``paths`` with the ``hash`` of each listed file, '' and ``missing`` where there is none to read.
 
-    ``files`` is a ``binaryFile`` read; contents never leave their task.
+    ``files`` is what ``evidence_files`` reads.
     """
-    hashed = files.select("path", F.sha2("content", 256).alias("hash"))
-    return paths.join(hashed, "path", "left").withColumn("hash", F.coalesce("hash", F.lit("")))
+    return paths.join(files.select("path", "hash"), "path", "left").select(
+        *paths.columns,
+        F.coalesce("hash", F.lit("")).alias("hash"),
+        F.when(F.col("hash").isNull(), "missing").otherwise("read").alias("status"),
+    )

@@ -12,7 +12,7 @@ from labelwise.operators import sweep as W
 from labelwise.plans import bindings as B
 from labelwise.plans import reading, workflow
 from labelwise.plans.bindings import bound, table, with_cte
-from labelwise.session import shared_dir
+from labelwise.session import shared_dir, written
 from labelwise.sources import readers as S
 from labelwise.sources import sinks as K
 
@@ -206,10 +206,61 @@ def run_summary_json(spark, sf):
     return spark.read.json(path).select("image_count", "detection_record_count")
 
 
-@query("evidence_hashes", """SELECT doc_id, sha256(text) AS hash FROM documents""")
+@query("evidence_hashes", """SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN '' ELSE sha256(text) END AS hash,
+    CASE WHEN doc_id % 10 = 3 THEN 'missing' ELSE 'read' END AS status FROM documents""")
 def evidence_hashes(spark, sf):
-    """File-like contents hashed beside their path list; every path here is readable."""
-    docs = table(spark, sf, "documents")
-    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    out = V.evidence_hashes(docs.select("doc_id", F.col("doc_id").cast("string").alias("path")), files)
-    return out.select("doc_id", "hash")
+    """File-like contents hashed beside their path list; every tenth path has no file."""
+    docs = table(spark, sf, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    files = docs.where("doc_id % 10 <> 3").select("path", F.sha2("text", 256).alias("hash"))
+    return V.evidence_hashes(docs.select("doc_id", "path"), files).select("doc_id", "hash", "status")
+
+
+@query("evidence_files", """SELECT sha256(concat(s_name, chr(10))) AS hash, 'read' AS status FROM supplier
+  UNION ALL SELECT '', 'missing' FROM supplier WHERE s_suppkey % 5 = 3""")
+def evidence_files(spark, sf):
+    """Real files in nested folders, hashed whole or in pieces, beside paths that lead nowhere."""
+    root = shared_dir(spark, "evidence")
+    names = table(spark, sf, "supplier")
+    for part in range(2):
+        some = names.where(F.col("s_suppkey") % 2 == part).select("s_name")
+        some.write.option("maxRecordsPerFile", 1).text(f"{root}/scan{part}/images")
+    files = S.evidence_files(spark, root, whole=18)
+    gone = names.where("s_suppkey % 5 = 3").select(F.concat(F.lit("file:/nowhere/"), "s_name").alias("path"))
+    paths = files.select("path").where(~F.col("path").endswith("_SUCCESS") & ~F.col("path").endswith(".crc")).unionByName(gone)
+    return V.evidence_hashes(paths, files).select("hash", "status")
+
+
+@query("label_files", f"""WITH {B.LABEL_CTE}
+  SELECT split, CAST(row_number() OVER (PARTITION BY split, file ORDER BY line) + 1 AS INTEGER) AS line, class_id,
+    CAST(n AS INTEGER) AS n_vals, round(v[1], 6) AS v1, 'read' AS status FROM l
+  UNION ALL SELECT split, 1, -1, 0, NULL, 'read' FROM (SELECT DISTINCT split, file FROM l)
+  UNION ALL SELECT DISTINCT split, 0, NULL, NULL, NULL, 'read' FROM l""")
+def label_files(spark, sf):
+    """Label files in nested folders read back whole, each with a bad first row, and an empty file in every split."""
+    rows = B.label_rows(spark, sf)
+    texts = written(K.label_texts(rows.withColumn("kept", F.lit(True)).withColumn("fixed", F.col("raw"))))
+    root = shared_dir(spark, "label_files")
+    for (split,) in texts.select("split").distinct().collect():
+        some = texts.where(F.col("split") == split)
+        body = some.select(F.concat(F.lit("bad row\n"), "text").alias("t")).unionByName(some.limit(1).select(F.lit("").alias("t")))
+        body.write.option("maxRecordsPerFile", 1).text(f"{root}/{split}/labels/deep")
+    files = S.label_files(spark, root)
+    parsed = S.read_label_rows(files).select(
+        "split", "line", "class_id", F.size("vals").alias("n_vals"), F.round(F.get("vals", F.lit(0)), 6).alias("v1"), F.lit("read").alias("status"))
+    empty = files.where(~F.col("content").rlike(r"\S")).select(
+        "split", F.lit(0).alias("line"), F.lit(None).cast("int").alias("class_id"), F.lit(None).cast("int").alias("n_vals"),
+        F.lit(None).cast("double").alias("v1"), "status")
+    return parsed.unionByName(empty)
+
+
+@query("image_listing", """SELECT CAST(n_nationkey % 3 AS VARCHAR) AS folder, count(*) AS images FROM nation GROUP BY 1""")
+def image_listing(spark, sf):
+    """Images below a folder whose name also occurs inside it."""
+    root = shared_dir(spark, "img")
+    nations = table(spark, sf, "nation")
+    for part in range(3):
+        some = nations.where(F.col("n_nationkey") % 3 == part)
+        some.select(F.encode("n_name", "UTF-8").alias("value").cast("string")).write.format("csv").option("maxRecordsPerFile", 1).option(
+            "extension", "jpg").save(f"{root}/{part}/img")
+    listed = S.list_images(spark, root)
+    return listed.groupBy(F.substring_index("image_path", "/", 1).alias("folder")).agg(F.count("*").alias("images"))

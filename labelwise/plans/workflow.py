@@ -495,6 +495,52 @@ def activate_profiles(spark, sf):
     return snapshot.select("config_id", "config_version", "is_active")
 
 
+@query("activation_audit", rules_sql("users scans results", """
+  , diffs AS (SELECT profile_id, concat_ws(', ', concat('profile renamed to ''', any_value(profile_name), ''''),
+      string_agg(concat_ws(', ',
+        CASE WHEN NOT enabled THEN concat(rule_class, ' set out of scope') END,
+        CASE WHEN severity <> base_severity THEN concat(rule_class, ' severity ', base_severity, ' to ', severity) END,
+        CASE WHEN penalty <> base_penalty THEN concat(rule_class, ' penalty ', base_penalty, ' to ', penalty) END),
+        ', ' ORDER BY ord) FILTER (NOT enabled OR severity <> base_severity OR penalty <> base_penalty)) AS changes,
+      any_value(profile_name) AS profile_name FROM rules GROUP BY profile_id)
+  SELECT CAST(profile_id * 10 AS BIGINT) AS actor_id, 'UPDATE_RULE_CONFIG' AS action,
+    concat('Activated rule profile ''', profile_name, ''' (', config_version, '); ', changes) AS details, '1998-02-01' AS ts
+  FROM diffs JOIN versions USING (profile_id) WHERE profile_id * 10 IN (SELECT user_id FROM users WHERE role = 'Admin' AND active)"""))
+def activation_audit(spark, sf):
+    """Who activated what, and how it differs from the shipped profile."""
+    stored = profiles(spark, sf)
+    versions = P.profile_versions(P.normalize_profiles(stored), ["config_id"])
+    configs = versions.join(stored.select("config_id", "is_active", "created_by"), "config_id").withColumn("created_at", F.lit("1998-01-01"))
+    saves = stored.select(
+        (F.col("config_id") + 100).alias("config_id"), "payload", (F.col("config_id") * 10).alias("actor_id"), F.lit("1998-02-01").alias("ts"))
+    _, audit = P.activate_profiles(configs, saves, bound(spark, sf, "users"), P.default_profile(spark))
+    return audit.select("actor_id", "action", "details", "ts")
+
+
+# activations arrive in no order of time, some of them at one time
+ACTIVATED = """SELECT CAST(n_nationkey AS BIGINT) AS config_id,
+    CAST(DATE '1993-01-01' + CAST((n_nationkey * 7) % 11 AS INT) * INTERVAL '200' DAY AS DATE) AS activated_at FROM nation"""
+
+
+def activations(spark, sf):
+    return spark.sql(ACTIVATED.replace("FROM nation", "FROM {src}"), src=table(spark, sf, "nation"))
+
+
+@query("profile_validity", f"""
+  SELECT config_id, activated_at AS valid_from, lead(activated_at) OVER o AS valid_to, lead(config_id) OVER o AS superseded_by
+  FROM ({ACTIVATED}) WINDOW o AS (ORDER BY activated_at, config_id)""")
+def profile_validity(spark, sf):
+    return P.validity(activations(spark, sf)).select("config_id", "valid_from", "valid_to", "superseded_by")
+
+
+@query("profiles_in_force", f"""WITH last AS (SELECT activated_at, max(config_id) AS config_id FROM ({ACTIVATED}) GROUP BY 1)
+  SELECT o_orderkey AS scan_id, config_id FROM orders ASOF LEFT JOIN last ON CAST(o_orderdate AS DATE) >= activated_at""")
+def profiles_in_force(spark, sf):
+    """Each scan under the profile that was active at its time."""
+    scans = bound(spark, sf, "scans").select("scan_id", F.col("ts").cast("date").alias("day"))
+    return P.in_force(scans, activations(spark, sf), "day").select("scan_id", "config_id")
+
+
 @query("rules_round_trip", rules_sql("scans results", "SELECT profile_id, config_version FROM versions"))
 def rules_round_trip(spark, sf):
     stored = P.rules_to_profile(P.normalize_profiles(profiles(spark, sf)), ["profile_id"])

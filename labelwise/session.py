@@ -43,6 +43,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/labelwise/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full name of a path, as Spark's file sources print it; a relative one lies below the working folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 #: An input of fewer files than cores, and of at most so many bytes a core, is dealt out again.
 SPREAD_BYTES = 16 << 20
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelwise.functions import fixed as K
 from labelwise.functions.predicates import path_list
-from labelwise.session import sized, written
+from labelwise.session import qualified, sized, written
 
 SWEEP_LOG = (
     "record_type string, image_path string, image_filename string, detection_index int, "
@@ -83,23 +88,63 @@ def parse_label_lines(text: Column) -> Column:
     return F.filter(lines, lambda r: F.trim(r["raw"]) != "")
 
 
+#: A file that goes away between listing and reading, or cannot be read, must not end the job.
+LENIENT = {"recursiveFileLookup": "true", "ignoreMissingFiles": "true", "ignoreCorruptFiles": "true"}
+
+
+def plain_path(path: Column) -> Column:
+    """A path as a file source prints it: not encoded, one slash after ``file:``."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe=":/"))
+
+
+def _listed(files: DataFrame) -> DataFrame:
+    """The files that Spark listed for a source, the empty ones too."""
+    names = files.sparkSession.createDataFrame([(f,) for f in files.inputFiles()], "path string")
+    return names.select(plain_path(F.col("path")).alias("path"))
+
+
+def _empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """'' for a file that is there and empty, null for any other."""
+    for batch in batches:
+        contents = []
+        for path in batch.column(0).to_pylist():
+            try:
+                store, name = _store(path)
+                contents.append("" if store.get_file_info(name).size == 0 else None)
+            except (OSError, ValueError):
+                contents.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.string())], names=["_path", "content"])
+
+
 def label_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every label file as ``split, file, content``; a file is one small record."""
-    path = F.col("_metadata.file_path")
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.txt")
-        .option("wholetext", True)
-        .text(root)
-        .select(
-            F.regexp_extract(path, r"([^/]+)/labels/[^/]+$", 1).alias("split"),
-            F.regexp_extract(path, r"([^/]+)$", 1).alias("file"),
-            F.col("value").alias("content"),
-        )
+    """Every label file below ``root`` as ``split, file, content, status``; a file is one small record.
+
+    The split is the folder that holds ``labels``, the file its path below that.  The listing is Spark's own; files
+    of it that could not be read are rows too, without content and with status ``unreadable``.
+    """
+    # load, not text(): that one sets the option back
+    whole = spark.read.format("text").options(pathGlobFilter="*.txt", wholetext="true", **LENIENT).load(root)
+    texts = whole.select(plain_path(F.col("_metadata.file_path")).alias("_path"), F.col("value").alias("content"))
+    listed = _listed(whole).withColumnRenamed("path", "_path")
+    joined = listed.join(texts, "_path", "left")
+    # Spark reads nothing from an empty file, so what came without content is looked at again
+    silent = joined.where("content IS NULL").select("_path").mapInArrow(_empty, "_path string, content string")
+    below = r"([^/]+)/labels/(.+)$"
+    return joined.where("content IS NOT NULL").unionByName(silent).select(
+        F.regexp_extract("_path", below, 1).alias("split"),
+        F.regexp_extract("_path", below, 2).alias("file"),
+        "content",
+        F.when(F.col("content").isNull(), "unreadable").otherwise("read").alias("status"),
     )
 
 
 def read_label_rows(files: DataFrame) -> DataFrame:
+    """Rows of all label files; those without content, or empty, have none."""
     return files.select("split", "file", F.inline(parse_label_lines(F.col("content"))))
 
 
@@ -115,22 +160,53 @@ def class_names(lines: DataFrame, text: str = "value") -> DataFrame:
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """Image paths below a folder, by lower-cased relative path; contents unread."""
-    # what is listed lies below the root, so the first place where its last folders appear is the root itself
-    top = re.sub(r"^[a-z0-9+.-]+:/*", "/", root.rstrip("/")) + "/"
-    rel = F.substring(F.col("path"), F.instr(F.col("path"), top) + len(top), 1 << 30)
+    top = qualified(spark, root).rstrip("/") + "/"
     suffix = F.lower(F.substring_index("path", ".", -1))
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(root)
         .where(suffix.isin(K.IMAGE_SUFFIXES))
-        .select(rel.alias("image_path"))
-        .orderBy(F.lower("image_path"))
+        .select(F.substring("path", len(top) + 1, 1 << 30).alias("image_path"))
+        .orderBy(F.lower("image_path"), "image_path")
     )
 
 
-def evidence_files(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+#: Files up to this size are hashed as one value; a larger one streams through its task in pieces.
+WHOLE_BYTES = 64 << 20
+PIECE_BYTES = 1 << 20
+
+
+def _hash_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lengths, hashes = [], []
+        for path in batch.column(0).to_pylist():
+            digest, length = hashlib.sha256(), 0
+            try:
+                store, name = _store(path)
+                with store.open_input_stream(name) as file:
+                    while piece := file.read(PIECE_BYTES):
+                        digest.update(piece)
+                        length += len(piece)
+                lengths.append(length)
+                hashes.append(digest.hexdigest())
+            except (OSError, ValueError):
+                lengths.append(None)
+                hashes.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(hashes, pa.string())], names=["path", "length", "hash"])
+
+
+def evidence_files(spark: SparkSession, root: str, whole: int = WHOLE_BYTES) -> DataFrame:
+    """``(path, length, hash)`` of every file below ``root`` with the SHA-256 of its bytes; no content leaves its task.
+
+    What Spark listed but did not read (empty, gone, or larger than ``whole``) is opened in its task and read in pieces;
+    a file that cannot be read has a null hash.
+    """
+    files = spark.read.format("binaryFile").options(**LENIENT).load(root)
+    small = files.where(F.col("length") <= whole).select(plain_path(F.replace("path", F.lit("%"), F.lit("%25"))).alias("path"), "length", F.sha2("content", 256).alias("hash"))
+    joined = _listed(files).join(small, "path", "left")
+    rest = joined.where("hash IS NULL").select("path", "length")
+    return joined.where("hash IS NOT NULL").unionByName(rest.mapInArrow(_hash_in_pieces, "path string, length long, hash string"))
 
 
 def read_path_list(df: DataFrame, column: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import hashlib
 import json
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +272,60 @@ def test_a_folder_named_like_the_root_is_kept(spark, tmp_path):
     assert got == ["a/img/x.jpg", "B.png"]
 
 
+def test_a_relative_root(spark, tmp_path, monkeypatch):
+    from labelwise.session import qualified
+    inside = tmp_path / "img" / "deep" / "img"
+    inside.mkdir(parents=True)
+    (inside / "x.jpg").write_bytes(b"x")
+    # the JVM keeps the folder it was started in
+    start = qualified(spark, ".").removeprefix("file:")
+    relative = os.path.relpath(tmp_path / "img", start)
+    assert [r.image_path for r in R.list_images(spark, relative).collect()] == ["deep/img/x.jpg"]
+
+
+def test_label_files_that_cannot_be_read_are_rows(spark, tmp_path):
+    folder = tmp_path / "train" / "labels" / "deep"
+    folder.mkdir(parents=True)
+    (folder / "a.txt").write_text("1 0.5 0.5 0.1 0.1\n\nbad 1\n2.7 0.1 0.2 0.3 0.4")
+    (folder / "empty.txt").write_text("")
+    (folder / "gone.txt").write_text("0 0.5 0.5 0.1 0.1")
+    (tmp_path / "train" / "labels" / "note.md").write_text("no label")
+    files = R.label_files(spark, str(tmp_path))
+    (folder / "gone.txt").unlink()
+    got = {r.file: r for r in files.collect()}
+    assert {f: r.status for f, r in got.items()} == {"deep/a.txt": "read", "deep/empty.txt": "read", "deep/gone.txt": "unreadable"}
+    assert all(r.split == "train" for r in got.values()) and got["deep/empty.txt"].content in ("", None)
+    rows = sorted((r.line, r.class_id, len(r.vals)) for r in R.read_label_rows(files).collect())
+    assert rows == [(1, 1, 4), (3, -1, 0), (4, 2, 4)]
+
+
+def test_evidence_is_hashed_whole_or_in_pieces(spark, tmp_path):
+    import hashlib
+    data = {"a.bin": b"", "b.bin": b"x" * 10, "c d.bin": bytes(range(256)) * 5000}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "gone.bin").write_bytes(b"y" * 100)
+    files = R.evidence_files(spark, str(tmp_path), whole=20)
+    names = files.select("path").collect()
+    (tmp_path / "gone.bin").unlink()
+    paths = spark.createDataFrame([(r.path,) for r in names] + [("file:/nowhere",)], "path string")
+    got = {r.path.rsplit("/", 1)[1]: (r.hash, r.status) for r in V.evidence_hashes(paths, files).collect()}
+    assert got == {n: (hashlib.sha256(c).hexdigest(), "read") for n, c in data.items()} | {
+        "gone.bin": ("", "missing"), "nowhere": ("", "missing")}
+
+
+def test_two_rules_for_one_class_are_refused(spark):
+    from labelwise.operators import policy as PO
+    verdicts = spark.createDataFrame([("pricing", True, "r", 5)], "rule_class string, is_compliant boolean, reason string, penalty_amount int")
+    rule = ("pricing", "p", "v1", True, "Major", 100, "s")
+    ddl = "rule_class string, profile_name string, config_version string, enabled boolean, severity string, penalty int, statute string"
+    same = spark.createDataFrame([rule, rule], ddl)
+    assert PO.apply_profile(verdicts, same, ["rule_class"]).count() == 1
+    twice = spark.createDataFrame([rule, (*rule[:5], 200, "s")], ddl)
+    with pytest.raises(Exception, match="several rules for pricing"):
+        PO.apply_profile(verdicts, twice, ["rule_class"]).collect()
+
+
 def test_unknown_classes_are_refused(spark):
     with pytest.raises(ValueError):
         Q.class_filter(["mrp", "nonsense"], ["mrp"])
