@@ -33,6 +33,18 @@ def actor_scope(scans: DataFrame, users: DataFrame, actor_id: int) -> DataFrame:
     return scans.join(F.broadcast(actor.limit(1)), sees, "left_semi")
 
 
+def denied_actors(actors: DataFrame, users: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """Audit rows ``(actor_id, action, details)`` of those ``actors (actor_id)`` who may not act in any of ``roles``.
+
+    An unknown or inactive account is told apart from one whose role does not allow the action.
+    """
+    known = users.select(F.col("user_id").alias("actor_id"), "role", "active")
+    gone = ~F.coalesce(F.col("active"), F.lit(False))
+    details = F.when(gone, K.ACCOUNT_UNAVAILABLE).otherwise(F.lit(K.ROLE_REQUIRED.format(", ".join(roles))))
+    asked = actors.select("actor_id").join(known, "actor_id", "left")
+    return asked.where(gone | ~F.col("role").isin(*roles)).select("actor_id", F.lit("DENIED").alias("action"), details.alias("details"))
+
+
 def history_search(scans_users: DataFrame, query: str = "", status: str = "ALL") -> DataFrame:
     """Status filter plus case-insensitive search over id, user, product and notes.
 
@@ -273,8 +285,11 @@ def apply_reviews(
 
     A decision needs a known status and scan, an active verifier or admin, a
     reason when overriding, and a pending scan (or no change of status).  The
-    first acceptable decision per scan wins; later ones see its result.
+    first acceptable decision per scan wins; later ones see its result.  A decision's
+    time ``ts`` becomes the scan's ``reviewed_at``, unless it leaves the scan pending, and the audit row's.
     """
+    if "ts" not in decisions.columns:
+        decisions = decisions.withColumn("ts", F.lit(None).cast("timestamp"))
     reviewers = users.where("active").select(F.col("user_id").alias("actor_id"), "role")
     d = (
         decisions.withColumn("new_status", F.upper(F.trim("new_status")))
@@ -303,17 +318,18 @@ def apply_reviews(
     judged = j.withColumn("fault", F.coalesce("fault", late, "override_fault"))
     accepted = judged.where("fault is null")
     last = accepted.groupBy("scan_id").agg(
-        F.max_by(F.struct("new_status", "actor_id", "reason"), "seq").alias("r")
+        F.max_by(F.struct("new_status", "actor_id", "reason", "ts"), "seq").alias("r")
     )
     updated = scans.join(last, "scan_id", "left").select(
         *[c for c in scans.columns if c != "status"],
         F.coalesce("r.new_status", "status").alias("status"),
         F.col("r.actor_id").alias("reviewer_id"),
+        F.when(F.col("r.new_status") != "PENDING", F.col("r.ts")).alias("reviewed_at"),
         F.trim(F.coalesce("r.reason", F.lit(""))).alias("review_reason"),
     )
     audit = accepted.select(
         "actor_id", "scan_id", F.concat(F.lit("SCAN_"), "new_status").alias("action"),
-        F.trim(F.coalesce("reason", F.lit(""))).alias("details"), "seq",
+        F.trim(F.coalesce("reason", F.lit(""))).alias("details"), "seq", "ts",
     )
     rejected = judged.where("fault is not null").select(
         "scan_id", "actor_id", "new_status", "seq", "fault"

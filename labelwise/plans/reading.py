@@ -674,6 +674,16 @@ def indel_ratio(spark, sf):
     return pairs.withColumn("ratio", F.round(X.indel_ratio(F.lower("a"), F.lower("b")), 6))
 
 
+@query("quad_boxes", """SELECT vec_id, CAST(least(e[1], e[3], e[5], e[7]) AS INTEGER) AS x1, CAST(least(e[2], e[4], e[6], e[8]) AS INTEGER) AS y1,
+    CAST(greatest(e[1], e[3], e[5], e[7]) AS INTEGER) AS x2, CAST(greatest(e[2], e[4], e[6], e[8]) AS INTEGER) AS y2
+  FROM (SELECT vec_id, list_transform(embedding, lambda v: trunc(CAST(v AS DOUBLE) * 1000)) AS e FROM embeddings)""")
+def quad_boxes(spark, sf):
+    """Recognizer quads, four corners in any order, as upright boxes of whole pixels."""
+    e = F.transform("embedding", lambda v: v.cast("double") * 1000)
+    corners = F.array(*[F.array(F.get(e, F.lit(2 * i)), F.get(e, F.lit(2 * i + 1))) for i in range(4)])
+    return table(spark, sf, "embeddings").select("vec_id", G.quad_to_box(corners).alias("b")).select("vec_id", "b.*")
+
+
 @query("indel_ratio_turns", """SELECT conv_id, turn, round(CASE WHEN length(t) = 0 THEN 0 ELSE
     2.0 * length(regexp_replace(t, '[aeiou]', '', 'g')) / (length(t) + length(regexp_replace(t, '[aeiou]', '', 'g')) + turn % 3) END, 6) AS ratio
   FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)""")

@@ -182,7 +182,7 @@ def path_lists(spark, sf):
 # --- writes -----------------------------------------------------------------
 
 DECISIONS = """
-  SELECT event_id AS seq, event_id * 7 % 15013 AS scan_id, user_id * 5 AS actor_id,
+  SELECT event_id AS seq, ts, event_id * 7 % 15013 AS scan_id, user_id * 5 AS actor_id,
     CASE event_type WHEN 'click' THEN 'approved' WHEN 'view' THEN 'OVERRIDDEN'
       WHEN 'purchase' THEN 'APPROVED' WHEN 'signup' THEN 'PENDING' ELSE 'LOST' END AS new_status,
     CASE WHEN value > 20 THEN 'checked' ELSE ' ' END AS reason
@@ -211,14 +211,16 @@ REVIEW_CTE = f"""
 
 @query("apply_reviews", with_cte("users scans", REVIEW_CTE.strip() + """
   SELECT s.scan_id, coalesce(l.ns, s.status) AS status, l.actor_id AS reviewer_id,
-    coalesce(l.reason, '') AS review_reason
+    coalesce(l.reason, '') AS review_reason,
+    CASE WHEN l.ns <> 'PENDING' THEN (SELECT epoch_us(ts) FROM events WHERE event_id = l.seq) END AS reviewed_us
   FROM scans s LEFT JOIN (SELECT scan_id, arg_max(ns, seq) AS ns, arg_max(actor_id, seq) AS actor_id,
-    arg_max(reason, seq) AS reason FROM w WHERE verdict IS NULL GROUP BY scan_id) l USING (scan_id)
+    arg_max(reason, seq) AS reason, max(seq) AS seq FROM w WHERE verdict IS NULL GROUP BY scan_id) l USING (scan_id)
 """).replace("\n, d AS", ", d AS"))
 def apply_reviews(spark, sf):
     scans, users = usr("scans", "users")(spark, sf)
     updated, _, _ = V.apply_reviews(scans, decisions(spark, sf), users)
-    return updated.select("scan_id", "status", "reviewer_id", "review_reason")
+    return updated.select(
+        "scan_id", "status", "reviewer_id", "review_reason", F.unix_micros(F.col("reviewed_at").cast("timestamp")).alias("reviewed_us"))
 
 
 @query("rejected_reviews", with_cte("users scans", REVIEW_CTE.strip() + """
@@ -230,11 +232,24 @@ def rejected_reviews(spark, sf):
 
 
 @query("review_audit", with_cte("users scans", REVIEW_CTE.strip() + """
-  SELECT actor_id, scan_id, concat('SCAN_', ns) AS action, reason AS details, seq FROM w WHERE verdict IS NULL
+  SELECT actor_id, scan_id, concat('SCAN_', ns) AS action, reason AS details, seq,
+    (SELECT epoch_us(ts) FROM events WHERE event_id = w.seq) AS at_us FROM w WHERE verdict IS NULL
 """).replace("\n, d AS", ", d AS"))
 def review_audit(spark, sf):
     scans, users = usr("scans", "users")(spark, sf)
-    return V.apply_reviews(scans, decisions(spark, sf), users)[1]
+    audit = V.apply_reviews(scans, decisions(spark, sf), users)[1]
+    return audit.withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+
+
+@query("denied_actors", with_cte("users", """
+  SELECT a.actor_id, 'DENIED' AS action, CASE WHEN coalesce(active, false) THEN 'This action requires one of these roles: Verifier, Admin'
+    ELSE 'The account is unavailable' END AS details
+  FROM (SELECT event_id AS actor_id FROM events) a LEFT JOIN users u ON u.user_id = a.actor_id
+  WHERE NOT coalesce(active, false) OR role = 'Inspector'"""))
+def denied_actors(spark, sf):
+    """Every event's number as an actor who asks to review."""
+    actors = table(spark, sf, "events").select(F.col("event_id").alias("actor_id"))
+    return V.denied_actors(actors, bound(spark, sf, "users"), ("Verifier", "Admin"))
 
 
 @query("user_status_changes", with_cte("users", """
