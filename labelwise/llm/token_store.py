@@ -36,7 +36,7 @@ LAYOUT = {
     "compression": "zstd",
 }
 #: Chunks that a worker remembers before it starts afresh.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Characters of texts that one batch holds at most (one document more), and chunks that go to the library at a time.
 BATCH_CHARS = 4 << 20
 JOINED = 512
