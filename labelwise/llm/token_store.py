@@ -8,9 +8,11 @@ wants a few documents or only the counts touches a few pages: ``read_counts`` ne
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,14 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
     "compression": "zstd",
 }
-#: Chunks that a worker remembers before it starts afresh.
-MEMORY = 150_000
+#: Chunks met in several batches that a worker remembers before it starts afresh.
+MEMORY = 100_000
 #: Characters of texts that one batch holds at most (one document more), and chunks that go to the library at a time.
 BATCH_CHARS = 4 << 20
 JOINED = 512
+#: Bytes of the rows that Spark hands to a worker at a time, and its setting for that.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 SCHEMA = "doc_id long, first long, n_tokens int, tokens array<int>"
 
 #: How a byte-level vocabulary writes a space.
@@ -56,8 +61,8 @@ class ChunkEncoder:
     A byte-level tokenizer splits a text before it merges, and it always splits before a space with more than white
     space after it; what stands between two such places (a chunk) has the same ids in any text.  Chunks that a batch
     holds for the first time go to the library joined by spaces, and tokens that open with a space tell them apart
-    again; what came up is remembered, and a full memory starts afresh, which costs time only.  A text that
-    holds an added token, which the library looks for before it splits, goes to it whole, as do all texts of any
+    again.  A chunk is remembered for one more batch, and for good if it comes up there; a full memory starts afresh,
+    which costs time only.  A text that holds an added token, which the library looks for before it splits, goes to it whole, as do all texts of any
     other kind of tokenizer.
     """
 
@@ -65,14 +70,16 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        made = json.loads(self.library.to_str())
-        split = made["pre_tokenizer"] or {}
-        self.cuttable = not made["normalizer"] and all(split.get(k) == v for k, v in CUTTABLE.items())
-        added = [t["content"] for t in made["added_tokens"]]
+        split = self.library.pre_tokenizer
+        split = json.loads(split.__getstate__()) if split else {}
+        self.cuttable = not self.library.normalizer and all(split.get(k) == v for k, v in CUTTABLE.items())
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.opens = np.zeros(self.library.get_vocab_size(), bool)
-        self.opens[[k for t, k in self.library.get_vocab().items() if t.startswith(SPACE_MARK)]] = True
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[k for t, k in vocabulary.items() if t.startswith(SPACE_MARK)]] = True
+        self.common: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -124,6 +131,24 @@ class ChunkEncoder:
         keep[ends[start:stop] - ends[start]] = False
         return split.values.slice(ends[start], ends[stop] - ends[start]).filter(pa.array(keep))
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of a batch's distinct chunks, remembered or new."""
+        ids = list(map(self.common.get, words))
+        if len(self.common) > MEMORY:
+            self.common = {}
+        fresh = []
+        for k in [k for k, b in enumerate(ids) if b is None]:
+            ids[k] = self.recent.get(words[k])
+            if ids[k] is None:
+                fresh.append(k)
+            else:
+                self.common[words[k]] = ids[k]
+        new = [words[k] for k in fresh]
+        self.recent = dict(zip(new, self._new(new)))
+        for k, w in zip(fresh, new):
+            ids[k] = self.recent[w]
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [not self.cuttable or bool(self.added and self.added.search(t)) for t in texts]
         out = [b""] * len(texts)
@@ -137,17 +162,7 @@ class ChunkEncoder:
         head_ids = self._library(first.dictionary.to_pylist())
         coded = chunks.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        get = self.known.get
-        ids = [get(w) for w in words]
-        missing = [k for k, b in enumerate(ids) if b is None]
-        if missing:
-            if len(self.known) > MEMORY:
-                self.known = {}
-
-            for k, b in zip(missing, self._new([words[k] for k in missing])):
-                ids[k] = b
-                self.known[words[k]] = b
-
+        ids = self._ids(words)
         sizes = np.array([len(b) // 4 for b in ids], "i8")
         table = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)]), pa.array(np.frombuffer(b"".join(ids), "<i4")))
         taken = table.take(coded.indices)
@@ -174,6 +189,7 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 def _encode_with(path: str, end: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a task of its own
         if path not in _encoders:  # a worker keeps what it has learned for its next task
             _encoders[path] = ChunkEncoder(path)
         encoder = _encoders[path]
@@ -195,10 +211,22 @@ def _encode_with(path: str, end: bytes) -> Callable[[Iterator[pa.RecordBatch]],
                     names=["doc_id", "first", "n_tokens", "tokens"],
                 )
                 first += int(ends[-1])
+                pa.default_memory_pool().release_unused()
 
     return run
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run here hand rows over in small batches, for texts and lists of ids are long."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def write(
     docs: DataFrame,
     path: str,
@@ -222,7 +250,8 @@ def write(
     ordered = rows.repartitionByRange(*ranges).sortWithinPartitions(*within).select("doc_id", "text")
     end = int(end_id).to_bytes(4, "little")
     coded = ordered.mapInArrow(_encode_with(tokenizer, end), SCHEMA)
-    coded.withColumn("part", F.spark_partition_id()).write.options(**LAYOUT).parquet(path)
+    with _small_batches(docs.sparkSession):
+        coded.withColumn("part", F.spark_partition_id()).write.options(**LAYOUT).parquet(path)
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -261,5 +290,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, and the crc32 of its ids as little-endian 32-bit integers."""
     rows = spark.read.parquet(path).select("doc_id", "part", "first", "tokens")
     read = rows.mapInArrow(_checksums, "doc_id long, part int, first long, n_tokens long, ids_crc32 long")
+    with _small_batches(spark):
+        read = common.keep_table(read, "token_sums")
     bases = common.keep_table(manifest(spark, path).select("part", "base"), "token_manifest")
     return read.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
