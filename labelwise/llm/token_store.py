@@ -12,7 +12,6 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +41,6 @@ MEMORY = 100_000
 #: Characters of texts that one batch holds at most (one document more), and chunks that go to the library at a time.
 BATCH_CHARS = 4 << 20
 JOINED = 512
-#: Bytes of the rows that Spark hands to a worker at a time, and its setting for that.
-BATCH_BYTES = 4 << 20
-BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 SCHEMA = "doc_id long, first long, n_tokens int, tokens array<int>"
 
 #: How a byte-level vocabulary writes a space.
@@ -216,17 +212,6 @@ def _encode_with(path: str, end: bytes) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs run here hand rows over in small batches, for texts and lists of ids are long."""
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_SETTING, before)
-
-
 def write(
     docs: DataFrame,
     path: str,
@@ -250,7 +235,7 @@ def write(
     ordered = rows.repartitionByRange(*ranges).sortWithinPartitions(*within).select("doc_id", "text")
     end = int(end_id).to_bytes(4, "little")
     coded = ordered.mapInArrow(_encode_with(tokenizer, end), SCHEMA)
-    with _small_batches(docs.sparkSession):
+    with common.small_batches(docs.sparkSession):
         coded.withColumn("part", F.spark_partition_id()).write.options(**LAYOUT).parquet(path)
 
 
@@ -290,7 +275,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, and the crc32 of its ids as little-endian 32-bit integers."""
     rows = spark.read.parquet(path).select("doc_id", "part", "first", "tokens")
     read = rows.mapInArrow(_checksums, "doc_id long, part int, first long, n_tokens long, ids_crc32 long")
-    with _small_batches(spark):
+    with common.small_batches(spark):
         read = common.keep_table(read, "token_sums")
     bases = common.keep_table(manifest(spark, path).select("part", "base"), "token_manifest")
     return read.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
