@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelwise.functions import text as X
 from labelwise.functions.spans import let
-from labelwise.session import cut, spread
+from labelwise.session import cut, spread, written
 
 LITERAL_WORDS = 20_000
 SLOTS = 1024
@@ -85,3 +85,16 @@ def clean_corpus(df: DataFrame, key: list[str], text: str, out: str = "clean") -
         healed = X.rebuild(F.col("_marked"), lambda w: F.element_at(F.col("_fixes"), w))
     done = let(healed, lambda h: X.finish(X.heal_numbers(h)))
     return marked.withColumn(out, done).drop("_marked", "_fixes", "_row")
+
+
+def once(df: DataFrame, texts: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with what ``make`` adds to a table of its distinct ``texts``, each read once however often it is printed.
+
+    ``make`` must be a pure function of these columns.  Duplicates fold on the map side; where the distinct texts are
+    few, Spark broadcasts the results and the rows stay where they are, else both sides meet by shuffle.
+    """
+    done = written(make(written(df.select(*texts).distinct())))
+    keys = [f"_once{i}" for i in range(len(texts))]
+    done = done.withColumnsRenamed(dict(zip(texts, keys)))
+    same = [df[t].eqNullSafe(done[k]) for t, k in zip(texts, keys)]
+    return df.join(done, same).drop(*keys)
