@@ -35,3 +35,48 @@ def twice(sf, tmp_path_factory):
 @pytest.mark.parametrize("name", ["contained_spans", "overlapping_spans", "nearest_label", "within_reach", "following_span", "following_licences"])
 def test_rows_of_one_id_keep_their_own_spans(spark, twice, name):
     equal_to_sql(spark, twice, name)
+
+
+@pytest.mark.parametrize("name", ["extract_dates", "parse_signal", "validate_scans", "digest"])
+def test_equal_texts_are_read_once(spark, twice, name, monkeypatch):
+    """The per-text work sees distinct texts only, and the rows are those of the SQL."""
+    from labelwise.operators import clean, extract, sweep
+    from labelwise.plans import extraction
+
+    seen = []
+
+    def watched(df, texts, make, once=clean.once):
+        def noted(rows):
+            seen.append((rows.count(), rows.distinct().count()))
+            return make(rows)
+
+        return once(df, texts, noted)
+
+    for module in (clean, extract, sweep, extraction):
+        monkeypatch.setattr(module, "once", watched)
+    if name in ("extract_dates", "parse_signal"):
+        equal_to_sql(spark, twice, name)
+    else:
+        entry.queries()[name](spark, str(twice)).count()
+    assert seen and all(n == distinct for n, distinct in seen)
+
+
+def test_every_group_that_a_parser_cannot_read_has_its_own_message(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from labelwise.functions import parse as P
+    from labelwise.operators import sweep as W
+    from labelwise.operators.extract import Telling
+
+    log = spark.range(120).select(
+        F.lit("detection").alias("record_type"), F.concat(F.lit("i"), "id").alias("image_path"), F.lit(1).alias("detection_index"),
+        F.col("id").alias("ln"), F.lit("product_name").alias("canonical_class"),
+        F.concat(F.when(F.col("id") < 110, "bad ").otherwise("Tea "), "id").alias("ocr_text"))
+    parser = Telling(lambda clean, wide: P.product_name(clean), lambda clean, wide: F.when(F.lower(clean).startswith("bad"), clean))
+    got = W.digest(log, dt.date(2024, 1, 1), {"product_name": parser}).collect()
+    bad = [r for r in got if r.combined_text.startswith("bad")]
+    assert len(got) == 120 and len({r.parser_error for r in bad}) == 110
+    assert all(r.is_compliant is None and r.parsed is None for r in bad)
+    assert all(r.parser_error is None and r.is_compliant for r in got if r not in bad)
