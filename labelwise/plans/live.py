@@ -10,7 +10,7 @@ from labelwise.functions import predicates as Q
 from labelwise.operators import live as V
 from labelwise.plans import bindings as B
 from labelwise.plans.bindings import with_cte
-from labelwise.session import shared_dir
+from labelwise.session import shared_dir, written
 from labelwise.sources.readers import FRAMES
 from labelwise.streaming import frames as T
 
@@ -201,9 +201,10 @@ def stream_latest_only(spark, sf):
 
 def numbered_files(spark, rows: DataFrame, part, path: str, schema: str, files: int = 1) -> DataFrame:
     """``rows`` as a stream of one file for each value of ``part``, in that order."""
-    names = [r[0] for r in rows.select(part.alias("p")).distinct().orderBy("p").collect()]
+    rows = written(rows.withColumn("_part", part))  # or every file would make all rows again
+    names = [r[0] for r in rows.select("_part").distinct().orderBy("_part").collect()]
     for n in names:  # files are streamed by the time they were written
-        rows.where(part == n).coalesce(1).write.mode("append").parquet(path)
+        rows.where(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(path)
     return T.read_stream(spark, path, schema, files)
 
 
