@@ -242,7 +242,8 @@ def label_files(spark, sf):
     root = shared_dir(spark, "label_files")
     for (split,) in texts.select("split").distinct().collect():
         some = texts.where(F.col("split") == split)
-        body = some.select(F.concat(F.lit("bad row\n"), "text").alias("t")).unionByName(some.limit(1).select(F.lit("").alias("t")))
+        # the empty file comes first: Spark writes a file for a first partition without rows, which would be one more
+        body = some.limit(1).select(F.lit("").alias("t")).unionByName(some.select(F.concat(F.lit("bad row\n"), "text").alias("t")))
         body.write.option("maxRecordsPerFile", 1).text(f"{root}/{split}/labels/deep")
     files = S.label_files(spark, root)
     parsed = S.read_label_rows(files).select(

@@ -80,3 +80,11 @@ def test_every_group_that_a_parser_cannot_read_has_its_own_message(spark):
     assert len(got) == 120 and len({r.parser_error for r in bad}) == 110
     assert all(r.is_compliant is None and r.parsed is None for r in bad)
     assert all(r.parser_error is None and r.is_compliant for r in got if r not in bad)
+
+
+def test_a_split_behind_an_empty_first_partition_has_one_empty_file(spark, sf, monkeypatch):
+    from labelwise.plans import storage
+
+    keep = storage.written  # one file a split, so every split lacks rows in some first partition
+    monkeypatch.setattr(storage, "written", lambda df: keep(df.repartitionByRange(3, "split")))
+    equal_to_sql(spark, sf, "label_files")
