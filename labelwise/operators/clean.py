@@ -12,7 +12,9 @@ from labelwise.functions.spans import let
 from labelwise.session import cut, spread, written
 
 LITERAL_WORDS = 20_000
-SLOTS = 1024
+#: Texts of at most so many bytes a core in few files are dealt out: their repair costs more than their shuffle.
+TEXT_BYTES = 512 << 20
+SLOTS = 1 << 14
 
 
 def clean_text(text: Column) -> Column:
@@ -30,30 +32,34 @@ def clean_text(text: Column) -> Column:
 def heal_vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
     """Distinct words that heal to a keyword: ``word, keyword``.
 
-    Duplicates fold on the map side, so each distinct word is scored once.
+    Duplicates fold on the map side and the distinct words are written, or Spark would push the condition on the
+    keyword below the folding and score every word as often as it is printed.
     """
     return (
-        words.select(F.col(word).alias("word"))
-        .distinct()
-        .select("word", X.heal_word(F.col("word"), checked=True).alias("keyword"))
+        written(words.select(F.col(word).alias("word")).distinct())
+        .select("word", X.heal_word(F.col("word")).alias("keyword"))
         .where("keyword is not null")
     )
 
 
+def marked_words(marked: DataFrame, column: str) -> DataFrame:
+    """Looked-up words (``word``) of a column of marked texts; words as printed fold first and are looked up once."""
+    pieces = marked.select(F.explode(F.split(column, X.SPAN)).alias("piece")).where(F.contains("piece", F.lit(X.BODY)))
+    printed = pieces.select(F.substring_index("piece", X.BODY, 1).alias("word")).distinct()
+    return printed.select(X.heal_lookup(F.col("word")).alias("word"))
+
+
 def _slot(word: Column) -> Column:
     return F.pmod(F.hash(word), F.lit(SLOTS))
 
 
 def _literal_lookup(vocabulary: list) -> Callable[[Column], Column]:
     """Lookup expression over a hash table held as a literal in the plan."""
-    by_slot: dict[int, list] = {}
+    by_slot: list[dict[str, str]] = [{} for _ in range(SLOTS)]
     for r in vocabulary:
-        by_slot.setdefault(r.slot, []).append((r.word, r.keyword))
-    rows = [
-        [{"w": w, "k": k} for w, k in by_slot.get(i, [])] for i in range(SLOTS)
-    ]
-    table = X.literal_table(rows, "array<array<struct<w:string,k:string>>>")
-    return lambda w: F.get(F.filter(F.get(table, _slot(w)), lambda e: e["w"] == w), F.lit(0))["k"]
+        by_slot[r.slot][r.word] = r.keyword
+    table = X.literal_table(by_slot, "array<map<string,string>>")
+    return lambda w: F.element_at(F.get(table, _slot(w)), w)
 
 
 def clean_corpus(df: DataFrame, key: list[str], text: str, out: str = "clean") -> DataFrame:
@@ -65,9 +71,9 @@ def clean_corpus(df: DataFrame, key: list[str], text: str, out: str = "clean") -
     the word and meets its texts on a row number, so ``key`` need not be unique.
     Both give the same rows.
     """
-    marked = spread(df).withColumn("_marked", let(X.repair(F.col(text)), X.mark_words))
-    words = marked.select(F.explode(X.marked_words(F.col("_marked"))).alias("word"))
-    vocabulary = heal_vocabulary(words)
+    # both the vocabulary and the texts rebuilt with it read the repaired texts
+    marked = written(spread(df, TEXT_BYTES).withColumn("_marked", let(X.repair(F.col(text)), X.mark_words)))
+    vocabulary = heal_vocabulary(marked_words(marked, "_marked"))
     head = vocabulary.withColumn("slot", _slot(F.col("word"))).limit(LITERAL_WORDS + 1).collect()
     if len(head) <= LITERAL_WORDS:
         healed = X.rebuild(F.col("_marked"), _literal_lookup(head))

@@ -88,3 +88,22 @@ def test_a_split_behind_an_empty_first_partition_has_one_empty_file(spark, sf, m
     keep = storage.written  # one file a split, so every split lacks rows in some first partition
     monkeypatch.setattr(storage, "written", lambda df: keep(df.repartitionByRange(3, "split")))
     equal_to_sql(spark, sf, "label_files")
+
+
+def test_a_word_is_scored_once_however_often_it_is_printed(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from labelwise.functions import text as X
+    from labelwise.operators import clean
+
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(word):
+        scored.add(1)
+        return word.upper()
+
+    monkeypatch.setattr(X, "heal_word", lambda word, checked=False: counted(word))
+    words = spark.range(1000).select(F.concat(F.lit("w"), F.col("id") % 5).alias("word"))
+    assert {tuple(r) for r in clean.heal_vocabulary(words).collect()} == {(f"w{k}", f"W{k}") for k in range(5)}
+    assert scored.value <= 10
