@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,59 +94,25 @@ def lcs_codes(codes: Column, masks: Column, width: Column) -> Column:
     return width - F.bit_count(F.aggregate(codes, full, step))
 
 
-#: Bits of a pattern that one word of a long string's bit set holds; the sum of two words and a carry fits a long.
-WORD_BITS = 62
-
-
-def characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence by the bit-parallel recurrence on whole numbers of any size."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full = left = (1 << len(a)) - 1
+    for c in b:
+        if hit := left & masks.get(c, 0):
+            left = (left + hit) & full | left - hit
+    return len(a) - left.bit_count()
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two strings of any length, by the bit-parallel recurrence over several words.
-
-    ``a`` is a bit set of as many words as it needs; every character of ``b`` costs one addition with carry a word.
-    """
-    def shift(bits: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
-
-    def over(xs: Column) -> Column:
-        words = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / WORD_BITS).cast("int")))
-        parts = F.transform(words, lambda w: F.slice(xs, w * WORD_BITS + 1, F.lit(WORD_BITS)))
-
-        def mask(part: Column, c: Column) -> Column:
-            bits = F.transform(part, lambda x, i: F.when(x == c, shift(i)).otherwise(F.lit(0).cast("long")))
-            return F.aggregate(bits, F.lit(0).cast("long"), lambda m, x: m + x)
+    """Longest common subsequence of two strings of any length; null if one is."""
 
-        def folded(s: Column) -> Column:
-            full, masks, ways = s["full"], s["masks"], s["words"]
-
-            def step(v: Column, c: Column) -> Column:
-                def add(acc: Column, w: Column) -> Column:
-                    word = F.get(v, w)
-                    hit = word.bitwiseAND(F.get(F.element_at(masks, c), w))
-                    total = word + hit + acc["carry"]
-                    now = total.bitwiseAND(F.get(full, w)).bitwiseOR(word - hit)
-                    return F.struct(F.shiftright(total, WORD_BITS).alias("carry"), F.array_append(acc["out"], now).alias("out"))
-
-                start = F.struct(F.lit(0).cast("long").alias("carry"), F.slice(v, 1, 0).alias("out"))
-                # a character that the other string lacks changes nothing
-                return F.when(F.map_contains_key(masks, c), F.aggregate(ways, start, add, lambda acc: acc["out"])).otherwise(v)
-
-            left = F.aggregate(characters(b), full, step)
-            return F.size(xs) - F.aggregate(left, F.lit(0), lambda n, v: n + F.bit_count(v))
-
-        letters = F.array_distinct(xs)
-        return let(
-            F.struct(
-                words.alias("words"),
-                F.transform(parts, lambda p: shift(F.size(p)) - 1).alias("full"),
-                F.map_from_arrays(letters, F.transform(letters, lambda c: F.transform(parts, lambda p: mask(p, c)))).alias("masks"),
-            ),
-            folded,
-        )
+    def lengths(some: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else common_length(x, y) for x, y in zip(some, others)], dtype="Int32")
 
-    return let(characters(a), over)
+    return F.pandas_udf(lengths, "int")(a, b)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

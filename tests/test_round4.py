@@ -31,3 +31,25 @@ def test_documents_of_few_levels_need_no_levels_of_their_own(spark):
     want = {i: min((s, e) for d2, s, e in others if d2 == d and 0 <= s - en <= 24) for d, _, en, i in spans if any(d2 == d and 0 <= s - en <= 24 for d2, s, e in others)}
     got = {r.sid: tuple(r.run) for r in J.following_span(left, right, 24, "sid").collect()}
     assert got == want
+
+
+def test_long_texts_are_compared_by_whole_numbers(spark):
+    from labelwise.functions import text as X
+
+    rnd = random.Random(5)
+    pairs = [("", ""), ("a", ""), (None, "a"), ("a", None), ("☃𝒳b", "𝒳☃b")]
+    pairs += [("".join(rnd.choices("abc☃", k=n)), "".join(rnd.choices("abd𝒳", k=m))) for n in (1, 61, 62, 63, 200) for m in (1, 62, 130)]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, a string, b string")
+    got = df.select("id", X.lcs_length(F.col("a"), F.col("b")).alias("n"))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.n for r in got.collect()} == {i: None if a is None or b is None else lcs(a, b) for i, (a, b) in enumerate(pairs)}
