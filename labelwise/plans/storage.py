@@ -12,7 +12,7 @@ from labelwise.operators import sweep as W
 from labelwise.plans import bindings as B
 from labelwise.plans import reading, workflow
 from labelwise.plans.bindings import bound, table, with_cte
-from labelwise.session import shared_dir, written
+from labelwise.session import shared_dir, spread, written
 from labelwise.sources import readers as S
 from labelwise.sources import sinks as K
 
@@ -222,9 +222,10 @@ def evidence_files(spark, sf):
     root = shared_dir(spark, "evidence")
     names = table(spark, sf, "supplier")
     for part in range(2):
-        some = names.where(F.col("s_suppkey") % 2 == part).select("s_name")
+        # one task writes and renames its files one after another, so all cores share them
+        some = spread(names).where(F.col("s_suppkey") % 2 == part).select("s_name")
         some.write.option("maxRecordsPerFile", 1).text(f"{root}/scan{part}/images")
-    files = S.evidence_files(spark, root, whole=18)
+    files = written(S.evidence_files(spark, root, whole=18))
     gone = names.where("s_suppkey % 5 = 3").select(F.concat(F.lit("file:/nowhere/"), "s_name").alias("path"))
     paths = files.select("path").where(~F.col("path").endswith("_SUCCESS") & ~F.col("path").endswith(".crc")).unionByName(gone)
     return V.evidence_hashes(paths, files).select("hash", "status")

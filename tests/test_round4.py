@@ -53,3 +53,13 @@ def test_long_texts_are_compared_by_whole_numbers(spark):
     got = df.select("id", X.lcs_length(F.col("a"), F.col("b")).alias("n"))
     assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.n for r in got.collect()} == {i: None if a is None or b is None else lcs(a, b) for i, (a, b) in enumerate(pairs)}
+
+
+def test_evidence_files_are_written_by_several_tasks(spark, sf, tmp_path, monkeypatch):
+    from labelwise.plans import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda spark, name: str(tmp_path / name))
+    assert storage.evidence_files(spark, sf).count() > 0
+    for part in (0, 1):
+        folder = tmp_path / "evidence" / f"scan{part}" / "images"
+        assert len({p.name.split("-")[1] for p in folder.glob("part-*")}) > 1
