@@ -184,6 +184,11 @@ def apply_profile(verdicts: DataFrame, rules: DataFrame, keys: list[str]) -> Dat
 
 def summarize_verdicts(overlaid: DataFrame, keys: list[str], order: str = "rule_class") -> DataFrame:
     """Scope-aware totals; classes out of scope are neither pass nor fail."""
+    return overlaid.groupBy(*keys).agg(*summary_columns(order))
+
+
+def summary_columns(order: str = "rule_class") -> list[Column]:
+    """The totals of ``summarize_verdicts`` as aggregates."""
     ok = F.coalesce(F.col("is_compliant"), F.lit(False))
     scope = F.col("in_scope")
     failed = scope & ~ok
@@ -199,7 +204,7 @@ def summarize_verdicts(overlaid: DataFrame, keys: list[str], order: str = "rule_
             F.min_by(filled, F.when(filled.isNotNull(), F.col(order))), F.lit("")
         ).alias(c)
 
-    return overlaid.groupBy(*keys).agg(
+    return [
         F.count("*").alias("total"),
         F.count_if(scope).alias("assessed"),
         F.count_if(~scope).alias("skipped"),
@@ -215,7 +220,7 @@ def summarize_verdicts(overlaid: DataFrame, keys: list[str], order: str = "rule_
         ).alias("highest_severity"),
         first_filled("profile_name"),
         first_filled("config_version"),
-    )
+    ]
 
 
 def profile_diff(rules: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:

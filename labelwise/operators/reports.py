@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelwise.functions.predicates import path_list, row_status
-from labelwise.operators.policy import scope_split, summarize_verdicts
+from labelwise.operators.policy import scope_split, summary_columns
 
 
 def report_rows(scans: DataFrame, overlaid: DataFrame) -> DataFrame:
@@ -53,15 +53,14 @@ def report_payload(
     )
     results = overlaid.groupBy("scan_id").agg(
         F.array_sort(F.collect_list(item)).alias("results"),
-        F.array_sort(F.collect_set(F.when(F.col("in_scope"), F.col("rule_class")))).alias("assessed"),
-    )
-    summary = summarize_verdicts(overlaid, ["scan_id"]).select(
-        "scan_id", F.struct(
-            "total", "assessed", "skipped", "passed", "failed", "penalty", "highest_severity"
-        ).alias("summary"),
+        F.array_sort(F.collect_set(F.when(F.col("in_scope"), F.col("rule_class")))).alias("assessed_classes"),
+        *summary_columns(),
+    ).select(
+        "scan_id", "results", "assessed_classes",
+        F.struct("total", "assessed", "skipped", "passed", "failed", "penalty", "highest_severity").alias("summary"),
     )
     split = scope_split(rules, rule_keys)
-    out = scans.join(results, "scan_id").join(summary, "scan_id")
+    out = scans.join(results, "scan_id")
     if rule_keys:
         out = out.join(split, rule_keys)
     else:
@@ -73,7 +72,7 @@ def report_payload(
         F.struct("scan_id", "status", "product_name", "evidence_notes").alias("scan"),
         F.struct(
             F.col("in_scope").alias("rules_in_scope"), F.col("out_of_scope").alias("rules_out_of_scope"),
-            F.col("assessed").alias("assessed_rule_classes"),
+            F.col("assessed_classes").alias("assessed_rule_classes"),
         ).alias("rule_config"),
         "summary",
         F.struct(path_list(F.col("image_paths")).alias("image_paths")).alias("evidence"),

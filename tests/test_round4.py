@@ -63,3 +63,11 @@ def test_evidence_files_are_written_by_several_tasks(spark, sf, tmp_path, monkey
     for part in (0, 1):
         folder = tmp_path / "evidence" / f"scan{part}" / "images"
         assert len({p.name.split("-")[1] for p in folder.glob("part-*")}) > 1
+
+
+def test_a_report_folds_its_results_and_totals_together(spark, sf):
+    from labelwise.plans import workflow
+
+    plan = workflow.report_payload(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    groups = [line for line in plan.splitlines() if "Aggregate [scan_id" in line]
+    assert len(groups) == 1
