@@ -50,6 +50,15 @@ def laid_out(group: list[tuple[int, bytes, bytes]], depth: int) -> tuple[np.ndar
     return flat, own
 
 
+def window_keys(group: list[tuple[int, bytes, bytes]], depth: int) -> np.ndarray:
+    """The window at each byte of the parts."""
+    flat, own = laid_out(group, depth)
+    key = np.zeros(len(own), np.int64)
+    for back in (*range(1, depth + 1), 0):
+        key = (key << 8) | flat[own - back]
+    return key
+
+
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -65,11 +74,7 @@ class WindowCounts:
 
     def add(self, texts: Sequence[bytes]) -> None:
         for group in blocks(texts):
-            flat, own = laid_out(group, self.depth)
-            key = np.zeros(len(own), np.int64)
-            for back in (*range(1, self.depth + 1), 0):
-                key = (key << 8) | flat[own - back]
-            found, n = np.unique(key, return_counts=True)
+            found, n = np.unique(window_keys(group, self.depth), return_counts=True)
             self.keys.append(found)
             self.counts.append(n)
         if sum(map(len, self.keys)) > 2 * HELD:
