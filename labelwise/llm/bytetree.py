@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from labelwise.llm import common
 
 #: Bytes of text that are worked on at a time, and windows that a task holds before it sends them on.
-BLOCK = 2 << 20
+BLOCK = 128 << 10
 HELD = 2_000_000
 
 

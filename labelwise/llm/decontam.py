@@ -132,6 +132,7 @@ def _searching(items: Sequence[tuple[int, str, int]]) -> Callable[[Iterator[pa.R
         return automaton
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.released()
         automaton = build()
         for batch in batches:
             out = []

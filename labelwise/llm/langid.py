@@ -40,6 +40,7 @@ def training_sample(labelled: DataFrame, per_language: int = TRAIN_DOCS) -> Data
 
 def _counting(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.released()
         counts: dict[str, bytetree.WindowCounts] = {}
 
         def rows(lang: str) -> pa.RecordBatch:
@@ -121,6 +122,7 @@ def learn(labelled: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS, per
 
 def _predicting(languages: list[str], model) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common.released()
         for batch in batches:
             parts = []
             for at in range(0, len(batch), 256):

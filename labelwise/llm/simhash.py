@@ -73,6 +73,7 @@ def fingerprint(text: str | None, size: int) -> int:
 
 def _fingerprinting(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.released()
         for batch in batches:
             texts = batch.column(1)
             prints = []
@@ -146,6 +147,7 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.released()
     for batch in batches:
         prints = batch.column(0).to_numpy()
         for at in range(0, len(prints), 4096):
@@ -226,6 +228,7 @@ def _comparing(within: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.released()
         key, bits = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
             tile = (batch.column(0).to_numpy().astype(np.int64) << 32) | batch.column(1).to_numpy()
@@ -317,6 +320,7 @@ def word_prints(words: Sequence[bytes], seeds: Sequence[int]) -> list[int]:
 
 def _signing(seeds: Sequence[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.released()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 same, prints = [], []
@@ -374,6 +378,7 @@ def similarities(sets: Sequence[np.ndarray]) -> np.ndarray:
 
 def _shingling(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.released()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 sets = [shingle_set(t, size) for t in batch.column(1)[at : at + TEXTS].to_pylist()]
@@ -408,6 +413,7 @@ def _prefixing(
         return [keys >> np.uint64(24), np.full(len(again), node), len(shingles) << 32 | place[again]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.released()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
@@ -470,6 +476,7 @@ def _prefix_linking(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         return np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.released()
         held: list[np.ndarray] = []
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
@@ -517,6 +524,7 @@ def _verifying(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         return [(nodes[i], nodes[j]) for i, j in zip(members.tolist(), firsts.tolist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.released()
         key, nodes, sets = None, [], []
 
         def flush() -> pa.RecordBatch:

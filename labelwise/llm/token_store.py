@@ -180,15 +180,10 @@ def _by_chars(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def _encode_with(path: str, end: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a task of its own
-        if path not in _encoders:  # a worker keeps what it has learned for its next task
-            _encoders[path] = ChunkEncoder(path)
-        encoder = _encoders[path]
+        encoder = common.kept(("encoder", path), lambda: ChunkEncoder(path))  # with what it has learned
         first = 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
