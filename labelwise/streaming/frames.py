@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import namedtuple
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,10 +36,22 @@ def read_stream(spark, path: str, schema=FRAMES, files: int = 64) -> DataFrame:
 
 def advance(cam: str, state: tuple, frames: pd.DataFrame, gap: int, cool: int, floor: float, min_classes: int) -> tuple[tuple, pd.DataFrame]:
     """One camera's next frames in order: its new state (bounded rings and a few scalars) and a status for each."""
+    state, rows = statuses(cam, state, frames.sort_values(["us", "seq"]).itertuples(index=False), gap, cool, floor, min_classes)
+    return state, status_table(rows)
+
+
+def status_table(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in OUT.split(",")])
+    out["best_seq"] = out["best_seq"].astype("Int64")
+    return out
+
+
+def statuses(cam: str, state: tuple, frames: Iterable, gap: int, cool: int, floor: float, min_classes: int) -> tuple[tuple, list[tuple]]:
+    """``advance`` over one camera's frames, sorted rows with ``us, seq, ts, sharpness, classes, det_error``."""
     last, classes, error, shot, arrivals, ring_seq, ring_sharp, count, calls, shots = state
     classes, arrivals, ring_seq, ring_sharp = list(classes), list(arrivals), list(ring_seq), list(ring_sharp)
     rows = []
-    for r in frames.sort_values(["us", "seq"]).itertuples(index=False):
+    for r in frames:
         count += 1
         arrivals = [*arrivals, r.us][-K.RATE_FRAMES:]
         run = error is None and (last is None or r.us - last >= gap)
@@ -58,9 +71,7 @@ def advance(cam: str, state: tuple, frames: pd.DataFrame, gap: int, cool: int, f
             cam, r.seq, r.ts, run, len(classes), (len(arrivals) - 1) / span if span > 0 else 0.0,
             fire, ring_seq[best] if fire else None, ring_sharp[best] if fire else None, error, count, calls, shots,
         ))
-    out = pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in OUT.split(",")])
-    out["best_seq"] = out["best_seq"].astype("Int64")
-    return (last, classes, error, shot, arrivals, ring_seq, ring_sharp, count, calls, shots), out
+    return (last, classes, error, shot, arrivals, ring_seq, ring_sharp, count, calls, shots), rows
 
 
 def gate(interval_s: float, cooldown_s: float, floor: float, min_classes: int) -> Callable:
@@ -95,12 +106,22 @@ def live_status(
 
 # --- frames that come late --------------------------------------------------
 
-HELD = "us long, seq long, ts timestamp, sharpness double, classes array<string>, det_error string"
+HELD = "cam string, us long, seq long, ts timestamp, sharpness double, classes array<string>, det_error string"
 ORDERED = OUT + ", late boolean, late_frames long"
+#: Cameras are dealt into so many buckets: a call for each costs far more than its few frames.
+BUCKETS = 256
+
+
+def _names(ddl: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in ddl.split(",")]
+
+
+Frame = namedtuple("Frame", _names(HELD))
 
 
 class Reorder(StatefulProcessor):
-    """Holds a camera's frames until the watermark has passed them, and gates them in the order of their time.
+    """Holds the frames of a bucket of cameras until the watermark has passed them, and gates each camera's in the order of
+    their time.
 
     A frame older than the watermark when it comes is not gated; it goes out as ``late`` with its camera's count
     of late frames so far.  What is held is bounded by the frames within the watermark's delay.
@@ -112,48 +133,55 @@ class Reorder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", HELD)
-        self.gate = handle.getValueState("gate", STATE)
-        self.late = handle.getValueState("late", "n long")
+        self.gates = handle.getListState("gates", "cam string, " + STATE)
+        self.late = handle.getListState("late", "cam string, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
+        gone, held = [], []
         for frames in rows:
-            late = frames["us"] <= mark if mark > 0 else pd.Series(False, index=frames.index)
-            if late.any():
-                count = self.late.get()[0] if self.late.exists() else 0
-                gone = frames[late].sort_values(["us", "seq"])
-                self.late.update((count + len(gone),))
-                yield self._told(pd.DataFrame({"cam": key[0], "seq": gone["seq"], "ts": gone["ts"]}), True, range(count + 1, count + len(gone) + 1))
-            kept = frames[~late]
-            if len(kept):
-                names = [c.strip().split(" ")[0] for c in HELD.split(",")]
-                held = [
-                    (int(r.us), int(r.seq), r.ts.to_pydatetime(), float(r.sharpness), list(r.classes), r.det_error if isinstance(r.det_error, str) else None)
-                    for r in kept[names].itertuples(index=False)
-                ]
-                self.held.appendList(held)
-                # one timer per camera and batch: the watermark passes its oldest frame first, and comes back for the rest
-                self.handle.registerTimer(int(kept["us"].max()) // 1000 + 1)
+            for r in frames[_names(HELD)].itertuples(index=False):
+                cam, error = (x if isinstance(x, str) else None for x in (r.cam, r.det_error))
+                if mark > 0 and r.us <= mark:
+                    gone.append((int(r.us), int(r.seq), cam, r.ts))
+                else:
+                    held.append((cam, int(r.us), int(r.seq), r.ts.to_pydatetime(), float(r.sharpness), list(r.classes), error))
+        if gone:
+            counts = {r[0]: r[1] for r in self.late.get()} if self.late.exists() else {}
+            told = []
+            for _, seq, cam, ts in sorted(gone, key=lambda g: g[:2]):
+                counts[cam] = counts.get(cam, 0) + 1
+                told.append((cam, seq, ts, counts[cam]))
+            self.late.put(list(counts.items()))
+            out = pd.DataFrame(told, columns=["cam", "seq", "ts", "n"])
+            yield self._told(out.drop(columns="n"), True, out["n"])
+        if held:
+            self.held.appendList(held)
+            # one timer per bucket and batch: the watermark passes its oldest frame first, and comes back for the rest
+            self.handle.registerTimer(max(h[1] for h in held) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        names = [c.strip().split(" ")[0] for c in HELD.split(",")]
-        held = pd.DataFrame(list(self.held.get()), columns=names)
-        due = held[held["us"] <= mark]
-        rest = held[held["us"] > mark]
-        if len(rest):
-            self.held.put([tuple(r) for r in rest.itertuples(index=False, name=None)])
+        held = [Frame(*r) for r in self.held.get()]
+        rest = [tuple(f) for f in held if f.us > mark]
+        if rest:
+            self.held.put(rest)
         else:
             self.held.clear()
-        if len(due):
-            state = tuple(self.gate.get()) if self.gate.exists() else EMPTY
-            state, out = advance(key[0], state, due, *self.rule)
-            self.gate.update(state)
-            yield self._told(out, False, None)
+        due: dict[str | None, list[Frame]] = {}
+        for f in sorted((f for f in held if f.us <= mark), key=lambda f: (f.us, f.seq)):
+            due.setdefault(f.cam, []).append(f)
+        if due:
+            gates = {r[0]: tuple(r)[1:] for r in self.gates.get()} if self.gates.exists() else {}
+            out = []
+            for cam, frames in due.items():
+                gates[cam], said = statuses(cam, gates.get(cam, EMPTY), frames, *self.rule)
+                out += said
+            self.gates.put([(cam, *g) for cam, g in gates.items()])
+            yield self._told(status_table(out), False, None)
 
     def _told(self, out: pd.DataFrame, late: bool, counts) -> pd.DataFrame:
-        names = [c.strip().split(" ")[0] for c in ORDERED.split(",")]
-        told = out.assign(late=late, late_frames=None if counts is None else list(counts)).reindex(columns=names)
+        told = out.assign(late=late, late_frames=None if counts is None else list(counts)).reindex(columns=_names(ORDERED))
         # plain objects: Arrow-backed strings come in chunks, which a struct column does not take
         return told.astype(object)
 
@@ -165,6 +193,7 @@ def ordered_status(
     cooldown_s: float = K.CAPTURE_COOLDOWN_S,
     floor: float = K.SHARPNESS_FLOOR,
     min_classes: int = K.MIN_CLASSES,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``live_status`` of frames that arrive out of order by up to ``late``, and what came later than that.
 
@@ -173,9 +202,10 @@ def ordered_status(
     """
     marked = frames.withWatermark("ts", late)
     keyed = marked.withColumn("us", B.micros(F.col("ts"))).select(
-        "cam", "us", "seq", F.timestamp_micros("us").alias("ts"), "sharpness", "classes", "det_error"
+        "cam", "us", "seq", F.timestamp_micros("us").alias("ts"), "sharpness", "classes", "det_error",
+        F.pmod(F.xxhash64("cam"), F.lit(buckets)).cast("int").alias("bucket"),
     )
-    return keyed.groupBy("cam").transformWithStateInPandas(
+    return keyed.groupBy("bucket").transformWithStateInPandas(
         Reorder(interval_s, cooldown_s, floor, min_classes), ORDERED, "Append", "EventTime"
     )
 
